@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that never count as query terms.
 STOPWORDS = (
@@ -63,7 +64,7 @@ def remove_prefix(text: Column, prefix: str) -> Column:
     return F.when(text.startswith(prefix), F.substring(text, len(prefix) + 1, 2**30)).otherwise(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfd(values: pd.Series) -> pd.Series:
     """Canonical decomposition (no built-in function does this)."""
     return values.map(lambda s: None if s is None else unicodedata.normalize("NFD", s))

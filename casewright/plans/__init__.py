@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-QUERY_MODULES = ("metric_queries", "index_queries")
+QUERY_MODULES = ("metric_queries", "index_queries", "sampling_queries", "suite_queries")
 
 
 def load_queries() -> None:

@@ -23,6 +23,7 @@ def local_session(cores: str = "8", app: str = "casewright", **extra: str) -> Sp
         **SETTINGS,
         "spark.sql.shuffle.partitions": cores if cores.isdigit() else "8",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         **extra,
     }
