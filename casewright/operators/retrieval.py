@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions import scoring, text
-from casewright.functions.skew import BROADCAST_ROWS, small_enough
+from casewright.functions.skew import small_enough
+from casewright.session import cut_lineage
 
 # BM25 parameters and the floor of the term weight.
 BM25_K1 = 1.2
@@ -35,9 +36,8 @@ def term_counts(corpus: DataFrame, doc: str, content: str, terms: DataFrame | No
 
 def corpus_size(corpus: DataFrame, content: str) -> DataFrame:
     """One row: number of documents and mean length in words."""
-    return corpus.agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(text.words(F.col(content))).cast("double")).alias("avg_dl")
-    )
+    n_words = F.regexp_count(F.col(content), F.lit(text.WORD)).cast("double")
+    return corpus.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(n_words).alias("avg_dl"))
 
 
 def bm25_scores(
@@ -49,11 +49,13 @@ def bm25_scores(
     Few query terms are broadcast to the documents where they lie. More are
     joined by term, with the postings of a term spread over salts so that a
     frequent term is not one task's work. Excluded pairs leave before ranking.
+    The postings of the query terms are written once and read for both the
+    document frequencies and the scores.
     """
     terms = queries.select(
         F.col(query).alias("query_id"), F.explode(text.query_terms(F.col(query_text))).alias("term")
     )
-    postings = term_counts(corpus, doc, content, terms)
+    postings = cut_lineage(term_counts(corpus, doc, content, terms))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, avg_dl = corpus_size(corpus, content).first()
     # Two numbers about the corpus; everything per term or document stays distributed.

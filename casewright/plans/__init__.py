@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-QUERY_MODULES = ("metric_queries", "index_queries", "sampling_queries", "suite_queries")
+QUERY_MODULES = (
+    "metric_queries", "index_queries", "sampling_queries", "suite_queries", "join_queries", "retrieval_queries", "run_queries",
+)
 
 
 def load_queries() -> None:

@@ -239,13 +239,13 @@ def folded_index(spark, d):
 
 
 @query(f"""
-WITH {BENCH}, fa AS (SELECT area_id, avg(CASE WHEN catalog_id % 5 = 0 THEN 0 ELSE raw END) raw, avg(CASE WHEN catalog_id % 5 = 0 THEN 0 ELSE skill END) skill
+WITH {BENCH}, fa AS (SELECT area_id, avg(CASE WHEN rule = 'loss' THEN 0 ELSE raw END) raw, avg(CASE WHEN rule = 'loss' THEN 0 ELSE skill END) skill
   FROM bv GROUP BY area_id)
 SELECT round(100 * avg(skill), 6) AS balanced_skill, round(100 * avg(raw), 6) AS balanced_raw,
   round(100 * (exp(avg(ln(0.1 + 0.9 * skill))) - 0.1) / 0.9, 6) AS breadth_skill FROM fa""")
 def frozen_panel_index(spark, d):
     values = bench_values(spark, d)
-    run = values.where("catalog_id % 5 <> 0").select("catalog_id", "raw", "skill", "coverage", F.lit(0.0).alias("pending"))
+    run = values.where("rule <> 'loss'").select("catalog_id", "raw", "skill", "coverage", F.lit(0.0).alias("pending"))
     out, _ = rollup.frozen_index(run, values.select("area_id", "catalog_id"))
     return rounded(out.drop("coverage"), "balanced_skill", "balanced_raw", "breadth_skill")
 
@@ -311,8 +311,8 @@ def run_latency(spark, d):
 
 VISION = """
 vr AS (SELECT 'page:' || page_id::VARCHAR AS run_id, CASE WHEN length(url) % 3 = 0 THEN 'thirds' WHEN length(url) % 3 = 1 THEN 'charts' ELSE 'forms' END AS benchmark,
-  chr(65 + (length(html) % 4)::INT) AS gold, 2 + (length(url) % 4) AS n_options, page_id FROM pages),
-vp AS (SELECT run_id, CASE WHEN page_id % 5 = 1 THEN NULL ELSE chr(65 + (page_id % 4)::INT) END AS pred FROM vr WHERE page_id % 7 <> 0),
+  chr(65 + (length(html) % 4)::INT) AS gold, 2 + (length(url) % 4) AS n_options, page_id, url FROM pages),
+vp AS (SELECT run_id, CASE WHEN page_id % 5 = 1 THEN NULL ELSE chr(65 + (page_id % 4)::INT) END AS pred FROM vr WHERE NOT contains(url, '?')),
 vs AS (SELECT benchmark, count(*) AS rows, count(pred) AS answered, count(*) FILTER (p.run_id IS NULL) AS missing,
   avg(coalesce((pred = gold)::INT, 0))::DOUBLE AS accuracy, avg(1.0::DOUBLE / n_options) AS chance FROM vr LEFT JOIN vp p USING (run_id) GROUP BY benchmark),
 vk AS (SELECT *, (accuracy - chance) / (1 - chance) AS skill, CASE benchmark WHEN 'forms' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM vs)"""
@@ -326,8 +326,9 @@ def vision_parts(spark, d):
         F.char(65 + F.length("html") % 4).alias("gold"),
         (2 + url % 4).alias("n_options"),
         "page_id",
+        "url",
     )
-    preds = rows.where("page_id % 7 <> 0").select(
+    preds = rows.where(~F.contains("url", F.lit("?"))).select(
         "run_id", F.when(F.col("page_id") % 5 != 1, F.char(65 + F.col("page_id") % 4)).alias("pred")
     )
     weights = rows.select("benchmark").distinct().withColumn("weight", F.when(F.col("benchmark") == "forms", 0.5).otherwise(1.0))

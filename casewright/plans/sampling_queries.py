@@ -122,8 +122,8 @@ def class_balance(spark, d):
 
 PAIRS = """
 pe AS (SELECT event_id, user_id, round(value)::BIGINT % 5 + 1 AS rating, event_type AS look,
-  sha256(user_id::VARCHAR || ':' || event_id::VARCHAR) AS h FROM events),
-pt AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY h) - 1 AS k FROM pe WHERE event_id % 2 = 0),
+  sha256(user_id::VARCHAR || ':' || event_id::VARCHAR) AS h, ts >= TIMESTAMP '2024-01-16' AS test FROM events),
+pt AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY h) - 1 AS k FROM pe WHERE test),
 pp AS (SELECT user_id, k // 2 AS pair, max(event_id) FILTER (k % 2 = 0) AS ia, max(event_id) FILTER (k % 2 = 1) AS ib,
   max(rating) FILTER (k % 2 = 0) AS va, max(rating) FILTER (k % 2 = 1) AS vb, max(look) FILTER (k % 2 = 0) AS la, max(look) FILTER (k % 2 = 1) AS lb
   FROM pt GROUP BY ALL),
@@ -137,11 +137,12 @@ def rated(spark, d):
     return table(spark, d, "events").select(
         "event_id", "user_id", (F.round("value").cast("bigint") % 5 + 1).alias("rating"), F.col("event_type").alias("look"),
         hashing.sha(F.col("user_id"), F.col("event_id")).alias("h"),
+        (F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")).alias("test"),
     )
 
 
 def preference_targets(spark, d):
-    targets = rated(spark, d).where("event_id % 2 = 0")
+    targets = rated(spark, d).where("test")
     return sampling.pairs(targets, "user_id", "event_id", "rating", "look")
 
 
@@ -152,10 +153,10 @@ def preference_pairs(spark, d):
 
 @query(f"""
 WITH {PAIRS}, hi AS (SELECT user_id, pair, e.event_id, e.h, row_number() OVER (PARTITION BY user_id, pair ORDER BY e.h) rn
-  FROM pairs JOIN pe e USING (user_id) WHERE e.event_id % 2 = 1 AND e.look <> look_a AND e.look <> look_b)
+  FROM pairs JOIN pe e USING (user_id) WHERE NOT e.test AND e.look <> look_a AND e.look <> look_b)
 SELECT user_id, pair, string_agg(event_id::VARCHAR, ',' ORDER BY h) AS history FROM hi WHERE rn <= 8 GROUP BY user_id, pair HAVING count(*) >= 4""")
 def leak_free_history(spark, d):
-    history = rated(spark, d).where("event_id % 2 = 1")
+    history = rated(spark, d).where("not test")
     out = sampling.leak_free_history(preference_targets(spark, d), history, "user_id", "event_id", "look")
     return out.select("user_id", "pair", F.array_join("history", ",").alias("history"))
 
@@ -299,19 +300,19 @@ def context_notes(spark, d):
 
 
 @query("""
-WITH q AS (SELECT p_partkey % 50 AS form, p_partkey AS id, p_size * 10.0 AS x0, (p_partkey * 7) % 300 AS y0 FROM part WHERE p_partkey % 2 = 0),
+WITH q AS (SELECT p_partkey % 50 AS form, p_partkey AS id, p_size * 10.0 AS x0, (p_partkey * 7) % 300 AS y0 FROM part WHERE p_type < 'M'),
 qq AS (SELECT *, x0 + 40 AS x1, y0 + 10 AS y1 FROM q),
-a AS (SELECT p_partkey % 50 AS form, p_partkey AS id, p_size * 10.0 + 60 AS x0, (p_partkey * 11) % 300 AS y0 FROM part WHERE p_partkey % 2 = 1),
-aa AS (SELECT form + (id % 2) - 1 AS form, x0, y0, y0 + 10 AS y1 FROM a)
+a AS (SELECT p_partkey % 50 AS form, p_partkey AS id, p_size * 10.0 + 60 AS x0, (p_partkey * 11) % 300 AS y0 FROM part WHERE p_type >= 'M'),
+aa AS (SELECT form, x0, y0, y0 + 10 AS y1 FROM a)
 SELECT form, id FROM qq WHERE NOT EXISTS (SELECT 1 FROM aa WHERE aa.form = qq.form AND (
   (abs((aa.y0 + aa.y1) / 2.0 - (qq.y0 + qq.y1) / 2.0) < 12 AND aa.x0 - qq.x1 >= 0 AND aa.x0 - qq.x1 < 250)
   OR (aa.y0 - qq.y1 >= 0 AND aa.y0 - qq.y1 < 25 AND abs(aa.x0 - qq.x0) < 60)))""")
 def blank_fields(spark, d):
     p = table(spark, d, "part")
     key = F.col("p_partkey")
-    q = p.where(key % 2 == 0).select((key % 50).alias("form"), key.alias("id"), (F.col("p_size") * 10.0).alias("x0"), ((key * 7) % 300).alias("y0"))
-    a = p.where(key % 2 == 1).select(
-        (key % 50 + key % 2 - 1).alias("form"), (F.col("p_size") * 10.0 + 60).alias("x0"), ((key * 11) % 300).alias("y0")
+    q = p.where("p_type < 'M'").select((key % 50).alias("form"), key.alias("id"), (F.col("p_size") * 10.0).alias("x0"), ((key * 7) % 300).alias("y0"))
+    a = p.where("p_type >= 'M'").select(
+        (key % 50).alias("form"), (F.col("p_size") * 10.0 + 60).alias("x0"), ((key * 11) % 300).alias("y0")
     )
     def boxed(df):
         return df.withColumns({"x1": F.col("x0") + 40, "y1": F.col("y0") + 10})

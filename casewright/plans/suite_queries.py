@@ -45,7 +45,7 @@ def edition_filter(spark, d):
 
 
 @query(f"""
-WITH {ORDER_CASES}, sub AS (SELECT DISTINCT catalog_id, group_id FROM cases WHERE catalog_id IN (1, 3) AND group_id % 10 = 0),
+WITH {ORDER_CASES}, sub AS (SELECT DISTINCT catalog_id, group_id FROM cases WHERE catalog_id IN (1, 3) AND gold = 'yes' AND pred = 'yes'),
 exc AS (SELECT DISTINCT run_id FROM cases WHERE status = 'error'),
 car AS (SELECT DISTINCT catalog_id, group_id FROM cases WHERE run_id IN (SELECT run_id FROM exc))
 SELECT catalog_id, count(*) AS n, sum(group_id)::BIGINT AS group_sum FROM cases c WHERE catalog_id NOT IN (SELECT catalog_id FROM sub)
@@ -53,7 +53,7 @@ SELECT catalog_id, count(*) AS n, sum(group_id)::BIGINT AS group_sum FROM cases
   OR EXISTS (SELECT 1 FROM car s WHERE s.catalog_id = c.catalog_id AND s.group_id = c.group_id) GROUP BY catalog_id""")
 def group_preserving_cut(spark, d):
     rows = order_cases(spark, d)
-    subset = rows.where("catalog_id in (1, 3) and group_id % 10 = 0").select("catalog_id", "group_id").distinct()
+    subset = rows.where("catalog_id in (1, 3) and gold = 'yes' and pred = 'yes'").select("catalog_id", "group_id").distinct()
     excluded = rows.where("status = 'error'").select("run_id").distinct()
     kept = editions.cut_groups(rows, subset, excluded)
     return kept.groupBy("catalog_id").agg(F.count(F.lit(1)).alias("n"), F.sum("group_id").alias("group_sum"))
@@ -279,19 +279,18 @@ def dedup_against_split(spark, d):
 
 
 COMPARED = """
-a AS (SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 11 = 0 THEN sha256('changed' || o_orderkey::VARCHAR) ELSE sha256(o_orderpriority) END AS p FROM orders WHERE o_orderkey % 13 <> 0),
-b AS (SELECT o_orderkey AS run_id, sha256(o_orderpriority) AS p FROM orders WHERE o_orderkey % 17 <> 0),
+a AS (SELECT o_orderkey AS run_id, sha256(CASE WHEN o_totalprice > 200000 THEN '1-URGENT' ELSE o_orderpriority END) AS p FROM orders WHERE o_orderstatus <> 'P'),
+b AS (SELECT o_orderkey AS run_id, sha256(o_orderpriority) AS p FROM orders WHERE o_orderstatus <> 'O'),
 cmp AS (SELECT coalesce(a.run_id, b.run_id) AS run_id, CASE WHEN a.run_id IS NULL THEN 'missing' WHEN b.run_id IS NULL THEN 'extra'
   WHEN a.p IS DISTINCT FROM b.p THEN 'payload_changed' ELSE 'identical' END AS class FROM a FULL JOIN b ON a.run_id = b.run_id)"""
 
 
 def compared(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), "o_orderpriority")
-    k = F.col("run_id")
-    new = o.where(k % 13 != 0).select(
-        "run_id", F.when(k % 11 == 0, F.sha2(F.concat(F.lit("changed"), k.cast("string")), 256)).otherwise(F.sha2("o_orderpriority", 256)).alias("p")
-    )
-    old = o.where(k % 17 != 0).select("run_id", F.sha2("o_orderpriority", 256).alias("p"))
+    """Two snapshots of the orders: without pending ones and with raised priorities, and without open ones."""
+    o = table(spark, d, "orders").withColumn("run_id", F.col("o_orderkey"))
+    raised = F.when(F.col("o_totalprice") > 200000, "1-URGENT").otherwise(F.col("o_orderpriority"))
+    new = o.where("o_orderstatus <> 'P'").select("run_id", F.sha2(raised, 256).alias("p"))
+    old = o.where("o_orderstatus <> 'O'").select("run_id", F.sha2("o_orderpriority", 256).alias("p"))
     return audits.compare_runs(new, old, "run_id", "p")
 
 
@@ -325,10 +324,10 @@ def shared_groups(spark, d):
 
 
 @query("""
-SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
 def key_set_difference(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    ordered = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    ordered = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return joins.without_leaks(c, ordered, ["c_custkey"])
 
 
