@@ -176,7 +176,7 @@ def benchmark_weights(values: DataFrame) -> DataFrame:
 def area_weights(areas: DataFrame) -> DataFrame:
     """``areas(area_id, n_benchmarks, fixed)``: fixed weights stay, the rest share what is left by sqrt(count).
 
-    Without any fixed weight all areas weigh the same.
+    Without any fixed weight the areas are not sized and weigh the same.
     """
     every = Window.partitionBy(F.lit(1))
     root = F.when(F.col("fixed").isNull(), F.sqrt(F.col("n_benchmarks").cast("double")))

@@ -361,3 +361,38 @@ SELECT entrant, score, min(rn) OVER (PARTITION BY island) AS rank, count(*) OVER
 def chain_ranks(spark, d):
     scores = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("entrant")).agg(F.round(F.sum("o_totalprice"), 2).alias("score"))
     return ordering.chain_ranks(scores, "entrant", "score", 500.0)
+
+
+NDCG_TRACKS = """
+cd AS (SELECT l_partkey AS group_id, l_orderkey AS doc_id, max(l_discount * 10) AS prob FROM lineitem GROUP BY ALL),
+qr AS (SELECT l_partkey AS group_id, l_orderkey AS doc_id, max(CASE WHEN l_quantity > 45 THEN 2 WHEN l_quantity > 35 THEN 1 ELSE 0 END) AS rel FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),
+cj AS (SELECT cd.*, coalesce(rel, 0) AS rel FROM cd LEFT JOIN qr USING (group_id, doc_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY prob DESC, doc_id) AS p FROM cj),
+ir AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY rel DESC) AS p FROM qr),
+idl AS (SELECT group_id, sum((pow(2, rel) - 1) / log2(p + 1)) FILTER (p <= 10) AS idcg FROM ir GROUP BY group_id),
+nd AS (SELECT rk.group_id, sum((pow(2, rel) - 1) / log2(p + 1)) FILTER (p <= 10) / nullif(max(idcg), 0) AS ndcg,
+  avg(pow(2, rel) - 1) * list_sum(list_transform(range(1, least(10, count(*)) + 1), lambda i: 1.0::DOUBLE / log2(i + 1))) / nullif(max(idcg), 0) AS rnd
+  FROM rk LEFT JOIN idl USING (group_id) GROUP BY rk.group_id),
+gp AS (SELECT p_partkey AS group_id, p_brand, ('0x' || substr(sha256('part:' || p_partkey::VARCHAR), 1, 8))::BIGINT % 20 > 3 AS complete FROM part)"""
+
+
+@query(f"""
+WITH {NDCG_TRACKS}
+SELECT p_brand AS track, round(avg(CASE WHEN complete THEN coalesce(ndcg, 0) ELSE 0 END), 6) AS raw, round(avg(coalesce(rnd, 0)), 6) AS random
+FROM gp JOIN nd USING (group_id) GROUP BY p_brand""")
+def ranking_tracks(spark, d):
+    """nDCG rule: a query whose requests are not all answered scores 0."""
+    from casewright.functions import hashing
+    from casewright.operators import retrieval
+    from casewright.plans.retrieval_queries import judged, ranked_candidates
+
+    cands, rels = ranked_candidates(spark, d), judged(spark, d)
+    scores = retrieval.ranking_scores(cands, rels, "query_id", "doc_id", "prob", "rel").select("query_id", "ndcg_at_10")
+    chance = retrieval.random_ndcg(cands, rels, "query_id", "doc_id", "rel")
+    run_id = F.concat(F.lit("part:"), F.col("p_partkey").cast("string"))
+    groups = table(spark, d, "part").select(
+        F.col("p_partkey").alias("query_id"), F.lit(36).alias("catalog_id"), F.col("p_brand").alias("track"),
+        (hashing.hash_mod(hashing.sha(run_id), 20) > 3).alias("complete"),
+    )
+    out = rollup.ranking_tracks(groups.join(scores, "query_id").join(chance, "query_id"))
+    return rounded(out.drop("catalog_id"), "raw", "random")

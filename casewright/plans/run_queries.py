@@ -12,6 +12,7 @@ from casewright.plans.derived import status_of
 from casewright.plans.predictors import ByLength
 from casewright.plans.registry import query, table
 from casewright.functions import hashing
+from casewright.functions import receipts as fields
 from casewright.session import checkpoint_dir
 from casewright.streaming import result_log
 
@@ -170,3 +171,103 @@ def streamed_counts(spark, d):
     stream = result_log.read_log(spark, d, EVENT, "parquet", glob="events.parquet")
     result_log.live_counts(stream, ["event_type"], name, f"{root}/progress").awaitTermination()
     return spark.table(name)
+
+
+def receipts(spark, d):
+    """Orders as receipt JSON: one menu entry or a list of them, a total with thousands marks, a tax for some."""
+    menu = F.transform(
+        F.array_sort(F.collect_list(F.struct("l_partkey", "l_suppkey", "l_quantity"))),
+        lambda x: F.struct(F.concat(F.lit("part "), x["l_partkey"].cast("string")).alias("nm"), x["l_quantity"].cast("bigint").cast("string").alias("price")),
+    )
+    total = F.format_number(F.sum("l_quantity") * 1000, 0)
+    per = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        menu.alias("menu"), F.struct(total.alias("total_price")).alias("total"),
+        F.struct(F.when(F.max("l_linestatus") == "F", "Rp 10.000").alias("tax_price")).alias("sub_total"),
+    )
+    many = F.to_json(F.struct("menu", "total", "sub_total"))
+    one = F.to_json(F.struct(F.col("menu")[0].alias("menu"), F.array("total").alias("total"), "sub_total"))
+    text = F.when(F.size("menu") == 1, one).otherwise(many)
+    return per.select("l_orderkey", F.parse_json(text).alias("r"))
+
+
+@query("""
+SELECT l_orderkey, kind, count(*) AS n, sum(amount)::DOUBLE AS amount FROM (
+  SELECT l_orderkey, 'menu_price' AS kind, l_quantity::BIGINT AS amount FROM lineitem
+  UNION ALL SELECT l_orderkey, 'total_price', sum(l_quantity)::BIGINT * 1000 FROM lineitem GROUP BY l_orderkey
+  UNION ALL SELECT l_orderkey, 'tax_price', 10000 FROM lineitem GROUP BY l_orderkey HAVING max(l_linestatus) = 'F') GROUP BY ALL""")
+def receipt_pairs(spark, d):
+    rows = fields.receipt_amounts(receipts(spark, d), "l_orderkey", "r")
+    return rows.groupBy("l_orderkey", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+
+
+@query("""
+SELECT l_orderkey, count(*) AS n_items, sum(l_quantity) AS item_total FROM lineitem GROUP BY l_orderkey""")
+def receipt_items(spark, d):
+    rows = fields.receipt_items(receipts(spark, d), "l_orderkey", "r")
+    return rows.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_items"), F.sum("price").alias("item_total"))
+
+
+@query("""
+SELECT l_orderkey, 'tax_price' AS field, CASE WHEN max(l_linestatus) = 'F' THEN 'A' ELSE 'B' END AS gold FROM lineitem GROUP BY l_orderkey
+UNION ALL SELECT DISTINCT l_orderkey, 'total_price', 'A' FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, 'cashprice', 'B' FROM lineitem""")
+def receipt_field_presence(spark, d):
+    return fields.field_presence(receipts(spark, d), "l_orderkey", "r", ["tax_price", "total_price", "cashprice"])
+
+
+FROZEN = """
+kc AS (SELECT l_orderkey, list(DISTINCT l_suppkey::VARCHAR ORDER BY l_suppkey::VARCHAR) AS opts, max(l_linestatus) AS st FROM lineitem GROUP BY l_orderkey),
+kd AS (SELECT *, CASE WHEN len(opts) < 2 THEN 'fewer than two options' WHEN st = 'O' AND len(opts) = 2 THEN 'open pair' END AS reason FROM kc),
+kg AS (SELECT l_orderkey, l_orderkey // 2 AS g, reason FROM kd WHERE reason IS NULL),
+ks AS (SELECT g, row_number() OVER (ORDER BY sha256('7:30:' || g::VARCHAR)) AS rn FROM (SELECT DISTINCT g FROM kg))"""
+
+
+def frozen_cases(spark, d):
+    from casewright.plans import build
+
+    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))).alias("opts"), F.max("l_linestatus").alias("st")
+    )
+    spec = build.CaseSpec(
+        catalog_id=30, dataset="suppliers", track="orders", row_id=F.col("l_orderkey"), instructions=F.lit("Which supplier?"),
+        options=F.col("opts"), gold_index=F.col("l_orderkey") % F.size("opts"), state=F.to_json(F.struct("l_orderkey")),
+        group=F.floor(F.col("l_orderkey") / 2),
+        rejects=[("fewer than two options", F.size("opts") < 2), ("open pair", (F.col("st") == "O") & (F.size("opts") == 2))],
+    )
+    return build.build_cases(li, spec)
+
+
+@query(f"""
+WITH {FROZEN}
+SELECT '30:orders:' || l_orderkey::VARCHAR AS run_id, g::VARCHAR AS group_id FROM kg JOIN ks USING (g) WHERE rn <= 1500""")
+def frozen_suite(spark, d):
+    from casewright.plans import build
+
+    cases, _ = frozen_cases(spark, d)
+    return build.select_groups(cases, 7, case_cap=1500).select("run_id", "group_id")
+
+
+@query(f"""
+WITH {FROZEN}
+SELECT reason, count(*) AS n FROM kd WHERE reason IS NOT NULL GROUP BY reason""")
+def build_rejects(spark, d):
+    _, rejected = frozen_cases(spark, d)
+    return rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT 'doc:' || doc_id::VARCHAR AS run_id, lang, CASE WHEN length(text) BETWEEN 20 AND 20000 THEN CASE WHEN length(text) > 800 THEN '1' ELSE '0' END END AS pred,
+  quality::VARCHAR AS gold, CASE WHEN length(text) > 20000 THEN 'unsupported' WHEN length(text) < 20 THEN 'abstained' ELSE 'ok' END AS status
+FROM documents JOIN labels USING (doc_id)""")
+def scored_run(spark, d):
+    """Typed cases through a predictor, its log parsed and joined back."""
+    from casewright.plans import evaluate
+
+    docs = table(spark, d, "documents").select("doc_id", "text").withColumn(
+        "run_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))
+    )
+    cases = typed_cases(spark, d).withColumn("questions", F.slice("questions", 1, 1)).join(
+        docs.select("run_id", F.to_json(F.struct("text")).alias("state")), "run_id"
+    )
+    log = inference.run(inference.request_json(cases), "by-length", ByLength, batch_key=None).withColumn("seq", F.lit(1))
+    fact = evaluate.scored_fact(cases, log)
+    return fact.select("run_id", F.col("catalog_id").alias("lang"), "pred", "gold", "status")
