@@ -32,7 +32,8 @@ def last_with(block: Column, name: str) -> Column:
 
 def raw_text(v: Column) -> Column:
     """Text of a value, or of the first entry of a list."""
-    return F.coalesce(F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$[0]", "string"))
+    listed = F.schema_of_variant(v).startswith("ARRAY")
+    return F.when(listed, F.try_variant_get(v, "$[0]", "string")).otherwise(F.try_variant_get(v, "$", "string"))
 
 
 def _named(block: str, names: tuple[str, ...]) -> list[Column]:

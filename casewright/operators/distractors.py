@@ -127,7 +127,7 @@ def close_numbers(gold: Column, pool: Column, seed: str, row_id: Column) -> Colu
     pct = gold.endswith("%")
     dec = F.length(F.regexp_extract(gold, r"\.(\d+)", 1))
     near = F.filter(
-        F.transform(pool, F.trim),
+        F.transform(pool, lambda p: F.trim(p)),
         lambda p: p.rlike(number) & (p != gold) & (F.abs(F.regexp_replace(p, "%", "").try_cast("double") - g) > 1e-9),
     )
     near = hashing.hash_order(F.array_distinct(near), seed, row_id)
@@ -143,7 +143,7 @@ def close_numbers(gold: Column, pool: Column, seed: str, row_id: Column) -> Colu
     )
     made = F.when((dec == 0) & (F.abs(g) < 30), small).otherwise(other)
     shown = F.transform(
-        made, lambda v: F.concat(F.regexp_replace(F.format_number(v, dec.cast("int")), ",", ""), F.when(pct, "%").otherwise(""))
+        made, lambda v: F.concat(F.replace(F.call_function("format_number", v, dec.cast("int")), F.lit(","), F.lit("")), F.when(pct, "%").otherwise(""))
     )
     made_texts = hashing.hash_order(F.filter(F.array_distinct(shown), lambda s: s != gold), seed, row_id)
     return F.slice(F.array_distinct(F.concat(near, made_texts)), 1, 3)

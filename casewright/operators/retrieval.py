@@ -18,28 +18,24 @@ TERM_SALTS = 32
 
 
 def term_counts(corpus: DataFrame, doc: str, content: str, terms: DataFrame | None = None) -> DataFrame:
-    """Inverted index rows (doc, dl, term, tf) for all terms or for the listed ones.
+    """Inverted index rows (doc_id, dl, term, tf), and one row with a null term per document.
 
-    A document is one row, so its words are counted in full before the shuffle;
-    only words of the query side leave the scan.
+    A document is one row, so its words are counted in full before the shuffle.
+    With ``terms`` only those are kept, if they are few enough to broadcast;
+    the other words add to the null row. The null rows hold what is needed about
+    the corpus as a whole, so the texts are read once.
     """
     lists = corpus.select(F.col(doc).alias("doc_id"), text.words(F.col(content)).alias("_w"))
-    lists = lists.withColumn("dl", F.size("_w").cast("bigint"))
-    exploded = lists.select("doc_id", "dl", F.explode("_w").alias("term"))
+    every = F.concat("_w", F.array(F.lit(None).cast("string")))
+    exploded = lists.select("doc_id", F.size("_w").cast("bigint").alias("dl"), F.explode(every).alias("term"))
     if terms is not None:
         wanted = terms.select("term").distinct()
         if small_enough(wanted):
-            wanted = F.broadcast(wanted)
-        exploded = exploded.join(wanted, "term", "left_semi")
+            known = F.broadcast(wanted.withColumn("_known", F.lit(True)))
+            exploded = exploded.join(known, "term", "left").withColumn("term", F.when(F.col("_known"), F.col("term")))
     return exploded.groupBy("doc_id", "term").agg(F.first("dl").alias("dl"), F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_size(corpus: DataFrame, content: str) -> DataFrame:
-    """One row: number of documents and mean length in words."""
-    n_words = F.regexp_count(F.col(content), F.lit(text.WORD)).cast("double")
-    return corpus.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(n_words).alias("avg_dl"))
-
-
 def bm25_scores(
     queries: DataFrame, corpus: DataFrame, query: str, query_text: str, doc: str, content: str,
     excluded: DataFrame | None = None, digits: int = 9,
@@ -49,15 +45,16 @@ def bm25_scores(
     Few query terms are broadcast to the documents where they lie. More are
     joined by term, with the postings of a term spread over salts so that a
     frequent term is not one task's work. Excluded pairs leave before ranking.
-    The postings of the query terms are written once and read for both the
-    document frequencies and the scores.
+    The postings are written once and read for the corpus size, the document
+    frequencies and the scores.
     """
     terms = queries.select(
         F.col(query).alias("query_id"), F.explode(text.query_terms(F.col(query_text))).alias("term")
     )
-    postings = cut_lineage(term_counts(corpus, doc, content, terms))
+    index = cut_lineage(term_counts(corpus, doc, content, terms))
+    n, avg_dl = index.where("term is null").agg(F.count(F.lit(1)), F.avg("dl")).first()
+    postings = index.where("term is not null")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n, avg_dl = corpus_size(corpus, content).first()
     # Two numbers about the corpus; everything per term or document stays distributed.
     if not n:
         return terms.select("query_id", F.lit(None).cast("string").alias("doc_id"), F.lit(0.0).alias("score")).limit(0)

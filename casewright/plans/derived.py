@@ -17,14 +17,10 @@ from pyspark.sql import functions as F
 from casewright.functions import hashing
 from casewright.plans.registry import table
 
-STATUS_OF = {0: "pending", 1: "error", 2: "unsupported", 3: "abstained"}
-
-
 def status_of(hash_mod):
-    out = F.lit("ok")
-    for m, s in STATUS_OF.items():
-        out = F.when(hash_mod == m, s).otherwise(out)
-    return out
+    """Status by hash remainder; the hash is evaluated once."""
+    listed = F.array(*[F.lit(x) for x in ("pending", "error", "unsupported", "abstained")])
+    return F.coalesce(F.get(listed, hash_mod), F.lit("ok"))
 
 
 def order_cases(spark: SparkSession, d: str) -> DataFrame:

@@ -332,7 +332,7 @@ def peer_distractors(spark, d):
         F.col("o_custkey").alias("parent"), F.col("o_orderkey").alias("id"),
         F.concat(F.col("o_orderstatus"), F.lit(" "), (F.floor("o_totalprice") % 97).cast("string")).alias("answer"),
     )
-    out = distractors.peer_pools(o, "parent", "id", "answer", window=4)
+    out = distractors.peer_pools(o, "parent", "id", "answer")
     return out.select("parent", "id", "gold", F.array_join("distractors", "|").alias("distractors"))
 
 

@@ -19,34 +19,23 @@ def summary(fact: DataFrame, wall: str) -> DataFrame:
     row for all tracks has track ``*``. Latency is over all ok rows, complete
     group or not.
     """
-    sets = [["catalog_id"], ["catalog_id", "track"]]
-    name = F.when(F.grouping("track") == 1, ALL_TRACKS).otherwise(F.col("track")).alias("_track")
-
-    def per(rows: DataFrame, *aggs) -> DataFrame:
-        out = rows.groupingSets(sets, "catalog_id", "track").agg(name, *aggs)
-        return out.drop("track").withColumnRenamed("_track", "track")
-
-    counts = per(
-        fact,
+    marked = rollup.with_group_state(fact)
+    done = F.col("complete")
+    g, p = done & (F.col("gold") == "yes"), done & (F.col("pred") == "yes")
+    counted = marked.groupingSets([["catalog_id"], ["catalog_id", "track"]], "catalog_id", "track").agg(
+        F.when(F.grouping("track") == 1, ALL_TRACKS).otherwise(F.col("track")).alias("_track"),
         F.count(F.lit(1)).alias("requests"),
         *[count_of(F.col("status") == s).alias(n) for s, n in
           (("ok", "answered"), ("unsupported", "unsupported"), ("error", "errors"), ("abstained", "abstained"), ("pending", "pending"))],
-    )
-    done = metrics.complete_only(fact, ["catalog_id", "group_id"])
-    g, p = F.col("gold") == "yes", F.col("pred") == "yes"
-    scores = per(
-        done,
-        F.count(F.lit(1)).alias("scored_requests"),
-        F.avg("hit").alias("score"),
+        count_of(done).alias("scored_requests"),
+        F.avg(F.when(done, F.col("hit"))).alias("score"),
         metrics.f1_of(count_of(g & p), count_of(g), count_of(p)).alias("positive_f1"),
     )
+    counted = counted.drop("track").withColumnRenamed("_track", "track")
     latency = metrics.exact_percentiles(
         fact.where("status = 'ok'"), ["catalog_id"], wall, {"median_ms": metrics.middle()}
     ).select("catalog_id", F.lit(ALL_TRACKS).alias("track"), "median_ms")
-    keys = ["catalog_id", "track"]
-    return counts.join(scores, keys, "left").join(latency, keys, "left").withColumn(
-        "scored_requests", F.coalesce("scored_requests", F.lit(0))
-    )
+    return counted.join(latency, ["catalog_id", "track"], "left")
 
 
 def run_latency(results: DataFrame, wall: str) -> DataFrame:

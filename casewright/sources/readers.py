@@ -16,18 +16,13 @@ def json_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType
     read by one task per file: convert large suites once with ``to_parquet``.
     """
     with_bad = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    rows = (
-        spark.read.schema(with_bad)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", BAD)
-        .json(paths)
-    )
-    good = rows.where(F.col(BAD).isNull()).drop(BAD)
+    lines = spark.read.text(paths).where(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
+    parsed = lines.select("value", F.from_json("value", with_bad, options).alias("_r"))
+    good = parsed.where(F.col(f"_r.{BAD}").isNull()).select("_r.*").drop(BAD)
     if not rejects:
         return good
-    lines = spark.read.text(paths).where(F.trim("value") != "")
-    torn = lines.where(F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"}).isNull())
-    return good, torn
+    return good, parsed.where(F.col(f"_r.{BAD}").isNotNull()).select("value")
 
 
 def suite_rows(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
