@@ -41,3 +41,14 @@ def lookup(left: DataFrame, right: DataFrame, key: str, plain_rows: int = PLAIN_
     hot_rows = left.join(F.broadcast(hot_right), key)
     cold_rows = left.join(hot, key, "left_anti").join(right, key)
     return hot_rows.unionByName(cold_rows)
+
+
+def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread_on: str, salts: int = 16) -> DataFrame:
+    """Inner join to a side with one row per key, the left rows of a key spread over ``salts`` tasks.
+
+    For lookups that feed a group-by on the same key, where the adaptive skew
+    split is not applied.
+    """
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread_on), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [key, "_salt"]).drop("_salt")

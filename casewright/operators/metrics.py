@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions import scans
@@ -19,6 +19,11 @@ def count_of(condition: Column | str) -> Column:
     return F.count_if(F.expr(condition) if isinstance(condition, str) else condition)
 
 
+def weighed(condition: Column, n: str | None) -> Column:
+    """Rows, or subtotals of ``n`` rows, that meet a condition."""
+    return count_of(condition) if n is None else F.sum(F.when(condition, F.col(n)).otherwise(0))
+
+
 def ratio(n: Column, d: Column) -> Column:
     """n / d, 0 when d is 0."""
     return F.coalesce(F.try_divide(n.cast("double"), d.cast("double")), F.lit(0.0))
@@ -57,8 +62,27 @@ def group_coverage(rows: DataFrame, keys: list[str], group: str) -> DataFrame:
     )
 
 
+def group_subtotals(rows: DataFrame, keys: list[str], group: str, dims: list[str], *aggs: Column) -> DataFrame:
+    """Rows counted per linked group and ``dims``, with the state of the whole group.
+
+    Adds ``n``, the given aggregates, ``complete`` and ``pending``. Counting
+    comes first, so a group of any size is down to one row per combination of
+    its dims before its state is taken, and the rows are read once.
+    """
+    counted = rows.groupBy(*keys, group, *dims).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bool_and(F.col("status") == "ok").alias("_ok"),
+        F.bool_or(F.col("status").isin("pending", "error")).alias("_pending"),
+        *aggs,
+    )
+    whole = Window.partitionBy(*keys, group)
+    return counted.withColumns(
+        {"complete": F.bool_and("_ok").over(whole), "pending": F.bool_or("_pending").over(whole)}
+    ).drop("_ok", "_pending")
+
+
 def complete_only(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of complete groups."""
+    """Rows of complete groups, where the rows themselves are wanted; scores use ``group_subtotals``."""
     done = group_state(rows, keys).where("complete").select(*keys)
     return rows.join(done, keys, "left_semi")
 
@@ -74,17 +98,20 @@ def mean_by(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(value).alias(out))
 
 
-def case_exact(df: DataFrame, keys: list[str], group: str, hit_col: str) -> DataFrame:
-    """Share of groups in which every field is right."""
-    per_group = df.groupBy(*keys, group).agg(F.min(hit_col).alias("_all"))
-    return per_group.groupBy(*keys).agg(
+def case_exact(rows: DataFrame, keys: list[str], group: str, hit_col: str) -> DataFrame:
+    """Share of the complete groups in which every field is right."""
+    per_group = rows.groupBy(*keys, group).agg(
+        F.bool_and(F.col("status") == "ok").alias("_ok"), F.min(hit_col).alias("_all")
+    )
+    return per_group.where("_ok").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("cases"), F.avg("_all").alias("case_exact_accuracy")
     )
 
 
-def _label_counts(df: DataFrame, keys: list[str], gold: str, pred: str) -> DataFrame:
+def _label_counts(df: DataFrame, keys: list[str], gold: str, pred: str, n: str | None) -> DataFrame:
     """tp, gold_n, pred_n per label, from the confusion counts; unanswered golds are left out."""
-    confusion = df.where(F.col(pred).isNotNull()).groupBy(*keys, gold, pred).agg(F.count(F.lit(1)).alias("_n"))
+    rows = F.count(F.lit(1)) if n is None else F.sum(n)
+    confusion = df.where(F.col(pred).isNotNull()).groupBy(*keys, gold, pred).agg(rows.alias("_n"))
     sides = F.explode(
         F.array(
             F.struct(F.col(gold).alias("label"), F.lit(True).alias("is_gold")),
@@ -95,74 +122,85 @@ def _label_counts(df: DataFrame, keys: list[str], gold: str, pred: str) -> DataF
         *keys, "_n", "_s.label", "_s.is_gold", (F.col(gold) == F.col(pred)).alias("same")
     )
     return long.groupBy(*keys, "label").agg(
-        F.sum(F.when(F.col("is_gold") & F.col("same"), F.col("_n")).otherwise(0)).alias("tp"),
-        F.sum(F.when(F.col("is_gold"), F.col("_n")).otherwise(0)).alias("gold_n"),
-        F.sum(F.when(~F.col("is_gold"), F.col("_n")).otherwise(0)).alias("pred_n"),
+        weighed(F.col("is_gold") & F.col("same"), "_n").alias("tp"),
+        weighed(F.col("is_gold"), "_n").alias("gold_n"),
+        weighed(~F.col("is_gold"), "_n").alias("pred_n"),
     )
 
 
-def macro_f1(df: DataFrame, keys: list[str], gold: str = "gold_label", pred: str = "pred_label") -> DataFrame:
-    """Mean F1 over the labels seen as gold or prediction."""
-    counts = _label_counts(df, keys, gold, pred)
+def macro_f1(
+    df: DataFrame, keys: list[str], gold: str = "gold_label", pred: str = "pred_label", n: str | None = None
+) -> DataFrame:
+    """Mean F1 over the labels seen as gold or prediction. ``n`` names a row count, for subtotals."""
+    counts = _label_counts(df, keys, gold, pred, n)
     f1 = f1_of(F.col("tp"), F.col("gold_n"), F.col("pred_n"))
     return counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("labels"), F.avg(f1).alias("macro_f1"))
 
 
 def binary_f1(
-    df: DataFrame, keys: list[str], positive: str = "yes", gold: str = "gold", pred: str = "pred", out: str = "f1"
+    df: DataFrame, keys: list[str], positive: str = "yes", gold: str = "gold", pred: str = "pred", out: str = "f1",
+    n: str | None = None,
 ) -> DataFrame:
     """F1 of one label."""
     g, p = F.col(gold) == positive, F.col(pred) == positive
     counted = df.groupBy(*keys).agg(
-        count_of(g & p).alias("_tp"), count_of(g).alias("_g"), count_of(p).alias("_p")
+        weighed(g & p, n).alias("_tp"), weighed(g, n).alias("_g"), weighed(p, n).alias("_p")
     )
     return counted.withColumn(out, f1_of(F.col("_tp"), F.col("_g"), F.col("_p"))).drop("_tp", "_g", "_p")
 
 
 def conservative_f1(
-    df: DataFrame, keys: list[str], classes: DataFrame, gold: str = "gold_label", pred: str = "pred_label"
+    df: DataFrame, keys: list[str], classes: DataFrame, gold: str = "gold_label", pred: str = "pred_label",
+    n: str | None = None,
 ) -> DataFrame:
     """Mean F1 over a fixed class list; every missing prediction weighs on every class.
 
     ``classes(keys.., label)`` is the label universe, or a single positive label.
     """
-    missing = df.groupBy(*keys).agg(count_of(F.col(pred).isNull()).alias("_m"))
-    counts = _label_counts(df, keys, gold, pred)
+    missing = df.groupBy(*keys).agg(weighed(F.col(pred).isNull(), n).alias("_m"))
+    counts = _label_counts(df, keys, gold, pred, n)
     joined = classes.select(*keys, "label").distinct().join(missing, keys).join(counts, [*keys, "label"], "left")
     tp = F.coalesce("tp", F.lit(0))
     d = F.coalesce("gold_n", F.lit(0)) + F.coalesce("pred_n", F.lit(0)) + F.col("_m")
     return joined.groupBy(*keys).agg(F.avg(ratio(2 * tp, d)).alias("conservative_f1"))
 
 
-def cluster_macro(df: DataFrame, keys: list[str], cluster: str, value: str, out: str) -> DataFrame:
-    """Mean of the cluster means."""
-    return (
-        mean_by(df, [*keys, cluster], value, "_v")
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("clusters"), F.avg("_v").alias(out))
-    )
+def mean_of(total: str, n: str) -> Column:
+    """Mean from subtotals: null when nothing was counted."""
+    return F.try_divide(F.sum(total).cast("double"), F.sum(n))
 
 
-def subgroup_table(df: DataFrame, keys: list[str], subgroup: str, value: str) -> DataFrame:
-    return df.groupBy(*keys, subgroup).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+def cluster_macro(df: DataFrame, keys: list[str], cluster: str, total: str, n: str, out: str) -> DataFrame:
+    """Mean of the cluster means, from subtotals."""
+    per = df.groupBy(*keys, cluster).agg(mean_of(total, n).alias("_v"))
+    return per.groupBy(*keys).agg(F.count(F.lit(1)).alias("clusters"), F.avg("_v").alias(out))
 
 
-def field_f1(df: DataFrame, keys: list[str], gold: str = "gold", pred: str = "pred") -> DataFrame:
+def subgroup_table(df: DataFrame, keys: list[str], subgroup: str, total: str, n: str) -> DataFrame:
+    """Count and mean per subgroup, from subtotals."""
+    return df.groupBy(*keys, subgroup).agg(mean_of(total, n).alias("mean"), F.sum(n).alias("n"))
+
+
+def field_f1(df: DataFrame, keys: list[str], gold: str = "gold", pred: str = "pred", n: str | None = None) -> DataFrame:
     """Positive F1 per field, for fields whose golds are all yes or no."""
-    yes_no = (
-        df.groupBy(*keys, "field").agg(F.bool_and(F.col(gold).isin("yes", "no")).alias("_yn")).where("_yn").drop("_yn")
+    g, p = F.col(gold) == "yes", F.col(pred) == "yes"
+    per = df.groupBy(*keys, "field").agg(
+        F.bool_and(F.col(gold).isin("yes", "no")).alias("_yn"),
+        f1_of(weighed(g & p, n), weighed(g, n), weighed(p, n)).alias("f1"),
     )
-    return binary_f1(df, [*keys, "field"], "yes", gold, pred).join(yes_no, [*keys, "field"], "left_semi")
+    return per.where("_yn").drop("_yn")
 
 
-def category_macro_f1(df: DataFrame, keys: list[str], gold: str = "gold", pred: str = "pred") -> DataFrame:
-    return field_f1(df, keys, gold, pred).groupBy(*keys).agg(F.avg("f1").alias("category_macro_f1"))
+def category_macro_f1(
+    df: DataFrame, keys: list[str], gold: str = "gold", pred: str = "pred", n: str | None = None
+) -> DataFrame:
+    return field_f1(df, keys, gold, pred, n).groupBy(*keys).agg(F.avg("f1").alias("category_macro_f1"))
 
 
-def review_f1(df: DataFrame, keys: list[str], group: str, gold: Column, pred: Column) -> DataFrame:
+def review_f1(df: DataFrame, keys: list[str], group: str, gold: Column, pred: Column, n: str | None = None) -> DataFrame:
     """Per group, F1 of the yes fields; a group without any is 1; mean over groups."""
     per = df.groupBy(*keys, group).agg(
-        count_of(gold & pred).alias("_b"), (count_of(gold) + count_of(pred)).alias("_d")
+        weighed(gold & pred, n).alias("_b"), (weighed(gold, n) + weighed(pred, n)).alias("_d")
     )
     f1 = F.coalesce(F.try_divide((2 * F.col("_b")).cast("double"), F.col("_d")), F.lit(1.0))
     return per.groupBy(*keys).agg(F.count(F.lit(1)).alias("groups"), F.avg(f1).alias("review_f1"))

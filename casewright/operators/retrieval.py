@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.functions import scoring, text
+from casewright.functions import scoring, skew, text
 from casewright.functions.skew import small_enough
 from casewright.session import cut_lineage
 
@@ -162,7 +162,7 @@ def ranking_scores(candidates: DataFrame, qrels: DataFrame, query: str, doc: str
         F.min(F.when(F.col("_rel") > 0, place)).alias("_first"),
     )
     ahead = (
-        judged.join(whole.select(query, "_first").where("_first is not null"), query)
+        skew.salted_lookup(judged, whole.select(query, "_first").where("_first is not null"), query, doc)
         .where(place <= F.col("_first"))
         .groupBy(query)
         .agg(F.count(F.lit(1)).alias("_rank"))

@@ -17,12 +17,6 @@ from casewright.operators import metrics
 # -- row level: per benchmark and track, unanswered groups count as wrong -----------------
 
 
-def with_group_state(rows: DataFrame) -> DataFrame:
-    """Rows of a group that is not complete lose their prediction."""
-    state = metrics.group_state(rows, ["catalog_id", "group_id"]).select("catalog_id", "group_id", "complete")
-    return rows.join(state, ["catalog_id", "group_id"])
-
-
 def scored_tracks(rows: DataFrame, own_tracks: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
     """Track name used for scoring: its own in listed benchmarks, else ``all``; skipped tracks go."""
     own = own_tracks.select("catalog_id").distinct().withColumn("_own", F.lit(True))
@@ -32,31 +26,38 @@ def scored_tracks(rows: DataFrame, own_tracks: DataFrame, skipped: DataFrame | N
     return out.withColumn("track", F.when(F.col("_own"), F.col("track")).otherwise("all")).drop("_own")
 
 
-def accuracy_tracks(fact: DataFrame) -> DataFrame:
+def accuracy_tracks(rows: DataFrame) -> DataFrame:
     """Accuracy and its chance, averaged over clusters (one cluster when ``cluster`` is constant).
 
-    Needs complete, hit (1.0/0.0), n_accepted, n_options, cluster.
+    Needs status, hit (1.0/0.0), n_accepted, n_options, cluster, as the other
+    rules do where they use them.
     """
-    value = F.when(F.col("complete"), F.col("hit")).otherwise(0.0)
-    per = fact.groupBy("catalog_id", "track", "cluster").agg(
-        F.avg(value).alias("_v"), F.avg(F.col("n_accepted") / F.col("n_options")).alias("_c")
+    sub = metrics.group_subtotals(
+        rows, ["catalog_id"], "group_id", ["track", "cluster"],
+        F.sum("hit").alias("_hits"), F.sum(F.col("n_accepted") / F.col("n_options")).alias("_c"),
+    )
+    value = F.sum(F.when(F.col("complete"), F.col("_hits")).otherwise(0.0))
+    per = sub.groupBy("catalog_id", "track", "cluster").agg(
+        (value / F.sum("n")).alias("_v"), (F.sum("_c") / F.sum("n")).alias("_c")
     )
     return per.groupBy("catalog_id", "track").agg(F.avg("_v").alias("raw"), F.avg("_c").alias("random"))
 
 
-def whole_case_tracks(fact: DataFrame) -> DataFrame:
+def whole_case_tracks(rows: DataFrame) -> DataFrame:
     """A group counts when every field is right; chance is the product over its fields."""
-    per = fact.groupBy("catalog_id", "track", "group_id").agg(
-        F.min(F.when(F.col("complete"), F.col("hit")).otherwise(0.0)).alias("_v"),
-        F.product(1.0 / F.col("n_options")).alias("_c"),
+    sub = metrics.group_subtotals(
+        rows, ["catalog_id"], "group_id", ["track"],
+        F.min("hit").alias("_all"), F.product(1.0 / F.col("n_options")).alias("_c"),
     )
-    return per.groupBy("catalog_id", "track").agg(F.avg("_v").alias("raw"), F.avg("_c").alias("random"))
+    value = F.when(F.col("complete"), F.col("_all")).otherwise(0.0)
+    return sub.groupBy("catalog_id", "track").agg(F.avg(value).alias("raw"), F.avg("_c").alias("random"))
 
 
-def conservative_tracks(fact: DataFrame, classes: DataFrame, chances: DataFrame) -> DataFrame:
+def conservative_tracks(rows: DataFrame, classes: DataFrame, chances: DataFrame) -> DataFrame:
     """Conservative F1 on the fixed classes; chance from a table (catalog_id, track, chance)."""
-    answered = fact.withColumn("pred_label", F.when(F.col("complete"), F.col("pred_label")))
-    raw = metrics.conservative_f1(answered, ["catalog_id", "track"], classes)
+    sub = metrics.group_subtotals(rows, ["catalog_id"], "group_id", ["track", "gold_label", "pred_label"])
+    answered = sub.withColumn("pred_label", F.when(F.col("complete"), F.col("pred_label")))
+    raw = metrics.conservative_f1(answered, ["catalog_id", "track"], classes, n="n")
     return raw.join(chances, ["catalog_id", "track"]).select(
         "catalog_id", "track", F.col("conservative_f1").alias("raw"), F.col("chance").alias("random")
     )
@@ -64,8 +65,14 @@ def conservative_tracks(fact: DataFrame, classes: DataFrame, chances: DataFrame)
 
 def quality_tracks(rows: DataFrame) -> DataFrame:
     """Quality of the chosen route, 0 if the group is incomplete; chance is the mean over the routes."""
-    value = F.when(F.col("complete"), F.coalesce("quality", F.lit(0.0))).otherwise(0.0)
-    return rows.groupBy("catalog_id", "track").agg(F.avg(value).alias("raw"), F.avg("mean_quality").alias("random"))
+    sub = metrics.group_subtotals(
+        rows, ["catalog_id"], "group_id", ["track"],
+        F.sum(F.coalesce("quality", F.lit(0.0))).alias("_q"), F.sum("mean_quality").alias("_m"),
+    )
+    value = F.sum(F.when(F.col("complete"), F.col("_q")).otherwise(0.0))
+    return sub.groupBy("catalog_id", "track").agg(
+        (value / F.sum("n")).alias("raw"), (F.sum("_m") / F.sum("n")).alias("random")
+    )
 
 
 def ranking_tracks(groups: DataFrame) -> DataFrame:
@@ -79,9 +86,7 @@ def track_scores(parts: list[DataFrame], rows: DataFrame) -> DataFrame:
     scores = parts[0]
     for part in parts[1:]:
         scores = scores.unionByName(part)
-    # A group is judged over all its rows, so its state is taken before the track split.
-    state = metrics.group_state(rows, ["catalog_id", "group_id"])
-    planned = rows.select("catalog_id", "track", "group_id").distinct().join(state, ["catalog_id", "group_id"])
+    planned = metrics.group_subtotals(rows, ["catalog_id"], "group_id", ["track"])
     cover = planned.groupBy("catalog_id", "track").agg(
         F.count(F.lit(1)).alias("planned_groups"),
         F.avg(F.col("complete").cast("double")).alias("coverage"),

@@ -31,10 +31,9 @@ SELECT area_id, n_benchmarks, round(raw, 6) AS raw, round(skill, 6) AS skill, ro
 FROM w""")
 def flagship_index(spark, d):
     """Complete groups, accuracy per benchmark (language within a source), chance-corrected areas and index."""
-    fact = doc_cases(spark, d)
-    state = metrics.group_state(fact, ["lang", "group_id"]).where("complete").select("lang", "group_id")
-    done = fact.join(state, ["lang", "group_id"], "left_semi")
-    per = done.groupBy("lang", "source").agg(F.avg((F.col("gold") == F.col("pred")).cast("double")).alias("raw"))
+    right = (F.col("gold") == F.col("pred")).cast("double")
+    sub = metrics.group_subtotals(doc_cases(spark, d), ["lang"], "group_id", ["source"], F.sum(right).alias("hits"))
+    per = sub.where("complete").groupBy("lang", "source").agg(metrics.mean_of("hits", "n").alias("raw"))
     from casewright.functions import scoring
 
     values = per.select(
@@ -82,7 +81,7 @@ def tracks_of(spark, d):
     rows = order_cases(spark, d)
     own = rows.where("catalog_id in (2, 4)").select("catalog_id").distinct()
     named = rollup.scored_tracks(rows, own)
-    st = rollup.with_group_state(named)
+    st = named
     cons_rows = st.where("catalog_id = 6")
     classes = cons_rows.select("catalog_id", "track").distinct().withColumn("label", F.explode(F.array(*[F.lit(x) for x in "ANR"])))
     chances = cons_rows.select("catalog_id", "track", F.lit(0.25).alias("chance")).distinct()

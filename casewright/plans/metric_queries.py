@@ -14,8 +14,12 @@ def r6(c):
     return F.round(c, 6)
 
 
-def complete(spark, d):
-    return metrics.complete_only(order_cases(spark, d), ["catalog_id", "group_id"])
+def complete(spark, d, *dims):
+    """Subtotals of the complete groups."""
+    sub = metrics.group_subtotals(
+        order_cases(spark, d), ["catalog_id"], "group_id", list(dims), F.sum("hit").alias("hits"), F.count("hit").alias("answered")
+    )
+    return sub.where("complete")
 
 
 @query(f"""
@@ -77,7 +81,7 @@ WITH {ORDER_CASES}
 SELECT catalog_id, count(*) AS cases, round(avg(x), 6) AS case_exact_accuracy
 FROM (SELECT catalog_id, group_id, min(hit) AS x FROM done GROUP BY ALL) GROUP BY catalog_id""")
 def case_exact_accuracy(spark, d):
-    out = metrics.case_exact(complete(spark, d), ["catalog_id"], "group_id", "hit")
+    out = metrics.case_exact(order_cases(spark, d), ["catalog_id"], "group_id", "hit")
     return out.withColumn("case_exact_accuracy", r6("case_exact_accuracy"))
 
 
@@ -89,7 +93,7 @@ FROM (SELECT catalog_id, group_id,
       FROM done GROUP BY ALL)
 GROUP BY catalog_id""")
 def case_exact_with_ties(spark, d):
-    rows = complete(spark, d).withColumn("accepted", F.array("gold_label", F.lit("N")))
+    rows = order_cases(spark, d).withColumn("accepted", F.array("gold_label", F.lit("N")))
     scored = rows.withColumn("h", metrics.hit(F.col("gold_label"), F.col("pred_label"), F.col("accepted")))
     out = metrics.case_exact(scored, ["catalog_id"], "group_id", "h")
     return out.withColumn("case_exact_accuracy", r6("case_exact_accuracy"))
@@ -109,7 +113,7 @@ WITH {ORDER_CASES}, {LABEL_COUNTS.format(src="done")}
 SELECT catalog_id, count(*) AS labels, round(avg(CASE WHEN gn + pn = 0 THEN 0 ELSE 2.0 * tp / (gn + pn) END), 6) AS macro_f1
 FROM lc GROUP BY catalog_id""")
 def macro_f1_observed_labels(spark, d):
-    out = metrics.macro_f1(complete(spark, d), ["catalog_id"])
+    out = metrics.macro_f1(complete(spark, d, "gold_label", "pred_label"), ["catalog_id"], n="n")
     return out.withColumn("macro_f1", r6("macro_f1"))
 
 
@@ -131,7 +135,7 @@ SELECT catalog_id, track, round(CASE WHEN count(*) FILTER (gold = 'yes') + count
   ELSE 2.0 * count(*) FILTER (gold = 'yes' AND pred = 'yes') / (count(*) FILTER (gold = 'yes') + count(*) FILTER (pred = 'yes')) END, 6) AS f1
 FROM done GROUP BY catalog_id, track""")
 def binary_f1(spark, d):
-    out = metrics.binary_f1(complete(spark, d), ["catalog_id", "track"])
+    out = metrics.binary_f1(complete(spark, d, "track", "gold", "pred"), ["catalog_id", "track"], n="n")
     return out.withColumn("f1", r6("f1"))
 
 
@@ -166,7 +170,9 @@ WITH {ORDER_CASES}
 SELECT catalog_id, count(*) AS clusters, round(avg(v), 6) AS cluster_macro_accuracy
 FROM (SELECT catalog_id, cluster, avg(hit) AS v FROM done GROUP BY ALL) GROUP BY catalog_id""")
 def cluster_macro_accuracy(spark, d):
-    out = metrics.cluster_macro(complete(spark, d), ["catalog_id"], "cluster", "hit", "cluster_macro_accuracy")
+    out = metrics.cluster_macro(
+        complete(spark, d, "cluster"), ["catalog_id"], "cluster", "hits", "answered", "cluster_macro_accuracy"
+    )
     return out.withColumn("cluster_macro_accuracy", r6("cluster_macro_accuracy"))
 
 
@@ -174,7 +180,9 @@ def cluster_macro_accuracy(spark, d):
 SELECT event_type, count(*) AS clusters, round(avg(v), 6) AS user_macro_value
 FROM (SELECT event_type, user_id, avg(value) AS v FROM events GROUP BY ALL) GROUP BY event_type""")
 def user_macro_value(spark, d):
-    out = metrics.cluster_macro(table(spark, d, "events"), ["event_type"], "user_id", "value", "user_macro_value")
+    out = metrics.cluster_macro(
+        table(spark, d, "events").withColumn("one", F.lit(1)), ["event_type"], "user_id", "value", "one", "user_macro_value"
+    )
     return out.withColumn("user_macro_value", r6("user_macro_value"))
 
 
@@ -182,7 +190,7 @@ def user_macro_value(spark, d):
 WITH {ORDER_CASES}
 SELECT catalog_id, field, count(hit) AS n, round(avg(hit), 6) AS mean FROM done GROUP BY catalog_id, field""")
 def subgroup_accuracy(spark, d):
-    out = metrics.subgroup_table(complete(spark, d), ["catalog_id"], "field", "hit")
+    out = metrics.subgroup_table(complete(spark, d, "field"), ["catalog_id"], "field", "hits", "answered")
     return out.withColumn("mean", r6("mean"))
 
 
@@ -194,13 +202,13 @@ ff AS (SELECT catalog_id, field, CASE WHEN count(*) FILTER (gold = 'yes') + coun
 
 @query(f"WITH {ORDER_CASES}, {FIELD_F1} SELECT catalog_id, field, round(f1, 6) AS f1 FROM ff")
 def positive_f1_by_field(spark, d):
-    out = metrics.field_f1(complete(spark, d), ["catalog_id"])
+    out = metrics.field_f1(complete(spark, d, "field", "gold", "pred"), ["catalog_id"], n="n")
     return out.withColumn("f1", r6("f1"))
 
 
 @query(f"WITH {ORDER_CASES}, {FIELD_F1} SELECT catalog_id, round(avg(f1), 6) AS category_macro_f1 FROM ff GROUP BY catalog_id")
 def category_macro_f1(spark, d):
-    out = metrics.category_macro_f1(complete(spark, d), ["catalog_id"])
+    out = metrics.category_macro_f1(complete(spark, d, "field", "gold", "pred"), ["catalog_id"], n="n")
     return out.withColumn("category_macro_f1", r6("category_macro_f1"))
 
 
@@ -210,7 +218,9 @@ WITH {ORDER_CASES}, pg AS (SELECT catalog_id, group_id, count(*) FILTER (gold =
 SELECT catalog_id, count(*) AS groups, round(avg(CASE WHEN dd = 0 THEN 1.0 ELSE 2.0 * b / dd END), 6) AS review_f1
 FROM pg GROUP BY catalog_id""")
 def review_f1(spark, d):
-    out = metrics.review_f1(complete(spark, d), ["catalog_id"], "group_id", F.col("gold") == "yes", F.col("pred") == "yes")
+    out = metrics.review_f1(
+        complete(spark, d, "gold", "pred"), ["catalog_id"], "group_id", F.col("gold") == "yes", F.col("pred") == "yes", "n"
+    )
     return out.withColumn("review_f1", r6("review_f1"))
 
 

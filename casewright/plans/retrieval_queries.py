@@ -20,8 +20,22 @@ tf AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM (SELECT doc_id, unnest(w
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 idf AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM df, st),
 sc AS (SELECT query_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))), 9) AS score
-  FROM q JOIN tf USING (term) JOIN idf USING (term) JOIN dl USING (doc_id), st GROUP BY ALL),
-cand AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos FROM sc QUALIFY pos <= 32)"""
+  FROM q JOIN tf USING (term) JOIN idf USING (term) JOIN dl USING (doc_id), st GROUP BY ALL)"""
+
+
+def top_sql(name: str, k: int, scores: str = "sc", barred: str | None = None) -> str:
+    """The k best of a score table per query, filled up with the smallest free document ids."""
+    free = f" AND NOT EXISTS (SELECT 1 FROM {barred} x WHERE x.query_id = hc.query_id AND x.doc_id = d.doc_id)" if barred else ""
+    return f"""
+{name}_hit AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos FROM {scores} QUALIFY pos <= {k}),
+{name} AS (SELECT * FROM {name}_hit UNION ALL
+  SELECT hc.query_id, d.doc_id, NULL::DOUBLE AS score, h + row_number() OVER (PARTITION BY hc.query_id ORDER BY d.doc_id) AS pos
+  FROM (SELECT item_id AS query_id, count(doc_id) AS h FROM benchmark LEFT JOIN {name}_hit ON query_id = item_id GROUP BY item_id) hc
+  JOIN documents d ON h < {k} AND NOT EXISTS (SELECT 1 FROM {name}_hit x WHERE x.query_id = hc.query_id AND x.doc_id = d.doc_id){free}
+  QUALIFY pos <= {k})"""
+
+
+BM25 = BM25 + ", " + top_sql("cand", 32)
 
 
 def candidates(spark, d, k=32):
@@ -37,8 +51,8 @@ def bm25_candidates(spark, d):
 
 @query(f"""
 WITH {BM25}, ex AS (SELECT query_id, doc_id FROM cand WHERE pos <= 2),
-c2 AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos FROM sc ANTI JOIN ex USING (query_id, doc_id))
-SELECT query_id, doc_id, pos FROM c2 WHERE pos <= 8""")
+sx AS (SELECT * FROM sc ANTI JOIN ex USING (query_id, doc_id)), {top_sql("c2", 8, "sx", "ex")}
+SELECT query_id, doc_id, pos FROM c2""")
 def bm25_with_exclusions(spark, d):
     """Each query bars its two best documents, then ranks anew."""
     barred = candidates(spark, d).where("pos <= 2").select("query_id", "doc_id")
@@ -216,13 +230,14 @@ def request_chunks(spark, d):
 
 
 @query("""
-SELECT l_partkey AS query_id, l_suppkey AS doc_id, max_by(l_discount, sha256(l_orderkey::VARCHAR || ':' || l_linenumber::VARCHAR)) AS prob
-FROM lineitem GROUP BY ALL""")
+SELECT query_id, doc_id, prob FROM (SELECT l_partkey AS query_id, l_suppkey AS doc_id, l_discount AS prob,
+  row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY sha256(l_orderkey::VARCHAR || ':' || l_linenumber::VARCHAR) DESC, l_discount DESC) AS rn FROM lineitem)
+WHERE rn = 1""")
 def merged_probabilities(spark, d):
     from casewright.functions import hashing
 
     li = table(spark, d, "lineitem").select(
         F.col("l_partkey").alias("query_id"), F.col("l_suppkey").alias("doc_id"), F.col("l_discount").alias("prob"),
-        hashing.sha(F.col("l_orderkey"), F.col("l_linenumber")).alias("seq"),
+        F.struct(hashing.sha(F.col("l_orderkey"), F.col("l_linenumber")), "l_discount").alias("seq"),
     )
     return results.merge_probabilities(li, ["query_id", "doc_id"], "prob", "seq")

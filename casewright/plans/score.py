@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.functions import scoring
 from casewright.operators import chance, metrics, rollup
 from casewright.operators.metrics import count_of
 
@@ -19,17 +18,20 @@ def summary(fact: DataFrame, wall: str) -> DataFrame:
     row for all tracks has track ``*``. Latency is over all ok rows, complete
     group or not.
     """
-    marked = rollup.with_group_state(fact)
+    sub = metrics.group_subtotals(
+        fact, ["catalog_id"], "group_id", ["track", "status", "gold", "pred"],
+        F.sum("hit").alias("_hits"), F.count("hit").alias("_answered"),
+    )
     done = F.col("complete")
     g, p = done & (F.col("gold") == "yes"), done & (F.col("pred") == "yes")
-    counted = marked.groupingSets([["catalog_id"], ["catalog_id", "track"]], "catalog_id", "track").agg(
+    counted = sub.groupingSets([["catalog_id"], ["catalog_id", "track"]], "catalog_id", "track").agg(
         F.when(F.grouping("track") == 1, ALL_TRACKS).otherwise(F.col("track")).alias("_track"),
-        F.count(F.lit(1)).alias("requests"),
-        *[count_of(F.col("status") == s).alias(n) for s, n in
+        F.sum("n").alias("requests"),
+        *[metrics.weighed(F.col("status") == s, "n").alias(n) for s, n in
           (("ok", "answered"), ("unsupported", "unsupported"), ("error", "errors"), ("abstained", "abstained"), ("pending", "pending"))],
-        count_of(done).alias("scored_requests"),
-        F.avg(F.when(done, F.col("hit"))).alias("score"),
-        metrics.f1_of(count_of(g & p), count_of(g), count_of(p)).alias("positive_f1"),
+        metrics.weighed(done, "n").alias("scored_requests"),
+        F.try_divide(F.sum(F.when(done, F.col("_hits"))), F.sum(F.when(done, F.col("_answered")))).alias("score"),
+        metrics.f1_of(metrics.weighed(g & p, "n"), metrics.weighed(g, "n"), metrics.weighed(p, "n")).alias("positive_f1"),
     )
     counted = counted.drop("track").withColumnRenamed("_track", "track")
     latency = metrics.exact_percentiles(
@@ -76,8 +78,10 @@ def reference_on_same_cases(fact: DataFrame, reference: DataFrame, keys: list[st
     answered fields.
     """
     done = metrics.group_state(fact, ["catalog_id", "group_id"]).where("complete").select("catalog_id", "group_id")
-    same = reference.join(done, ["catalog_id", "group_id"], "left_semi")
-    return metrics.mean_by(same, keys, "hit", "reference_same_cases")
+    by_group = list(dict.fromkeys([*keys, "catalog_id", "group_id"]))
+    sub = reference.groupBy(*by_group).agg(F.sum("hit").alias("_hits"), F.count("hit").alias("_n"))
+    same = sub.join(done, ["catalog_id", "group_id"], "left_semi")
+    return same.groupBy(*keys).agg(metrics.mean_of("_hits", "_n").alias("reference_same_cases"))
 
 
 def completion(cases: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,26 +96,3 @@ def completion(cases: DataFrame, results: DataFrame, keys: list[str]) -> DataFra
 def index_of(values: DataFrame) -> DataFrame:
     """Index scores of benchmark values that carry ``area_id``, ``gold_weight`` and ``fixed``."""
     return rollup.index_scores(rollup.area_scores(values))
-
-
-def simple_index(fact: DataFrame, area: str, floor_chance: float) -> DataFrame:
-    """Smallest whole path: complete groups, accuracy and macro-F1 per area, chance correction, index.
-
-    Every area weighs by the square root of its benchmarks.
-    """
-    done = metrics.complete_only(fact, ["catalog_id", "group_id"])
-    scores = done.groupBy("catalog_id", area).agg(F.avg("hit").alias("raw"))
-    f1 = metrics.macro_f1(done, ["catalog_id"], "gold", "pred").select("catalog_id", "macro_f1")
-    cover = metrics.group_state(fact, ["catalog_id", "group_id"]).groupBy("catalog_id").agg(
-        F.avg(F.col("complete").cast("double")).alias("coverage")
-    )
-    values = (
-        scores.join(f1, "catalog_id").join(cover, "catalog_id")
-        .withColumn("skill", scoring.skill(F.col("raw"), F.lit(floor_chance)))
-        .withColumnRenamed(area, "area_id")
-        .withColumns({"gold_weight": F.lit(None).cast("double"), "fixed": F.lit(None).cast("double")})
-    )
-    areas = rollup.area_scores(values)
-    weighted = rollup.area_weights(areas)
-    f1_by_area = values.groupBy("area_id").agg(F.avg("macro_f1").alias("macro_f1"))
-    return weighted.join(f1_by_area, "area_id")

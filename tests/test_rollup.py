@@ -105,7 +105,7 @@ def test_unanswered_rows_count_as_wrong(spark):
         "catalog_id int, group_id string, track string, status string, gold string, pred string",
     ).withColumns({"hit": (F.col("gold") == F.col("pred")).cast("double"), "n_options": F.lit(2), "n_accepted": F.lit(1), "cluster": F.lit("all")})
     named = rollup.scored_tracks(rows, rows.where("false"))
-    tracks = rollup.track_scores([rollup.accuracy_tracks(rollup.with_group_state(named))], named).first()
+    tracks = rollup.track_scores([rollup.accuracy_tracks(named)], named).first()
     assert tracks["raw"] == pytest.approx(0.5) and tracks["coverage"] == pytest.approx(0.75)
     assert tracks["random"] == pytest.approx(0.5) and tracks["skill"] == 0.0
 
@@ -117,8 +117,7 @@ def test_conservative_track(spark):
     )
     classes = spark.createDataFrame([(40, "A", "yes")], "catalog_id int, track string, label string")
     chances = spark.createDataFrame([(40, "A", 0.2226862339379383)], "catalog_id int, track string, chance double")
-    st = rollup.with_group_state(rows)
-    got = rollup.track_scores([rollup.conservative_tracks(st, classes, chances)], rows).first()
+    got = rollup.track_scores([rollup.conservative_tracks(rows, classes, chances)], rows).first()
     assert got["raw"] == pytest.approx(2 / (2 + 1 + 0 + 1)) and got["coverage"] == pytest.approx(2 / 3)
 
 
