@@ -379,15 +379,14 @@ def resume_todo(spark, d):
 
 
 @query("""
-SELECT doc_id, '{"text": "' || length(text)::VARCHAR || '"}' AS raw, CASE doc_id % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN 'C' ELSE 'D' END AS short,
-  CASE doc_id % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'C' WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN 'D' ELSE 'D' END AS long FROM documents""")
+WITH l AS (SELECT doc_id, n_chars % 6 AS a, length(source || lang) % 5 AS b FROM documents)
+SELECT doc_id, CASE WHEN a < 4 THEN chr((65 + a)::INT) END AS short, CASE WHEN b < 4 THEN chr((65 + b)::INT) END AS long FROM l""")
 def reply_letters(spark, d):
-    replies = ["(A) it is", "B, though the answer is C", "no idea", "L", "option C looks right. Final Answer: (d)", "maybe D"]
-    picked = F.element_at(F.array(*[F.lit(r) for r in replies]), (F.col("doc_id") % 6).cast("int") + 1)
-    return table(spark, d, "documents").select(
-        "doc_id", F.concat(F.lit('{"text": "'), F.length("text").cast("string"), F.lit('"}')).alias("raw"),
-        text.short_letter(picked, 4).alias("short"), text.long_letter(picked, 4).alias("long"),
-    )
+    """Replies built from the documents: a short one that leads with a letter, a long one that states two."""
+    a, b = F.char(65 + F.col("n_chars") % 6), F.char(65 + F.length(F.concat("source", "lang")) % 5)
+    short = F.concat(F.lit("("), a, F.lit(") "), F.col("source"))
+    long = F.concat(F.lit("Option "), a, F.lit(" is close for "), F.col("lang"), F.lit(". Final answer is: ("), F.lower(b), F.lit(")"))
+    return table(spark, d, "documents").select("doc_id", text.short_letter(short, 4).alias("short"), text.long_letter(long, 4).alias("long"))
 
 
 @query("""
@@ -443,20 +442,21 @@ def predictor_precondition(spark, d):
     return table(spark, d, "orders").select("o_orderkey", inference.unsupported_reason(asked).alias("reason"))
 
 
-AMOUNTS = ["Rp 12.500", "1,234.50", "-300", "(45)", "12,50", "abc", "75 z", "@ 3.000", "0", "1.2.3"]
-AMOUNT_VALUES = "[12500, 1234.5, NULL, NULL, 12.5, NULL, 75, 3000, NULL, NULL]"
-
-
-@query(f"""
-SELECT p_partkey, ({AMOUNT_VALUES})[1 + p_partkey % 10]::DOUBLE AS amount, p_retailprice AS price_amount,
-  CASE WHEN p_partkey % 2 = 0 THEN 'number' ELSE 'text' END AS kind FROM part""")
+@query("""
+SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN floor(p_retailprice) * 1000 WHEN 1 THEN p_retailprice WHEN 3 THEN p_size + 0.5 END::DOUBLE AS amount,
+  CASE WHEN p_size % 5 = 4 THEN 'text' ELSE 'number' END AS kind FROM part""")
 def receipt_amounts(spark, d):
-    sample = F.element_at(F.array(*[F.lit(a) for a in AMOUNTS]), (F.col("p_partkey") % 10).cast("int") + 1)
-    shown = text.amount_label(F.col("p_retailprice"), F.lit(True))
-    label = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("no "), F.col("p_partkey").cast("string"), F.lit("42"))).otherwise(F.col("p_type"))
-    return table(spark, d, "part").select(
-        "p_partkey", text.amount(sample).alias("amount"), text.amount(shown).alias("price_amount"), text.text_kind(label).alias("kind")
+    """Part prices written the ways receipts write them, and read back."""
+    price, whole = F.col("p_retailprice"), F.floor("p_retailprice")
+    way = F.col("p_size") % 5
+    written = (
+        F.when(way == 0, F.concat(F.lit("Rp "), F.replace(F.format_number(whole * 1000, 0), F.lit(","), F.lit("."))))
+        .when(way == 1, F.concat(text.amount_label(price, F.lit(True)), F.lit(" SR")))
+        .when(way == 2, F.concat(F.lit("-"), whole.cast("string")))
+        .when(way == 3, F.concat(F.col("p_size").cast("string"), F.lit(",50")))
+        .otherwise(F.col("p_type"))
     )
+    return table(spark, d, "part").select("p_partkey", text.amount(written).alias("amount"), text.text_kind(written).alias("kind"))
 
 
 @query(r"""

@@ -23,6 +23,11 @@ def export_json(df: DataFrame, path: str, gzip: bool = True) -> None:
     df.write.mode("overwrite").json(path, compression="gzip" if gzip else "none")
 
 
+def export_sorted(df: DataFrame, path: str, order: list[str]) -> None:
+    """JSON lines in a total order over all files; sorting happens here and nowhere before."""
+    df.orderBy(*order).write.mode("overwrite").json(path)
+
+
 def append_results(df: DataFrame, path: str) -> None:
     """Append to a result log; readers take the last record per run."""
     df.write.mode("append").parquet(path)
