@@ -197,13 +197,19 @@ def category_macro_f1(
     return field_f1(df, keys, gold, pred, n).groupBy(*keys).agg(F.avg("f1").alias("category_macro_f1"))
 
 
-def review_f1(df: DataFrame, keys: list[str], group: str, gold: Column, pred: Column, n: str | None = None) -> DataFrame:
-    """Per group, F1 of the yes fields; a group without any is 1; mean over groups."""
+def review_f1(
+    df: DataFrame, keys: list[str], group: str, gold: Column, pred: Column, complete_groups: bool = False
+) -> DataFrame:
+    """Per group, F1 of the yes fields; a group without any is 1; mean over groups.
+
+    With ``complete_groups`` only groups whose rows are all ok count.
+    """
+    whole = F.bool_and(F.col("status") == "ok") if complete_groups else F.bool_and(F.lit(True))
     per = df.groupBy(*keys, group).agg(
-        weighed(gold & pred, n).alias("_b"), (weighed(gold, n) + weighed(pred, n)).alias("_d")
+        count_of(gold & pred).alias("_b"), (count_of(gold) + count_of(pred)).alias("_d"), whole.alias("_whole")
     )
     f1 = F.coalesce(F.try_divide((2 * F.col("_b")).cast("double"), F.col("_d")), F.lit(1.0))
-    return per.groupBy(*keys).agg(F.count(F.lit(1)).alias("groups"), F.avg(f1).alias("review_f1"))
+    return per.where("_whole").groupBy(*keys).agg(F.count(F.lit(1)).alias("groups"), F.avg(f1).alias("review_f1"))
 
 
 PositionRule = Callable[[Column], list[Column]]

@@ -27,9 +27,13 @@ def groups_of(rows: DataFrame, keys: list[str], group: str, seed: str | int | No
 
 
 def lowest_hashes(
-    df: DataFrame, keys: list[str], limit: int | DataFrame, hash_col: str = "h", digits: int = 3
+    df: DataFrame, keys: list[str], limit: int | DataFrame, hash_col: str = "h", digits: int = 3,
+    rank: str | None = None,
 ) -> DataFrame:
-    """Rows with the lowest hashes per key; ``limit`` is a number or a table (keys.., quota)."""
+    """Rows with the lowest hashes per key; ``limit`` is a number or a table (keys.., quota).
+
+    ``rank`` names a column for the position in hash order.
+    """
     cut = scans.hash_segments(df, hash_col, digits)
     if isinstance(limit, int):
         quota = F.lit(limit)
@@ -51,8 +55,8 @@ def lowest_hashes(
     ranked = limited.join(live, [*keys, scans.SEG]).withColumn(
         "_rank", F.col("_before") + F.row_number().over(inside)
     )
-    kept = ranked.where(F.col("_rank") <= quota)
-    return kept.drop("_rank", "_before", "quota", scans.SEG)
+    kept = ranked.where(F.col("_rank") <= quota).drop("_before", "quota", scans.SEG)
+    return kept.withColumnRenamed("_rank", rank) if rank else kept.drop("_rank")
 
 
 def cap_groups(groups: DataFrame, keys: list[str], cap: int) -> DataFrame:
@@ -146,19 +150,13 @@ def round_robin(groups: DataFrame, benchmark: str, n: int, complete_groups: bool
     matter. The walk order (rank, benchmark) is cut at equal rank steps.
     """
     sized = groups if complete_groups else groups.withColumn("size", F.lit(1).cast("bigint"))
-    ranked = lowest_hashes_ranked(sized, [benchmark], n)
+    ranked = cut_lineage(lowest_hashes(sized, [benchmark], n, rank="rank"))
     top = ranked.agg(F.max("rank")).first()[0] or 1
     cut = scans.step_segments(ranked, "rank", max(1, -(-top // 512)))
     run = scans.scan(cut, [], ["rank", benchmark], {"_before": ("sum", "size")}, inclusive=False)
     return run.where(F.col("_before") < n).drop("_before", scans.SEG)
 
 
-def lowest_hashes_ranked(df: DataFrame, keys: list[str], limit: int, hash_col: str = "h") -> DataFrame:
-    """``lowest_hashes`` with the rank kept as ``rank``."""
-    kept = lowest_hashes(df, keys, limit, hash_col)
-    return scans.row_numbers(scans.hash_segments(kept, hash_col), keys, [hash_col], "rank").drop(scans.SEG)
-
-
 def first_per_parent(df: DataFrame, parent: list[str], hash_col: str) -> DataFrame:
     """The lowest-hash row of each parent; combines before the shuffle."""
     rest = [c for c in df.columns if c not in parent]

@@ -219,7 +219,7 @@ SELECT catalog_id, count(*) AS groups, round(avg(CASE WHEN dd = 0 THEN 1.0 ELSE
 FROM pg GROUP BY catalog_id""")
 def review_f1(spark, d):
     out = metrics.review_f1(
-        complete(spark, d, "gold", "pred"), ["catalog_id"], "group_id", F.col("gold") == "yes", F.col("pred") == "yes", "n"
+        order_cases(spark, d), ["catalog_id"], "group_id", F.col("gold") == "yes", F.col("pred") == "yes", complete_groups=True
     )
     return out.withColumn("review_f1", r6("review_f1"))
 
