@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions import arrays, hashing, scans, text
+from casewright.operators.sampling import lowest_hashes
 from casewright.session import cut_lineage
 
 PEER_WINDOW = 16
@@ -64,39 +65,54 @@ def peer_pools(
 
 
 def answer_groups(golds: DataFrame, row_id: str, value: str, k: int, seed: str) -> DataFrame:
-    """Groups of ``k`` items with ``k`` different gold values.
-
-    Items are sorted by (value, hash) and dealt in strides of m = n div k, so
-    members of a group are m places apart and differ whenever no value fills
-    more than m places. The n mod k last places form group -1.
+    """Groups of ``k`` items with ``k`` different gold values of similar size.
+
+    The n mod k items left over are one each of the largest values, and form
+    group -1. The others are sorted by (value, hash) and cut into bands of k x m
+    places, m being the most often a value occurs; the last band takes what
+    remains of a band. A band is dealt in strides, so that members of a group are
+    at least m places apart and differ. Fails if a value fills more than n / k
+    places, as no such grouping exists then.
     """
     hashed = golds.withColumn("_tie", hashing.sha(seed, "order", F.col(row_id)))
-    cut = scans.range_segments(hashed, [], [value, "_tie"])
-    counted = cut.groupBy(value).agg(F.count(F.lit(1)).alias("_n")).agg(
-        F.sum("_n").alias("n"), F.max("_n").alias("longest")
-    ).first()
-    n, longest = counted["n"] or 0, counted["longest"] or 0
-    m = n // k
-    if longest > m:
-        raise ValueError(f"a value occurs {longest} times, more than n/k = {m}")
+    counts = hashed.groupBy(value).agg(F.count(F.lit(1)).alias("_n"), F.min("_tie").alias("_first"))
+    n = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    # At most k - 1 values.
+    largest = counts.orderBy(F.desc(value)).limit(n % k)
+    extra = hashed.join(largest.select(value, F.col("_first").alias("_tie")), [value, "_tie"], "left_semi")
+    rest = hashed.join(extra.select(row_id), row_id, "left_anti")
+    cut = scans.range_segments(rest, [], [value, "_tie"])
+    longest = cut.groupBy(value).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
+    total = n // k
+    if longest > total:
+        raise ValueError(f"a value occurs {longest} times, more than n/k = {total}")
+    m = max(1, longest)
+    bands = max(1, total // m)
     placed = scans.row_numbers(cut, [], [value, "_tie"]).withColumn("_p", F.col("rn") - 1)
-    inside = F.col("_p") < m * k
-    return placed.select(
-        row_id, value,
-        F.when(inside, F.col("_p") % m).otherwise(F.lit(-1)).cast("bigint").alias("answer_group"),
-    )
+    band = F.least(F.floor(F.col("_p") / (k * m)), F.lit(bands - 1))
+    width = F.when(band < bands - 1, F.lit(m)).otherwise(F.lit(total - (bands - 1) * m))
+    group = band * m + (F.col("_p") - band * (k * m)) % width
+    dealt = placed.select(row_id, value, group.cast("bigint").alias("answer_group"))
+    return dealt.unionByName(extra.select(row_id, value, F.lit(-1).cast("bigint").alias("answer_group")))
+
+
+def group_values(groups: DataFrame, value: str, k: int) -> DataFrame:
+    """(answer_group, ring): the ``k`` values of each group; group -1 is filled with the next largest values."""
+    own = groups.where("answer_group >= 0").groupBy("answer_group").agg(F.array_sort(F.collect_list(value)).alias("ring"))
+    top = groups.select(value).distinct().orderBy(F.desc(value)).limit(k)
+    filled = top.agg(F.array_sort(F.collect_list(value)).alias("ring")).select(F.lit(-1).cast("bigint").alias("answer_group"), "ring")
+    return own.unionByName(filled)
 
 
-def ring_options(groups: DataFrame, row_id: str, value: str, width: int, seed: str) -> DataFrame:
+def ring_options(groups: DataFrame, row_id: str, value: str, k: int, width: int, seed: str) -> DataFrame:
     """``width`` neighbouring values of the group's sorted ring around each gold.
 
     The gold's place in the window is the group's shift, taken from its hash.
     """
-    ring = groups.where("answer_group >= 0").groupBy("answer_group").agg(F.collect_set(value).alias("_ring"))
     shift = hashing.hash_mod(hashing.sha(seed, "shift", F.col("answer_group")), width).cast("int")
-    return groups.join(ring, "answer_group").select(
+    return groups.join(group_values(groups, value, k), "answer_group").select(
         row_id, value, "answer_group",
-        arrays.ring_window(F.col("_ring"), F.col(value), shift, width).alias("options"),
+        arrays.ring_window(F.col("ring"), F.col(value), shift, width).alias("options"),
     )
 
 
@@ -157,26 +173,51 @@ def rank_spread(
     ``pool(parent, value)`` holds the distinct values of a parent, the golds
     among them. How many lie above and below a gold follows from its rank, the
     number to take from above runs round-robin over what is feasible, and the
-    values are taken by rank, so no item meets the whole pool.
+    values are taken by rank, so no item meets the whole pool. A number may serve
+    half of a field's items; the others move on to their next feasible number,
+    and an item goes only if all of its feasible numbers are full.
     """
     distinct = pool.select(parent, value).distinct()
     cut = scans.range_segments(distinct, [parent], [value])
     ranked = scans.scan(
-        cut.withColumn("_one", F.lit(1).cast("bigint")), [parent], [value], {"_rank": ("number", None), "_all": ("total", "_one")}
-    ).select(parent, value, "_rank", "_all")
+        cut.withColumn("_one", F.lit(1).cast("bigint")), [parent], [value], {"_place": ("number", None), "_all": ("total", "_one")}
+    ).select(parent, value, "_place", "_all")
     placed = items.join(ranked, [parent, value]).withColumn("_h", hashing.sha(seed, F.col(row_id)))
-    below, above = F.col("_rank") - 1, F.col("_all") - F.col("_rank")
+    below, above = F.col("_place") - 1, F.col("_all") - F.col("_place")
     take = F.least(F.lit(k).cast("bigint"), below + above)
     low = F.greatest(F.lit(0).cast("bigint"), take - below)
     high = F.least(take, above)
     turn = scans.row_numbers(scans.hash_segments(placed, "_h"), [field], ["_h"], "_turn").drop(scans.SEG)
-    target = low + (F.col("_turn") - 1) % (high - low + 1)
-    spread = turn.withColumns({"_take": take, "n_above": target, "_above": above, "_below": below})
-    sizes = items.groupBy(field).agg(F.ceil(F.count(F.lit(1)) / 2).alias("quota"))
-    spread = spread.join(sizes, field)
-    inside = scans.row_numbers(
-        scans.hash_segments(spread, "_h"), [field, "n_above"], ["_h"], "_used"
-    ).where(F.col("_used") <= F.col("quota"))
+    turn = turn.withColumns(
+        {"_take": take, "_above": above, "_below": below, "_low": low, "_wide": high - low + 1}
+    )
+    sizes = items.groupBy(field).agg(F.ceil(F.count(F.lit(1)) / 2).alias("_half"))
+    left = cut_lineage(turn)
+    got: list[DataFrame] = []
+    used = None
+    for step in range(k + 1):
+        asked = left.where(F.col("_wide") > step).withColumn(
+            "n_above", F.col("_low") + (F.col("_turn") - 1 + step) % F.col("_wide")
+        )
+        room = asked.select(field, "n_above").distinct().join(sizes, field)
+        if used is None:
+            room = room.select(field, "n_above", F.col("_half").alias("quota"))
+        else:
+            room = room.join(used, [field, "n_above"], "left").select(
+                field, "n_above", (F.col("_half") - F.coalesce("_used", F.lit(0))).alias("quota")
+            )
+        fitted = cut_lineage(lowest_hashes(asked, [field, "n_above"], room, "_h"))
+        got.append(fitted)
+        left = cut_lineage(left.join(fitted.select(row_id), row_id, "left_anti"))
+        if left.isEmpty():
+            break
+        placed_so_far = got[0].select(field, "n_above")
+        for part in got[1:]:
+            placed_so_far = placed_so_far.unionByName(part.select(field, "n_above"))
+        used = placed_so_far.groupBy(field, "n_above").agg(F.count(F.lit(1)).alias("_used"))
+    inside = got[0]
+    for part in got[1:]:
+        inside = inside.unionByName(part)
     offset = hashing.hash_int(F.col("_h"), 12)
 
     def steps(count: Column, width: Column, base: Column) -> Column:
@@ -185,11 +226,11 @@ def rank_spread(
         return F.when(count > 0, ranks).otherwise(F.array().cast("array<bigint>"))
 
     wanted = F.concat(
-        steps(F.col("n_above"), F.col("_above"), F.col("_rank") + 1),
+        steps(F.col("n_above"), F.col("_above"), F.col("_place") + 1),
         steps(F.col("_take") - F.col("n_above"), F.col("_below"), F.lit(1).cast("bigint")),
     )
-    asked = inside.select(row_id, parent, field, value, "n_above", F.explode(wanted).alias("_rank"))
-    values = ranked.select(parent, "_rank", F.col(value).alias("wrong"))
-    return asked.join(values, [parent, "_rank"]).groupBy(row_id, parent, field, value, "n_above").agg(
+    asked = inside.select(row_id, parent, field, value, "n_above", F.explode(wanted).alias("_place"))
+    values = ranked.select(parent, "_place", F.col(value).alias("wrong"))
+    return asked.join(values, [parent, "_place"]).groupBy(row_id, parent, field, value, "n_above").agg(
         F.array_sort(F.collect_list("wrong")).alias("distractors")
     )

@@ -204,23 +204,39 @@ def occurrence_ids(spark, d):
 
 
 ANSWER_GROUPS = """
-ag0 AS (SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size, sha256('deal:order:' || p_partkey::VARCHAR)) - 1 AS p, count(*) OVER () AS n FROM part),
-ag AS (SELECT p_partkey, p_size, (CASE WHEN p < (n // 10) * 10 THEN p % (n // 10) ELSE -1 END)::BIGINT AS answer_group FROM ag0)"""
+at0 AS (SELECT l_suppkey * 10 + l_linenumber AS id, floor(sum(l_quantity))::BIGINT AS v FROM lineitem GROUP BY ALL),
+ah AS (SELECT *, sha256('deal:order:' || id::VARCHAR) AS tie FROM at0),
+av AS (SELECT v, min(tie) AS tie, row_number() OVER (ORDER BY v DESC) AS d FROM ah GROUP BY v),
+ax AS (SELECT ah.* FROM ah JOIN av USING (v, tie) WHERE d <= (SELECT count(*) % 4 FROM ah)),
+ar AS (SELECT *, row_number() OVER (ORDER BY v, tie) - 1 AS p FROM ah WHERE id NOT IN (SELECT id FROM ax)),
+ac AS (SELECT (SELECT count(*) FROM ar) // 4 AS total, (SELECT max(c) FROM (SELECT count(*) AS c FROM ar GROUP BY v)) AS m),
+ab AS (SELECT ar.*, total, m, least(p // (4 * m), greatest(1, total // m) - 1) AS band, greatest(1, total // m) AS bands FROM ar, ac),
+ag AS (SELECT id, v, (band * m + (p - band * 4 * m) % CASE WHEN band < bands - 1 THEN m ELSE total - (bands - 1) * m END)::BIGINT AS answer_group FROM ab
+  UNION ALL SELECT id, v, -1 FROM ax)"""
+
+
+def valued(spark, d):
+    """One item per supplier and line number; the gold is the quantity sold."""
+    li = table(spark, d, "lineitem")
+    return li.groupBy((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("id")).agg(F.floor(F.sum("l_quantity")).alias("v"))
 
 
 @query(f"WITH {ANSWER_GROUPS} SELECT * FROM ag")
 def answer_groups(spark, d):
-    return distractors.answer_groups(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey", "p_size", 10, "deal")
+    return distractors.answer_groups(valued(spark, d), "id", "v", 4, "deal")
 
 
 @query(f"""
-WITH {ANSWER_GROUPS}, ring AS (SELECT answer_group, list(DISTINCT p_size ORDER BY p_size) AS r,
-  (('0x' || substr(sha256('deal:shift:' || answer_group::VARCHAR), 1, 8))::BIGINT % 4)::INT AS shift FROM ag WHERE answer_group >= 0 GROUP BY answer_group)
-SELECT p_partkey, p_size, answer_group, array_to_string(list_transform(range(4),
-  lambda t: r[(((list_position(r, p_size) - 1 - shift + t) % len(r)) + len(r)) % len(r) + 1]), ',') AS options FROM ag JOIN ring USING (answer_group)""")
+WITH {ANSWER_GROUPS}, ring AS (SELECT answer_group, list(v ORDER BY v) AS r FROM ag WHERE answer_group >= 0 GROUP BY answer_group
+  UNION ALL SELECT -1, list(v ORDER BY v) FROM (SELECT DISTINCT v FROM ag ORDER BY v DESC LIMIT 4)),
+rs AS (SELECT *, (('0x' || substr(sha256('deal:shift:' || answer_group::VARCHAR), 1, 8))::BIGINT % 3)::INT AS shift FROM ring)
+SELECT id, v, answer_group, array_to_string(list_transform(range(3),
+  lambda t: r[(((list_position(r, v) - 1 - shift + t) % len(r)) + len(r)) % len(r) + 1]), ',') AS options FROM ag JOIN rs USING (answer_group)""")
 def ring_options(spark, d):
-    groups = answer_groups(spark, d)
-    out = distractors.ring_options(groups, "p_partkey", "p_size", 4, "deal")
+    from casewright.session import cut_lineage
+
+    groups = cut_lineage(answer_groups(spark, d))
+    out = distractors.ring_options(groups, "id", "v", 4, 3, "deal")
     return out.withColumn("options", F.array_join(F.transform("options", lambda x: x.cast("string")), ","))
 
 
@@ -358,13 +374,27 @@ items AS (SELECT l_suppkey, l_linenumber, min(l_quantity) AS l_quantity FROM lin
 pl AS (SELECT i.*, l_suppkey::VARCHAR || '-' || l_linenumber::VARCHAR AS id, rn, rn - 1 AS below, n - rn AS above FROM items i JOIN rk USING (l_suppkey, l_quantity)),
 fe AS (SELECT *, sha256('rank:' || id) AS h, least(3, below + above) AS take FROM pl),
 fe2 AS (SELECT *, greatest(0, take - below) AS lo, least(take, above) AS hi, row_number() OVER (PARTITION BY l_linenumber ORDER BY h) AS turn FROM fe),
-tg AS (SELECT *, lo + (turn - 1) % (hi - lo + 1) AS n_above FROM fe2),
-us AS (SELECT *, row_number() OVER (PARTITION BY l_linenumber, n_above ORDER BY h) AS used, (SELECT ceil(count(*) / 2) FROM items x WHERE x.l_linenumber = tg.l_linenumber) AS quota FROM tg)"""
+hf AS (SELECT l_linenumber, ceil(count(*) / 2) AS half FROM items GROUP BY l_linenumber)"""
+
+
+def rank_rounds(k: int) -> str:
+    """The rounds of the count assignment, unrolled."""
+    parts, earlier = [], None
+    for step in range(k + 1):
+        used = f"(SELECT count(*) FROM p{step - 1} y WHERE y.l_linenumber = a.l_linenumber AND y.n_above = a.n_above)" if earlier else "0"
+        rest = f"WHERE id NOT IN (SELECT id FROM {earlier})" if earlier else ""
+        parts.append(f"""
+a{step} AS (SELECT *, lo + (turn - 1 + {step}) % (hi - lo + 1) AS n_above FROM (SELECT * FROM fe2 {rest}) WHERE hi - lo + 1 > {step}),
+g{step} AS (SELECT *, row_number() OVER (PARTITION BY l_linenumber, n_above ORDER BY h) AS rank_in FROM a{step}),
+q{step} AS (SELECT a.id, a.l_linenumber, a.l_quantity, a.n_above FROM g{step} a JOIN hf USING (l_linenumber) WHERE rank_in <= half - {used}),
+p{step} AS (SELECT * FROM q{step}{f" UNION ALL SELECT * FROM {earlier}" if earlier else ""})""")
+        earlier = f"p{step}"
+    return ",".join(parts)
 
 
 @query(f"""
-WITH {RANKED}
-SELECT id, l_linenumber, l_quantity, n_above::BIGINT AS n_above FROM us WHERE used <= quota""")
+WITH {RANKED}, {rank_rounds(3)}
+SELECT id, l_linenumber, l_quantity, n_above::BIGINT AS n_above FROM p3""")
 def rank_balanced_distractors(spark, d):
     li = table(spark, d, "lineitem")
     items = li.groupBy("l_suppkey", "l_linenumber").agg(F.min("l_quantity").alias("l_quantity"))

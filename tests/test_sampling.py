@@ -160,19 +160,49 @@ def test_history_never_looks_ahead(spark):
         assert {r["turn"]: r["history"] for r in before} == {t: [f"u{i}" for i in range(t)] for t in range(6)}
 
 
-def test_answer_groups_are_distinct(spark):
+def test_answer_groups_are_distinct_and_near(spark):
     rng = random.Random(9)
     golds = [(i, rng.randint(1, 60)) for i in range(203)]
     df = spark.createDataFrame(golds, "id int, v int")
     groups = distractors.answer_groups(df, "id", "v", 10, "t")
-    got = groups.groupBy("answer_group").agg(F.count("*").alias("n"), F.countDistinct("v").alias("d")).collect()
+    got = groups.groupBy("answer_group").agg(F.count("*").alias("n"), F.countDistinct("v").alias("d"), (F.max("v") - F.min("v")).alias("w")).collect()
     assert {(r["n"], r["d"]) for r in got if r["answer_group"] >= 0} == {(10, 10)} and len(got) == 21
-    ring = distractors.ring_options(groups, "id", "v", 4, "t").where("answer_group >= 0").collect()
-    assert all(len(set(r["options"])) == 4 and r["v"] in r["options"] for r in ring)
+    left = next(r for r in got if r["answer_group"] == -1)
+    assert (left["n"], left["d"]) == (3, 3) and groups.count() == 203
+    # Bands keep the values of a group closer than the whole range.
+    assert sum(r["w"] for r in got if r["answer_group"] >= 0) / 20 < 50
+    ring = distractors.ring_options(groups, "id", "v", 10, 4, "t").collect()
+    assert len(ring) == 203 and all(len(set(r["options"])) == 4 and r["v"] in r["options"] for r in ring)
     with pytest.raises(ValueError):
         distractors.answer_groups(spark.createDataFrame([(i, 1) for i in range(20)], "id int, v int"), "id", "v", 10, "t")
 
 
+def test_peer_pools_match_a_full_search(spark):
+    import re
+
+    rng = random.Random(11)
+    items = [("hot" if i < 60 else f"p{i % 5}", i, rng.choice(["alpha", "alphabet", "beta", "gamma one", "delta", "eps 5", "zeta 7", "eta 77", "theta 9", "iota", "kappa", "Beta "])) for i in range(90)]
+    df = spark.createDataFrame(items, "parent string, id int, answer string")
+
+    def norm(x):
+        return re.sub(r"[^a-z0-9%.]", "", x.lower())
+
+    want = {}
+    for parent, i, a in items:
+        gold = a.strip().lower()
+        peers = {}
+        for p2, j, b in items:
+            o = b.strip().lower()
+            if p2 == parent and bool(re.search(r"\d", o)) == bool(re.search(r"\d", gold)) and norm(o) not in norm(gold) and norm(gold) not in norm(o):
+                peers.setdefault(norm(o), set()).add(o)
+        if len(peers) >= 3:
+            first = sorted(peers, key=lambda x: h("peer", parent, x))[:3]
+            want[i] = [min(peers[x]) for x in first]
+    for window in (1, 3, 16):
+        got = {r["id"]: r["distractors"] for r in distractors.peer_pools(df, "parent", "id", "answer", window=window).collect()}
+        assert got == want
+
+
 def test_rank_spread_takes_ranks(spark):
     pool = [(p, float(v)) for p in range(6) for v in range(12)]
     items = [(f"{p}-{v}", p, "f", float(v)) for p in range(6) for v in (0, 3, 6, 11)]
@@ -180,7 +210,7 @@ def test_rank_spread_takes_ranks(spark):
         spark.createDataFrame(items, "id string, p int, f string, v double"), spark.createDataFrame(pool, "p int, v double"),
         "id", "p", "f", "v", 3, "s",
     ).collect()
-    assert out
+    assert len(out) == len(items)
     for r in out:
         ds = r["distractors"]
         assert len(ds) == len(set(ds)) == 3 and r["v"] not in ds
