@@ -94,7 +94,7 @@ def comparison_examples(compared: DataFrame, row_id: str, k: int = 10) -> DataFr
     """First ``k`` ids of each class that differs."""
     order = Window.partitionBy("class").orderBy(row_id)
     differing = compared.where("class <> 'identical'")
-    return differing.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    return differing.withColumn("n", F.row_number().over(order).cast("bigint")).where(F.col("n") <= k)
 
 
 def set_differences(expected: DataFrame, actual: DataFrame, keys: list[str], member: str) -> DataFrame:

@@ -10,6 +10,7 @@ from casewright.operators.sampling import lowest_hashes
 from casewright.session import cut_lineage
 
 PEER_WINDOW = 16
+PEER_LIST = 4096
 
 
 def peer_pools(
@@ -31,37 +32,60 @@ def peer_pools(
         .groupBy(parent, "_num", "_norm")
         .agg(F.min("gold").alias("peer"))
         .withColumn("_h", hashing.sha("peer", F.col(parent), F.col("_norm")))
+        .withColumnRenamed("_norm", "_peer_norm")
     )
-    pool = pool.withColumnRenamed("_norm", "_peer_norm")
     sizes = pool.groupBy(parent, "_num").agg(F.count(F.lit(1)).alias("_pool"))
-    open_items = base.join(sizes, [parent, "_num"])
-    open_items = open_items.where(F.col("_pool") > k)
+    waiting = base.join(sizes, [parent, "_num"])
     found: list[DataFrame] = []
-    by_hash = Window.partitionBy(parent, "_num").orderBy("_h")
-    apart = F.when(F.col("_norm") == "", F.lit(True)).otherwise(
-        ~(F.contains(F.col("_norm"), F.col("_peer_norm")) | F.contains(F.col("_peer_norm"), F.col("_norm")))
-    )
     while True:
-        first = pool.withColumn("_r", F.row_number().over(by_hash)).where(F.col("_r") <= window)
-        met = open_items.join(first, [parent, "_num"]).where(apart)
-        mine = Window.partitionBy(row_id).orderBy("_h")
-        picked = (
-            met.withColumn("_i", F.row_number().over(mine))
-            .where(F.col("_i") <= k)
-            .groupBy(row_id, parent, "gold", "_num", "_norm", "_pool")
-            .agg(F.array_sort(F.collect_list(F.struct("_h", "peer"))).alias("_p"))
-            .where(F.size("_p") == k)
-        )
-        picked = cut_lineage(picked)
-        found.append(picked)
-        open_items = open_items.where(F.col("_pool") > window).join(picked.select(row_id), row_id, "left_anti")
-        if open_items.isEmpty():
+        look = _from_lists if window <= PEER_LIST else _from_rows
+        seen = cut_lineage(look(waiting, pool, parent, row_id, k, window))
+        found.append(seen.where(F.size("distractors") == k))
+        waiting = seen.where((F.size("distractors") < k) & (F.col("_pool") > window)).drop("distractors")
+        if waiting.isEmpty():
             break
         window *= 16
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
-    return out.select(row_id, parent, "gold", F.transform("_p", lambda s: s["peer"]).alias("distractors"))
+    return out.select(row_id, parent, "gold", "distractors")
+
+
+def _apart(norm: Column, peer: Column) -> Column:
+    """Neither text contains the other; an empty gold bars nothing."""
+    return (norm == "") | ~(F.contains(norm, peer) | F.contains(peer, norm))
+
+
+def _first_peers(pool: DataFrame, parent: str, window: int) -> DataFrame:
+    by_hash = Window.partitionBy(parent, "_num").orderBy("_h")
+    return pool.withColumn("_r", F.row_number().over(by_hash)).where(F.col("_r") <= window)
+
+
+def _from_lists(waiting: DataFrame, pool: DataFrame, parent: str, row_id: str, k: int, window: int) -> DataFrame:
+    """Peers as one short array per parent and kind; the choice is made inside the item's row."""
+    lists = _first_peers(pool, parent, window).groupBy(parent, "_num").agg(
+        F.array_sort(F.collect_list(F.struct("_h", "_peer_norm", "peer"))).alias("_peers")
+    )
+    fit = F.filter("_peers", lambda p: _apart(F.col("_norm"), p["_peer_norm"]))
+    met = waiting.join(lists, [parent, "_num"])
+    return met.withColumn("distractors", F.transform(F.slice(fit, 1, k), lambda p: p["peer"])).drop("_peers")
+
+
+def _from_rows(waiting: DataFrame, pool: DataFrame, parent: str, row_id: str, k: int, window: int) -> DataFrame:
+    """The same for the few items that need a long look: peers as rows."""
+    met = waiting.join(_first_peers(pool, parent, window), [parent, "_num"]).where(
+        _apart(F.col("_norm"), F.col("_peer_norm"))
+    )
+    mine = Window.partitionBy(row_id).orderBy("_h")
+    best = (
+        met.withColumn("_i", F.row_number().over(mine))
+        .where(F.col("_i") <= k)
+        .groupBy(row_id)
+        .agg(F.array_sort(F.collect_list(F.struct("_h", "peer"))).alias("_p"))
+    )
+    joined = waiting.join(best, row_id, "left")
+    chosen = F.transform(F.coalesce("_p", F.array().cast("array<struct<_h:string,peer:string>>")), lambda p: p["peer"])
+    return joined.withColumn("distractors", chosen).drop("_p")
 
 
 def answer_groups(golds: DataFrame, row_id: str, value: str, k: int, seed: str) -> DataFrame:

@@ -235,9 +235,9 @@ def leak_free_history(
         .withColumn("_r", F.row_number().over(by_key))
         .where(F.col("_r") <= 3 * most)
     )
-    usable = targets.join(short, key).where((F.col(look) != F.col("look_a")) & (F.col(look) != F.col("look_b")))
-    listed = usable.groupBy(*targets.columns).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(hash_col).alias("h"), F.col(item).cast("string").alias("item")))).alias("_h")
-    )
-    chosen = F.transform(F.slice("_h", 1, most), lambda s: s["item"])
-    return listed.where(F.size("_h") >= least).withColumn("history", chosen).drop("_h")
+    # At most 3 x most entries per key: the choice is made inside the target's row.
+    entry = F.struct(F.col(hash_col).alias("h"), F.col(item).cast("string").alias("item"), F.col(look).alias("look"))
+    lists = short.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
+    free = F.filter("_all", lambda s: (s["look"] != F.col("look_a")) & (s["look"] != F.col("look_b")))
+    met = targets.join(lists, key).withColumn("_h", F.slice(free, 1, most)).where(F.size("_h") >= least)
+    return met.withColumn("history", F.transform("_h", lambda s: s["item"])).drop("_h", "_all")

@@ -148,7 +148,7 @@ def leak_free_split(spark, d):
 
 @query("""
 SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS first_priority, count(DISTINCT o_orderpriority) AS n,
-  list_position(['F', 'O', 'P'], min(o_orderstatus)) - 1 AS status_at FROM orders GROUP BY o_custkey""")
+  (list_position(['F', 'O', 'P'], min(o_orderstatus)) - 1)::BIGINT AS status_at FROM orders GROUP BY o_custkey""")
 def ordered_distinct(spark, d):
     o = table(spark, d, "orders")
     out = o.groupBy("o_custkey").agg(

@@ -43,7 +43,10 @@ def typed_cases(spark, d):
 
 
 def typed_results(cases):
-    """Results of a length rule, with the status taken from the hash of the run id."""
+    """Results of a length rule, with the status taken from the hash of the run id.
+
+    The probabilities of very long texts do not add up to one.
+    """
     answer = T.StructType(
         [T.StructField("type", T.StringType()), T.StructField("choice", T.StringType()), T.StructField("noul", T.DoubleType()),
          T.StructField("probabilities", T.MapType(T.StringType(), T.DoubleType()))]
@@ -51,7 +54,10 @@ def typed_results(cases):
     long = F.col("n_chars") > 800
     choice = F.struct(
         F.lit("choice"), F.when(long, "1").otherwise("0"), F.lit(None).cast("double"),
-        F.create_map(F.lit("0"), F.when(long, 0.3).otherwise(0.7), F.lit("1"), F.when(long, 0.7).otherwise(0.3)),
+        F.create_map(
+            F.lit("0"), F.when(long, F.when(F.col("n_chars") > 3000, 0.6).otherwise(0.3)).otherwise(0.7),
+            F.lit("1"), F.when(long, 0.7).otherwise(0.3),
+        ),
     ).cast(answer)
     noul = F.struct(F.lit("noul"), F.lit(None).cast("string"), F.least(F.lit(1.0), F.col("n_chars") / 5000.0), F.lit(None).cast("map<string,double>")).cast(answer)
     status = status_of(hashing.hash_mod(hashing.sha(F.col("run_id")), 20))
@@ -87,7 +93,7 @@ def typed_fact(spark, d):
 
 
 @query(f"""
-WITH {TYPED} SELECT run_id, NULL AS reason, true AS valid FROM ts WHERE ok""")
+WITH {TYPED} SELECT run_id, CASE WHEN n_chars > 3000 THEN 'incomplete or invalid probability distribution' END AS reason, n_chars <= 3000 AS valid FROM ts WHERE ok""")
 def response_validation(spark, d):
     cases = typed_cases(spark, d)
     given = facts.answers(typed_results(cases))

@@ -177,7 +177,7 @@ def test_answer_groups_are_distinct_and_near(spark):
         distractors.answer_groups(spark.createDataFrame([(i, 1) for i in range(20)], "id int, v int"), "id", "v", 10, "t")
 
 
-def test_peer_pools_match_a_full_search(spark):
+def test_peer_pools_match_a_full_search(spark, monkeypatch):
     import re
 
     rng = random.Random(11)
@@ -198,7 +198,8 @@ def test_peer_pools_match_a_full_search(spark):
         if len(peers) >= 3:
             first = sorted(peers, key=lambda x: h("peer", parent, x))[:3]
             want[i] = [min(peers[x]) for x in first]
-    for window in (1, 3, 16):
+    for window, listed in ((1, 4096), (3, 4096), (16, 4096), (2, 1), (40, 1)):
+        monkeypatch.setattr(distractors, "PEER_LIST", listed)
         got = {r["id"]: r["distractors"] for r in distractors.peer_pools(df, "parent", "id", "answer", window=window).collect()}
         assert got == want
 
