@@ -395,3 +395,16 @@ def ranking_tracks(spark, d):
     )
     out = rollup.ranking_tracks(groups.join(scores, "query_id").join(chance, "query_id"))
     return rounded(out.drop("catalog_id"), "raw", "random")
+
+
+@query(f"""
+WITH {ORDER_CASES}, {TRACKS}
+SELECT c.catalog_id, count(*) AS requests, count(*) FILTER (c.status = 'ok') AS answered, round(max(raw), 6) AS raw, round(max(skill), 6) AS skill,
+  max(raw) IS NOT NULL AS in_index, false AS run_complete FROM cases c LEFT JOIN bench b ON b.catalog_id = c.catalog_id AND b.raw > 0.3 GROUP BY c.catalog_id""")
+def score_bundle(spark, d):
+    rows = order_cases(spark, d)
+    native = score.summary(rows, "wall_ms")
+    values = rollup.benchmark_scores(tracks_of(spark, d)).where("raw > 0.3")
+    done = score.completion(rows.select("catalog_id", "run_id"), rows.where("status <> 'pending'"), ["catalog_id"])
+    out = score.score_bundle(native, values, done)
+    return rounded(out.select("catalog_id", "requests", "answered", "raw", "skill", "in_index", "run_complete"), "raw", "skill")

@@ -96,3 +96,22 @@ def completion(cases: DataFrame, results: DataFrame, keys: list[str]) -> DataFra
 def index_of(values: DataFrame) -> DataFrame:
     """Index scores of benchmark values that carry ``area_id``, ``gold_weight`` and ``fixed``."""
     return rollup.index_scores(rollup.area_scores(values))
+
+
+def score_bundle(summary_rows: DataFrame, values: DataFrame, done: DataFrame) -> DataFrame:
+    """One row per benchmark: native summary, index value if it has one, and completion.
+
+    ``values(catalog_id, raw, skill)`` are the benchmarks that count; ``done``
+    comes from ``completion`` by benchmark. ``run_complete`` is the same on
+    every row: each scoreable request of the run has a result of some status.
+    """
+    whole = done.agg(F.bool_and("complete").alias("run_complete")).withColumn("_one", F.lit(1))
+    counted = values.select("catalog_id", "raw", "skill", F.lit(True).alias("in_index"))
+    native = summary_rows.where(F.col("track") == ALL_TRACKS).drop("track").withColumn("_one", F.lit(1))
+    # The flag is one row.
+    return (
+        native.join(counted, "catalog_id", "left")
+        .join(F.broadcast(whole), "_one")
+        .drop("_one")
+        .withColumn("in_index", F.coalesce("in_index", F.lit(False)))
+    )
