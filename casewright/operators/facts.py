@@ -36,14 +36,16 @@ def choice_case(
     )
 
 
+# Fixed value: what a request says when the options are printed in the image.
+SHOWN_IN_IMAGE = "Answer the multiple-choice question shown in the image (options A-"
+
+
 def image_choice_case(df: DataFrame, options: str, question: str, options_in_image: str) -> DataFrame:
     """Vision request: image marks renamed; options printed in the image map to themselves."""
     keys = arrays.choice_keys(F.size(options))
     inside = F.col(options_in_image)
     last = F.element_at(keys, -1)
-    shown = F.concat(
-        F.lit("Answer the multiple-choice question shown in the image (options A-"), last, F.lit(").")
-    )
+    shown = F.concat(F.lit(SHOWN_IN_IMAGE), last, F.lit(")."))
     return (
         df.withColumn("instructions", F.when(inside, shown).otherwise(text.rename_image_marks(F.col(question))))
         .withColumn("option_keys", keys)

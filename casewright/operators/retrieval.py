@@ -153,6 +153,7 @@ def ranking_scores(candidates: DataFrame, qrels: DataFrame, query: str, doc: str
     dcg = top.groupBy(query).agg(
         F.sum(scoring.gain(F.col("_rel")) * scoring.discount(F.col("_p"))).alias("_dcg"),
         F.count_if(F.col("_rel") > 0).alias("_hits10"),
+        F.min(F.when(F.col("_rel") > 0, F.col("_p"))).alias("_p10"),
     )
     place = F.struct((-F.col(prob)).alias("p"), F.col(doc).alias("d"))
     whole = judged.groupBy(query).agg(
@@ -161,19 +162,22 @@ def ranking_scores(candidates: DataFrame, qrels: DataFrame, query: str, doc: str
         F.bool_and(scoring.usable_probability(F.col(prob))).alias("valid"),
         F.min(F.when(F.col("_rel") > 0, place)).alias("_first"),
     )
+    # Only queries whose first relevant document is past the tenth place need the count.
+    late = whole.join(dcg, query).where("_first is not null and _p10 is null").select(query, "_first")
     ahead = (
-        skew.salted_lookup(judged, whole.select(query, "_first").where("_first is not null"), query, doc)
+        skew.salted_lookup(judged, late, query, doc)
         .where(place <= F.col("_first"))
         .groupBy(query)
         .agg(F.count(F.lit(1)).alias("_rank"))
     )
     joined = whole.join(dcg, query).join(ahead, query, "left").join(_ideal(qrels, query, rel), query, "left")
+    first = F.coalesce("_p10", "_rank")
     return joined.select(
         query,
         "valid",
         "candidates_scored",
         F.when(F.col("valid"), F.try_divide("_dcg", "idcg")).alias("ndcg_at_10"),
-        F.when(F.col("valid"), F.coalesce(1.0 / F.col("_rank"), F.lit(0.0))).alias("mrr"),
+        F.when(F.col("valid"), F.coalesce(1.0 / first, F.lit(0.0))).alias("mrr"),
         F.when(F.col("valid"), F.try_divide(F.col("_hits10").cast("double"), "positives")).alias("recall_at_10"),
         F.when(F.col("valid"), F.try_divide(F.col("_found").cast("double"), "positives")).alias("scorable_candidate_recall"),
     )
