@@ -4,10 +4,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from casewright.plans import load_queries
+from casewright.plans.registry import ORACLES as SQL
+from casewright.plans.registry import QUERIES
 from tests.conftest import SF
 from tools.check_oracle import TABLES, rows_of
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+load_queries()
 
 
 @pytest.fixture(scope="module")
