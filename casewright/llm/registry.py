@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("exact_dedup", "packing", "piece_codec", "license_scan")
+MODULES = ("toxicity", "exact_dedup", "packing", "piece_codec", "pii", "license_scan")
 
 
 def query(sql: str | None = None):
