@@ -24,8 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from casewright.functions.skew import broadcast_if_small
 from casewright.llm.registry import query, table
-from casewright.llm.rows import numbered
+from casewright.llm.rows import free_name, numbered
 from casewright.session import cut_lineage
 
 # Base kinds in their order.
@@ -183,6 +184,33 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return rows.unionByName(known).unionByName(more).groupBy("row").agg(F.max("id").alias(id_col), F.sort_array(F.collect_list("span")).alias("spans"))
 
 
+def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, with exactly its columns, and ``[kind]`` in place of each span of a text.
+
+    A span that begins within the one before is masked with it. Texts without a
+    span stay as they are, null included; all rows stay. ``docs`` has to be a table
+    read from files or a checkpoint, as its rows are told apart by their place.
+    """
+    row, spans = free_name(docs, "_row"), free_name(docs, "_spans")
+    found = find(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("row").alias(row), F.col("spans").alias(spans))
+    text = F.col(text_col)
+    # Pieces between spans come from running ends: (end so far, text so far).
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<string>").alias("parts"))
+
+    def step(state: Column, span: Column) -> Column:
+        gap = F.substr(text, (state["end"] + 1).cast("int"), (span["start"] - state["end"]).cast("int"))
+        longer = F.concat(state["parts"], F.array(gap, F.concat(F.lit("["), span["kind"], F.lit("]"))))
+        inside = span["start"] < state["end"]
+        return F.struct(F.greatest(state["end"], span["end"]).alias("end"), F.when(inside, state["parts"]).otherwise(longer).alias("parts"))
+
+    def finish(state: Column) -> Column:
+        return F.array_join(F.concat(state["parts"], F.array(F.substr(text, (state["end"] + 1).cast("int"), F.length(text)))), "")
+
+    masked = F.when(F.col(spans).isNull(), text).otherwise(F.aggregate(F.col(spans), start, step, finish))
+    marked = numbered(docs, row).join(broadcast_if_small(found), row, "left")
+    return marked.select(*[masked.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+
+
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 

@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("toxicity", "exact_dedup", "packing", "piece_codec", "ngram_join", "pii", "license_scan")
+MODULES = (
+    "toxicity", "exact_dedup", "site_quality", "packing", "piece_codec", "topk_search", "line_dedup", "ngram_join", "pii",
+    "license_scan",
+)
 
 
 def query(sql: str | None = None):

@@ -222,14 +222,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     return docs.withColumn(out, scores(F.col(text_col)))
 
 
-def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier does not call toxic, with exactly their columns.
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model does not call toxic, with exactly their columns.
 
     Null and empty texts stay unless most labelled rows are toxic. Repeated rows,
     null ids and extra columns change nothing; an empty table gives an empty one.
     """
     name = free_name(docs, "_score")
-    return score(docs, fit(docs, labels, id_col, text_col), text_col, name).where(F.col(name) < 0.5).select(*[docs[c] for c in docs.columns])
+    return score(docs, model, text_col, name).where(F.col(name) < 0.5).select(*[docs[c] for c in docs.columns])
 
 
 @query()
