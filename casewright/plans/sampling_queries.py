@@ -8,7 +8,7 @@ from casewright.functions import hashing
 from casewright.operators import distractors, intervals, ordering, sampling
 from casewright.plans.registry import query, table
 
-SEED = 20260919
+SEED = 11
 
 # One group per (source, documents of a customer-like bucket): derived from documents.
 GROUPS = f"""
