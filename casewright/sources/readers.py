@@ -2,32 +2,97 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BAD = "_bad"
+TAIL = "_tail"
+
+
+def _parsed(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """Lines (``value`` and others) with the parsed row ``_r``, which holds the text of a line that does not fit."""
+    with_bad = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
+    return lines.withColumn("_r", F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}))
 
 
-def json_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType, rejects: bool = False):
-    """JSON lines, plain or gzip; blank lines are skipped and a torn line is dropped.
+def _or_raise(parsed: DataFrame) -> DataFrame:
+    """The same rows without marked tails; reading another one that does not fit its schema fails."""
+    told = F.raise_error(F.concat(F.lit("bad JSON line: "), F.left("value", F.lit(200)))).cast("boolean")
+    # One condition over both, so that it cannot be tested before tails are known.
+    return parsed.where(F.when(F.col(TAIL), False).when(F.col(f"_r.{BAD}").isNull(), True).otherwise(told))
 
-    With ``rejects`` the dropped lines come back as a second DataFrame. Gzip is
-    read by one task per file: convert large suites once with ``to_parquet``.
+
+def json_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType, on_bad: str = "raise", complete_lines: bool = False):
+    """JSON lines, plain or gzip; blank lines are skipped.
+
+    A line that does not parse, or has a field of another type, makes the read
+    fail (``raise``), comes back in a second DataFrame (``rejects``), or is left
+    out (``drop``). With ``complete_lines`` the last line of a file that does not
+    end with a line feed, as a writer that was stopped leaves it, is left out
+    first. Gzip is read by one task per file: convert large suites once.
     """
-    with_bad = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    lines = spark.read.text(paths).where(F.trim("value") != "")
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
-    parsed = lines.select("value", F.from_json("value", with_bad, options).alias("_r"))
+    if on_bad not in ("raise", "rejects", "drop"):
+        raise ValueError(f"on_bad: {on_bad}")
+    lines = spark.read.text(paths)
+    if complete_lines:
+        lines = _with_tails(spark, lines, [paths] if isinstance(paths, str) else paths)
+    else:
+        lines = lines.withColumn(TAIL, F.lit(False))
+    parsed = _parsed(lines.where(F.trim("value") != ""), schema)
+    if on_bad == "raise":
+        return _or_raise(parsed).select("_r.*").drop(BAD)
+    parsed = parsed.where(~F.col(TAIL))
     good = parsed.where(F.col(f"_r.{BAD}").isNull()).select("_r.*").drop(BAD)
-    if not rejects:
+    if on_bad == "drop":
         return good
     return good, parsed.where(F.col(f"_r.{BAD}").isNotNull()).select("value")
 
 
-def suite_rows(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
+def _with_tails(spark: SparkSession, lines: DataFrame, paths: list[str]) -> DataFrame:
+    """Lines, and whether one is the last of a file that does not end with a line feed."""
+    tails = [(file, tail) for path in paths for file, tail in _tails(spark, path)]
+    if not tails:
+        return lines.withColumn(TAIL, F.lit(False))
+    plain = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")
+    placed = lines.select("value", plain.alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    ends = F.broadcast(spark.createDataFrame(tails, "_file string, value string"))  # one row per file
+    last = placed.join(ends, ["_file", "value"]).groupBy("_file").agg(F.max(F.struct("_block", "_id")).alias("_m")).select("_file", "_m._block", "_m._id")
+    marked = placed.join(F.broadcast(last.withColumn(TAIL, F.lit(True))), ["_file", "_block", "_id"], "left")
+    return marked.select("value", F.coalesce(TAIL, F.lit(False)).alias(TAIL))
+
+
+def _tails(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(file, unterminated last line) of the plain files under a path; reads the ends of files only."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for status in fs.globStatus(root):
+        for file in fs.listStatus(status.getPath()):
+            name, size = file.getPath().toUri().toString(), file.getLen()
+            if not file.isFile() or not size or name.endswith(".gz"):
+                continue
+            stream, tail, at = fs.open(file.getPath()), b"", size
+            try:
+                while at > 0 and b"\n" not in tail:
+                    step = min(65536, at)
+                    at -= step
+                    stream.seek(at)
+                    tail = bytes(stream.readNBytes(step)) + tail
+            finally:
+                stream.close()
+            rest = tail.rpartition(b"\n")[2]
+            if rest:
+                out.append((re.sub("^file:/+", "file:/", name), rest.decode("utf-8", "replace").rstrip("\r")))
+    return out
+
+
+def suite_rows(spark: SparkSession, paths: list[str], schema: T.StructType, on_bad: str = "raise") -> DataFrame:
     """Base, added and replacement row files as one relation."""
-    return json_lines(spark, paths, schema)
+    return json_lines(spark, paths, schema, on_bad)
 
 
 def parquet(spark: SparkSession, path: str, columns: list[str] | None = None, where: str | None = None) -> DataFrame:
@@ -80,15 +145,14 @@ def predictions(spark: SparkSession, directory: str, schema: T.StructType) -> Da
     """All JSON-lines files of a folder with ``seq``: file order by name, then place in the file.
 
     Lines inside a file are numbered by block start and a running id, which
-    follows the scan order inside a task.
+    follows the scan order inside a task. A line that does not fit fails the read.
     """
-    rows = (
-        spark.read.schema(schema).option("pathGlobFilter", "*.jsonl").json(directory)
-        .withColumn("file", F.col("_metadata.file_path"))
-        .withColumn("block", F.col("_metadata.file_block_start"))
-        .withColumn("_id", F.monotonically_increasing_id())
-    )
-    return rows.withColumn("seq", F.struct("file", "block", "_id")).drop("file", "block", "_id")
+    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(directory).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("_id"),
+        F.lit(False).alias(TAIL),
+    ).where(F.trim("value") != "")
+    return _or_raise(_parsed(lines, schema)).select("_r.*", F.struct("file", "block", "_id").alias("seq")).drop(BAD)
 
 
 def containing(spark: SparkSession, path: str, mark: str, schema: T.StructType) -> DataFrame:

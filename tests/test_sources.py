@@ -19,10 +19,32 @@ def test_json_lines_skip_blank_and_torn_lines(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text(body)
     with gzip.open(tmp_path / "b.jsonl.gz", "wt") as f:
         f.write(json.dumps({"run_id": "z", "catalog_id": 2, "group_id": "h"}) + "\n")
-    rows, torn = readers.json_lines(spark, str(tmp_path / "a.jsonl"), ROW, rejects=True)
+    rows, torn = readers.json_lines(spark, str(tmp_path / "a.jsonl"), ROW, "rejects")
     assert sorted(r["run_id"] for r in rows.collect()) == ["r0", "r1", "r2"] and torn.count() == 1
-    suite = readers.suite_rows(spark, [str(tmp_path / "a.jsonl"), str(tmp_path / "b.jsonl.gz")], ROW)
-    assert suite.count() == 4
+    both = [str(tmp_path / "a.jsonl"), str(tmp_path / "b.jsonl.gz")]
+    assert readers.suite_rows(spark, both, ROW, "drop").count() == 4
+    with pytest.raises(Exception, match="bad JSON line"):
+        readers.suite_rows(spark, both, ROW).collect()
+    assert readers.json_lines(spark, both, ROW, complete_lines=True).count() == 4
+
+
+def test_mistyped_lines_fail_and_only_unterminated_tails_go(spark, tmp_path):
+    good, mistyped = json.dumps({"run_id": "a", "catalog_id": 1}), json.dumps({"run_id": "b", "catalog_id": "one"})
+    (tmp_path / "x.jsonl").write_text(f"{good}\n{good}\n{good}")
+    (tmp_path / "y.jsonl").write_text(f"{good}\n{mistyped}\n")
+    assert readers.json_lines(spark, str(tmp_path / "x.jsonl"), ROW, complete_lines=True).count() == 2
+    assert readers.json_lines(spark, str(tmp_path / "x.jsonl"), ROW).count() == 3
+    for complete in (False, True):
+        with pytest.raises(Exception, match="bad JSON line"):
+            readers.json_lines(spark, str(tmp_path / "y.jsonl"), ROW, complete_lines=complete).collect()
+    with pytest.raises(Exception, match="bad JSON line"):
+        readers.predictions(spark, str(tmp_path), ROW).collect()
+    assert readers.json_lines(spark, str(tmp_path), ROW, "drop").count() == 4
+
+
+def test_marked_lines(spark, tmp_path):
+    rows = [{"run_id": f"r{i}", "catalog_id": 1, "group_id": "g"} for i in range(3)]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, rows)))
     marked = readers.containing(spark, str(tmp_path / "a.jsonl"), '"run_id": "r1"', ROW)
     assert [r["run_id"] for r in marked.collect()] == ["r1"]
 
