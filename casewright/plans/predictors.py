@@ -40,3 +40,19 @@ class Uniform(Predictor):
                     "type": "choice", "choice": options[0], "probabilities": dict.fromkeys(options, 1 / len(options))
                 }
         return {"answers": answers}
+
+
+class Unbuildable(ByLength):
+    """Cannot be set up, like a predictor whose model is missing."""
+
+    def warmup(self):
+        raise RuntimeError("no model")
+
+
+class WholeCalls(ByLength):
+    """Answers whole calls at once; a call with a text over ``longest`` characters fails as one."""
+
+    def batch(self, payloads):
+        if any(len(p["state"]["text"]) > self.options.get("longest", 20_000) for p in payloads):
+            raise RuntimeError("call failed")
+        return [self(**p) if len(p["state"]["text"]) >= 20 else Abstained("too little to go on") for p in payloads]

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casewright.operators import facts, inference, metrics
 from casewright.plans.derived import status_of
-from casewright.plans.predictors import ByLength
+from casewright.plans.predictors import ByLength, Unbuildable, WholeCalls
 from casewright.plans.registry import query, table
 from casewright.functions import hashing
 from casewright.functions import receipts as fields
 from casewright.session import checkpoint_dir
+from casewright.sources import readers
 from casewright.streaming import result_log
 
 
@@ -110,15 +112,24 @@ def uniform_baseline(spark, d):
     return out.select("run_id", "field", "choice", "noul", F.try_element_at("probabilities", F.lit("0")).alias("p0"))
 
 
-@query("""
-SELECT 'doc:' || doc_id::VARCHAR AS run_id, CASE WHEN length(text) > 20000 THEN 'unsupported' WHEN length(text) < 20 THEN 'abstained' ELSE 'ok' END AS status,
-  CASE WHEN length(text) BETWEEN 20 AND 20000 THEN CASE WHEN length(text) > 800 THEN '1' ELSE '0' END END AS choice FROM documents""")
-def batch_scoring(spark, d):
+def quality_requests(spark, d):
+    """One request per document: its text, and whether it is good."""
     asked = '{"quality": {"type": "choice", "instructions": "Is it good text?", "criteria": {"0": "poor", "1": "good"}}}'
-    requests = table(spark, d, "documents").select(
+    return table(spark, d, "documents").select(
         F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("run_id"),
         F.to_json(F.struct("text")).alias("state"), F.lit(asked).alias("questions"),
     )
+
+
+def new_folder(spark, name):
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""
+SELECT 'doc:' || doc_id::VARCHAR AS run_id, CASE WHEN length(text) > 20000 THEN 'unsupported' WHEN length(text) < 20 THEN 'abstained' ELSE 'ok' END AS status,
+  CASE WHEN length(text) BETWEEN 20 AND 20000 THEN CASE WHEN length(text) > 800 THEN '1' ELSE '0' END END AS choice FROM documents""")
+def batch_scoring(spark, d):
+    requests = quality_requests(spark, d)
     log = inference.run(requests, "by-length", ByLength)
     return log.select("run_id", "status", F.get_json_object("response", "$.answers.quality.choice").alias("choice"))
 
@@ -277,3 +288,56 @@ def scored_run(spark, d):
     log = inference.run(inference.request_json(cases), "by-length", ByLength, batch_key=None).withColumn("seq", F.lit(1))
     fact = evaluate.scored_fact(cases, log)
     return fact.select("run_id", F.col("catalog_id").alias("lang"), "pred", "gold", "status")
+
+
+BY_LENGTH = "CASE WHEN length(text) > 20000 THEN 'unsupported' WHEN length(text) < 20 THEN 'abstained' ELSE 'ok' END"
+
+
+@query(f"""
+SELECT 'doc:' || doc_id::VARCHAR AS run_id, {BY_LENGTH} AS status, 1 AS records FROM documents""")
+def resume_after_failure(spark, d):
+    """A first run whose predictor cannot be set up leaves no record; the second takes everything up, the third nothing."""
+    requests, log = quality_requests(spark, d), new_folder(spark, "log")
+    try:
+        inference.run_in_waves(requests, "by-length", Unbuildable, log, waves=2)
+        raise AssertionError("the first run cannot end well")
+    except PythonException:
+        pass
+    for _ in range(2):
+        inference.run_in_waves(requests, "by-length", ByLength, log, waves=2)
+    return inference.read_log(spark, log).groupBy("run_id").agg(F.max("status").alias("status"), F.count(F.lit(1)).cast("int").alias("records"))
+
+
+@query(f"""
+SELECT 'doc:' || doc_id::VARCHAR AS run_id, {BY_LENGTH} AS status FROM documents ORDER BY sha256('doc:' || doc_id::VARCHAR) LIMIT 100""")
+def limited_waves(spark, d):
+    """The hundred lowest hashes, in two waves; one event for each wave."""
+    log, events = new_folder(spark, "log"), []
+    inference.run_in_waves(quality_requests(spark, d), "by-length", ByLength, log, waves=2, limit=100, on_event=events.append)
+    if [e["wave"] for e in events] != [0, 1]:
+        raise AssertionError("an event for each wave")
+    return inference.read_log(spark, log).select("run_id", "status")
+
+
+@query("""
+SELECT 'doc:' || doc_id::VARCHAR AS run_id, CASE WHEN length(text) > 20000 THEN 'error' WHEN length(text) < 20 THEN 'abstained' ELSE 'ok' END AS status FROM documents""")
+def chunked_scoring(spark, d):
+    """Calls of one request each: a call that fails marks no other request."""
+    return inference.run(quality_requests(spark, d), "whole", WholeCalls, chunk=1).select("run_id", "status")
+
+
+@query("""
+SELECT CASE WHEN doc_id % 10 IN (3, 7) THEN 'rejected' ELSE 'kept' END AS outcome, count(*) AS lines,
+  sum(CASE WHEN doc_id % 10 NOT IN (3, 7) THEN n_chars END)::BIGINT AS chars FROM documents GROUP BY 1""")
+def json_lines_roundtrip(spark, d):
+    """Documents as JSON lines, some torn and some with text for a number, read back with their rejects."""
+    docs, path = table(spark, d, "documents"), new_folder(spark, "lines")
+    line = F.to_json(F.struct("doc_id", "lang", "n_chars"))
+    mistyped = F.to_json(F.struct("doc_id", "lang", F.lit("many").alias("n_chars")))
+    written = F.when(F.col("doc_id") % 10 == 3, mistyped).when(F.col("doc_id") % 10 == 7, F.expr("left(to_json(struct(doc_id, lang)), 9)")).otherwise(line)
+    docs.select(written.alias("value")).write.text(path)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("n_chars", T.LongType())])
+    good, bad = readers.json_lines(spark, path, schema, "rejects")
+    kept = good.select(F.lit("kept").alias("outcome"), "n_chars")
+    both = kept.unionByName(bad.select(F.lit("rejected").alias("outcome"), F.lit(None).cast("long").alias("n_chars")))
+    return both.groupBy("outcome").agg(F.count(F.lit(1)).alias("lines"), F.sum("n_chars").alias("chars"))
