@@ -13,6 +13,8 @@ a group never outgrows a task.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,8 +32,13 @@ CAPACITY = 2048
 GROUP = 4096
 SEPARATOR = 1
 SEED = 7
+# The mark of a token that ends a word, and signs that close one and are a piece of their own.
+END = "</w>"
+CLOSING = ".,;:!?)"
+SPECIAL = b"<|"
+LAST = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 # Words of one generation that a Python worker remembers.
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 500_000
 
 
 class WordEncoder:
@@ -44,25 +51,55 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # A task has one core; threads of the library would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith(END)
         # Words met lately, in two generations: what is not asked for again while one fills is forgotten.
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
+    def _learn(self, fresh: list[bytes]) -> None:
+        """Encode words that are not known yet.
+
+        Letters with or without closing signs make one or two pieces, each with
+        one token that ends it; such words are encoded in one text and told apart
+        by these ends. All others are encoded one by one.
+        """
+        words = [w.decode("utf-8") for w in fresh]
+        cores = [w.rstrip(CLOSING) for w in words]
+        plain = [i for i, core in enumerate(cores) if core.isalpha()]
+        if plain:
+            pieces = np.array([1 + (len(cores[i]) < len(words[i])) for i in plain])
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words[i] for i in plain)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == pieces.sum():  # else a letter is not one after folding
+                cuts = [0, *ends[np.cumsum(pieces) - 1].tolist()]
+                data = ids.tobytes()
+                self.known.update((fresh[i], data[4 * a : 4 * b]) for i, a, b in zip(plain, cuts, cuts[1:], strict=False))
+        rest = [i for i, w in enumerate(fresh) if w not in self.known]
+        coded = self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)
+        self.known.update((fresh[i], np.array(c.ids, "<u4").tobytes()) for i, c in zip(rest, coded, strict=True))
+
+    @staticmethod
+    def _words(text: bytes) -> list[bytes]:
+        """Words between ASCII white space, in lower case and without the full stop or comma after a letter, which is a word then."""
+        # The tokenizer folds case itself, but its special tokens are looked for before that.
+        return (text if SPECIAL in text else LAST.sub(rb" \1", text.lower())).split()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text."""
         out = []
-        for text in texts:
+        for at in range(0, len(texts), 256):
             if len(self.known) > MEMORY_WORDS:
                 self.before, self.known = self.known, {}
-            words = text.split()  # bytes split at ASCII white space only
-            fresh = set(words).difference(self.known)
+            split = [self._words(text) for text in texts[at : at + 256]]
+            fresh = {w for words in split for w in words if w not in self.known}
             self.known.update((w, self.before[w]) for w in fresh.intersection(self.before))
-            fresh = list(fresh.difference(self.before))
-            if fresh:
-                coded = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in fresh], add_special_tokens=False)
-                self.known.update(zip(fresh, (np.array(c.ids, "<u4").tobytes() for c in coded), strict=True))
-            out.append(b"".join(map(self.known.__getitem__, words)))
+            self._learn(list(fresh.difference(self.before)))
+            out += [b"".join(map(self.known.__getitem__, words)) for words in split]
         return out
 
 
