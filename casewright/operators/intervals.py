@@ -34,20 +34,25 @@ def overlap_stats(
 ) -> DataFrame:
     """Count and sum of rows of the same key within ``reach`` of each row, itself included.
 
-    Each key is cut into blocks of its order column. A row is also copied to the
-    blocks that lie within its reach, so a range frame sees all it needs inside
-    one block and no pair of rows is ever built. Smaller blocks mean smaller
-    tasks for dense keys at the price of more copies.
+    Each key is cut into blocks of its whole-number order column. A row is also
+    copied to the blocks that lie within its reach, so all it needs is in one
+    block and no pair of rows is ever built. What lies within reach is the
+    difference of two running totals, up to ``at + reach`` and before ``at -
+    reach``: a row enters each once, so time grows with the rows however dense a
+    key is. Totals are decimals (12 places), so the difference is exact. Smaller
+    blocks mean smaller tasks at the price of more copies.
     """
     home = F.floor(F.col(at) / block)
     spots = F.sequence(F.floor((F.col(at) - reach) / block), F.floor((F.col(at) + reach) / block))
-    copies = df.withColumns({"_home": home, "_block": F.explode(spots)})
-    frame = Window.partitionBy(key, "_block").orderBy(at).rangeBetween(-reach, reach)
-    return (
-        copies.withColumns({"near_rows": F.count(F.lit(1)).over(frame), "near_sum": F.sum(value).over(frame)})
-        .where("_home = _block")
-        .drop("_home", "_block")
-    )
+    copies = df.withColumns({"_home": home, "_block": F.explode(spots), "_v": F.col(value).cast("decimal(28,12)")})
+    ordered = Window.partitionBy(key, "_block").orderBy(at)
+    until, before = (ordered.rangeBetween(Window.unboundedPreceding, to) for to in (reach, -reach - 1))
+    none = F.lit(0).cast("decimal(38,12)")
+    totals = {
+        "near_rows": F.count(F.lit(1)).over(until) - F.count(F.lit(1)).over(before),
+        "near_sum": (F.coalesce(F.sum("_v").over(until), none) - F.coalesce(F.sum("_v").over(before), none)).cast("double"),
+    }
+    return copies.withColumns(totals).where("_home = _block").drop("_home", "_block", "_v")
 
 
 def context(
