@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 HOT_SHARES = 1000
 PLAIN_JOIN_ROWS = 2_000_000
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when the DataFrame has at most ``rows`` rows; reads no more than needed."""
-    return df.limit(rows + 1).count() <= rows
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True when the DataFrame has at most ``rows`` rows that take at most ``size`` bytes; reads no more than needed."""
+    width = F.octet_length(F.struct(*[F.col(f"`{c}`") for c in df.columns]).cast("string"))
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    return found["n"] <= rows and found["b"] <= size
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast only after counting; otherwise leave the strategy to the optimizer."""
+    """Broadcast only after counting rows and bytes; otherwise leave the strategy to the optimizer."""
     return F.broadcast(df) if small_enough(df, rows) else df
 
 

@@ -179,3 +179,22 @@ def manifest(rows: DataFrame, benchmark: str, group: str, n_fields: str, tokens:
         )
         .withColumn("estimated_usd", F.col("proxy_tokens") * F.lit(price_per_million) / 1e6)
     )
+
+
+def corpus_checks(corpus: DataFrame, doc: str, content: str) -> DataFrame:
+    """(check, n): documents, ids that occur more than once, those with unlike contents, and rows without id or content.
+
+    Contents are compared by digest, counted by id before anything is shuffled.
+    """
+    digest = F.sha2(F.col(content), 256)
+    ids = corpus.where(F.col(doc).isNotNull()).groupBy(doc).agg(
+        F.count(F.lit(1)).alias("n"), F.min(digest).alias("low"), F.max(digest).alias("high"), F.count(content).alias("full")
+    )
+    unlike = (F.col("low") != F.col("high")) | F.col("full").between(1, F.col("n") - 1)
+    by_id = ids.agg(F.count_if(F.col("n") > 1).alias("repeated_ids"), F.count_if(unlike).alias("conflicting_ids"))
+    rows = corpus.agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.col(doc).isNull()).alias("without_id"),
+        F.count_if(F.coalesce(F.trim(content), F.lit("")) == "").alias("without_content"),
+    )
+    stacked = [part.unpivot([], part.columns, "check", "n") for part in (rows, by_id)]
+    return stacked[0].unionByName(stacked[1])

@@ -111,3 +111,10 @@ def tied_out(rows: DataFrame, label: Column, consistent: Column) -> tuple[DataFr
     """(rows whose sides do not tie, rows among them whose label contradicts the values)."""
     kept = rows.where(label != 0)
     return kept, kept.where(~consistent)
+
+
+def ordered_distinct(rows: DataFrame, keys: list[str], value: str, order: str, out: str) -> DataFrame:
+    """Distinct values of each key as a list, in the order they first appear; counted before the shuffle."""
+    first = rows.groupBy(*keys, value).agg(F.min(order).alias("_at"))
+    listed = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", value))).alias("_l"))
+    return listed.select(*keys, F.transform("_l", lambda e: e[value]).alias(out))

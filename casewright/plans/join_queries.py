@@ -73,12 +73,12 @@ def composite_key_join(spark, d):
 @query("""
 WITH inv AS (SELECT DISTINCT p_brand AS category FROM part), s AS (SELECT unnest(['F', 'O']) AS sentiment),
 iv AS (SELECT category, sentiment, (row_number() OVER (ORDER BY category, sentiment) - 1) // 8 + 1 AS block FROM inv, s),
-g AS (SELECT DISTINCT l_suppkey, p_brand AS category, l_linestatus AS sentiment FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 45)
+g AS (SELECT DISTINCT l_suppkey, p_brand AS category, l_linestatus AS sentiment FROM lineitem JOIN part ON p_partkey = l_partkey)
 SELECT l_suppkey, block, count(*) AS questions, count(*) FILTER (EXISTS (SELECT 1 FROM g WHERE g.l_suppkey = r.l_suppkey AND g.category = iv.category AND g.sentiment = iv.sentiment)) AS yes
-FROM (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_quantity > 45) r, iv GROUP BY l_suppkey, block""")
+FROM (SELECT DISTINCT l_suppkey FROM lineitem) r, iv GROUP BY l_suppkey, block""")
 def inventory_questions(spark, d):
     part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    li = table(spark, d, "lineitem").where("l_quantity > 45").select("l_suppkey", "l_partkey", "l_linestatus")
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_linestatus")
     pairs = F.concat_ws("|", "p_brand", "l_linestatus")
     # A review's gold pairs are a set of inventory entries.
     reviews = li.join(part, "l_partkey").groupBy("l_suppkey").agg(F.collect_set(pairs).alias("pairs")).withColumn("domain", F.lit("parts"))
@@ -147,36 +147,45 @@ def leak_free_split(spark, d):
 
 
 @query("""
-SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS first_priority, count(DISTINCT o_orderpriority) AS n,
-  (list_position(['F', 'O', 'P'], min(o_orderstatus)) - 1)::BIGINT AS status_at FROM orders GROUP BY o_custkey""")
+WITH f AS (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS first_key FROM orders GROUP BY ALL)
+SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY first_key) AS priorities FROM f GROUP BY o_custkey""")
 def ordered_distinct(spark, d):
-    o = table(spark, d, "orders")
-    out = o.groupBy("o_custkey").agg(
-        F.min_by("o_orderpriority", "o_orderkey").alias("first_priority"),
-        F.count_distinct("o_orderpriority").alias("n"),
-        F.min("o_orderstatus").alias("s"),
-    )
-    at = F.array_position(F.array(*[F.lit(x) for x in "FOP"]), F.col("s")) - 1
-    return out.select("o_custkey", "first_priority", "n", at.alias("status_at"))
+    listed = joins.ordered_distinct(table(spark, d, "orders"), ["o_custkey"], "o_orderpriority", "o_orderkey", "priorities")
+    return listed.withColumn("priorities", F.array_join("priorities", ","))
+
+
+@query("""
+SELECT o_orderkey, (list_position(['F', 'O', 'P'], o_orderstatus) - 1)::BIGINT AS status_at FROM orders""")
+def value_position(spark, d):
+    at = F.array_position(F.array(*[F.lit(x) for x in "FOP"]), F.col("o_orderstatus")) - 1
+    return table(spark, d, "orders").select("o_orderkey", at.alias("status_at"))
 
 
 @query("""
-WITH b AS (SELECT p_partkey, [p_size, 0, p_size + 10, 10] AS target, [[0, 0, 10, 10], [p_size + 5, 0, p_size + 15, 10], [p_size + 12, 0, p_size + 20, 10], [p_size + 18, 0, p_size + 30, 10], [p_size + 40, 0, p_size + 50, 10]] AS x FROM part)
-SELECT p_partkey, CASE WHEN p_size >= 10 THEN 3 ELSE 2 END AS kept FROM part""")
+WITH b AS (SELECT p_partkey, p_size AS t0, p_size + 10 AS t1, p_partkey % 40 AS a0, p_partkey % 40 + 9 AS a1, p_size + 5 AS b0, p_size + 15 AS b1,
+  p_partkey % 70 AS c0, p_partkey % 70 + 8 AS c1, p_size + 18 AS d0, p_size + 30 AS d1 FROM part),
+m AS (SELECT *, a0 < t1 AND t0 < a1 AS a_t, b0 < t1 AND t0 < b1 AS b_t, c0 < t1 AND t0 < c1 AS c_t, d0 < t1 AND t0 < d1 AS d_t, a0 < b1 AND b0 < a1 AS ab, a0 < c1 AND c0 < a1 AS ac,
+  a0 < d1 AND d0 < a1 AS ad, b0 < c1 AND c0 < b1 AS bc, b0 < d1 AND d0 < b1 AS bd, c0 < d1 AND d0 < c1 AS cd FROM b),
+k1 AS (SELECT *, NOT a_t AS ka FROM m), k2 AS (SELECT *, NOT b_t AND NOT (ka AND ab) AS kb FROM k1),
+k3 AS (SELECT *, NOT c_t AND NOT (ka AND ac) AND NOT (kb AND bc) AS kc FROM k2), k4 AS (SELECT *, NOT d_t AND NOT (ka AND ad) AND NOT (kb AND bd) AND NOT (kc AND cd) AS kd FROM k3)
+SELECT p_partkey, concat_ws(',', CASE WHEN ka THEN a0 END, CASE WHEN kb THEN b0 END, CASE WHEN kc THEN c0 END, CASE WHEN kd THEN d0 END) AS kept FROM k4""")
 def kept_boxes(spark, d):
-    s = F.col("p_size")
+    s, k = F.col("p_size"), F.col("p_partkey")
 
-    def box(x0, x1):
-        return F.struct(x0.alias("x0"), F.lit(0).alias("y0"), x1.alias("x1"), F.lit(10).alias("y1"))
+    def box(x0, width):
+        x0 = x0.cast("bigint")
+        return F.struct(x0.alias("x0"), F.lit(0).alias("y0"), (x0 + width).alias("x1"), F.lit(10).alias("y1"))
 
-    boxes = F.array(box(F.lit(0), F.lit(10)), box(s + 5, s + 15), box(s + 12, s + 20), box(s + 18, s + 30), box(s + 40, s + 50))
-    kept = arrays.kept_boxes(boxes, box(s, s + 10))
-    return table(spark, d, "part").select("p_partkey", F.size(kept).alias("kept"))
+    boxes = F.array(box(k % 40, 9), box(s + 5, 10), box(k % 70, 8), box(s + 18, 12))
+    kept = arrays.kept_boxes(boxes, box(s, 10))
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(kept, lambda b: b["x0"].cast("string")), ",").alias("kept"))
 
 
 @query("""
-SELECT user_id, event_type, n AS latest FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)""")
+SELECT user_id, event_type, max(event_id) AS latest FROM events GROUP BY ALL""")
 def merged_maps(spark, d):
-    n = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    maps = n.groupBy("user_id").agg(F.collect_list(F.create_map("event_type", "n")).alias("m"))
-    return maps.select("user_id", F.explode(arrays.merged(F.col("m"))).alias("event_type", "latest"))
+    """Each event is a map of its type to its id; in order of the ids, later ones win."""
+    one = F.struct("event_id", "event_type")
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(one)).alias("e"))
+    maps = F.transform("e", lambda e: F.create_map(e["event_type"], e["event_id"]))
+    return rows.select("user_id", F.explode(arrays.merged(maps)).alias("event_type", "latest"))

@@ -197,10 +197,18 @@ def answerable_queries(spark, d):
 
 
 @query("""
-SELECT text AS text_key, count(*) AS n, false AS conflict, count(*) - 1 AS duplicates FROM documents GROUP BY text HAVING count(*) > 1""")
+WITH c AS (SELECT CASE WHEN doc_id % 50 = 3 THEN doc_id - 1 WHEN doc_id % 50 <> 7 THEN doc_id END AS id, CASE WHEN doc_id % 30 = 5 THEN ' ' WHEN doc_id % 30 <> 11 THEN text END AS content FROM documents),
+g AS (SELECT id, count(*) AS n, count(DISTINCT content) + (count(content) < count(*))::INT AS contents FROM c WHERE id IS NOT NULL GROUP BY id)
+SELECT 'documents' AS "check", count(*) AS n FROM c UNION ALL SELECT 'without_id', count(*) FILTER (id IS NULL) FROM c
+UNION ALL SELECT 'without_content', count(*) FILTER (content IS NULL OR trim(content) = '') FROM c
+UNION ALL SELECT 'repeated_ids', count(*) FILTER (n > 1) FROM g UNION ALL SELECT 'conflicting_ids', count(*) FILTER (contents > 1) FROM g""")
 def corpus_uniqueness(spark, d):
-    docs = table(spark, d, "documents").select(F.col("text").alias("text_key"))
-    return audits.key_conflicts(docs, ["text_key"], F.sha2("text_key", 256))
+    """Documents with some ids repeated or missing and some contents missing."""
+    k = F.col("doc_id")
+    docs = table(spark, d, "documents").select(
+        F.when(k % 50 == 3, k - 1).when(k % 50 != 7, k).alias("id"), F.when(k % 30 == 5, F.lit(" ")).when(k % 30 != 11, F.col("text")).alias("content")
+    )
+    return audits.corpus_checks(docs, "id", "content")
 
 
 CHUNKS = """

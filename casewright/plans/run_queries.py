@@ -139,11 +139,9 @@ SELECT event_type, max((props->>'$.k')::BIGINT) AS max_image_pixels, max(value)
 FROM events GROUP BY event_type""")
 def usage_by_type(spark, d):
     e = table(spark, d, "events").select(
-        "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("p"), F.col("value").alias("t")
-    )
-    return e.groupBy("event_type").agg(
-        F.max("p").alias("max_image_pixels"), F.max("t").alias("max_image_tokens"), F.count("t").alias("rows_with_image_tokens")
+        "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("image_pixels"), F.col("value").alias("image_tokens")
     )
+    return inference.usage_budget(e, keys=("event_type",))
 
 
 @query("""

@@ -125,15 +125,18 @@ def scored_fields(spark, d):
 
 
 @query("""
-SELECT c_custkey, n_f, n_o, CASE WHEN n_f > n_o THEN 1 ELSE -1 END AS label FROM (
-  SELECT o_custkey AS c_custkey, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o FROM orders GROUP BY o_custkey)
-WHERE n_f <> n_o""")
+SELECT c_custkey, n_f, n_o, label FROM (
+  SELECT o_custkey AS c_custkey, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o,
+    sign(count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority < '3') - count(*) FILTER (o_orderstatus = 'O' AND o_orderpriority < '3'))::INTEGER AS label
+  FROM orders GROUP BY o_custkey) WHERE label <> 0 AND sign(n_f - n_o) = label""")
 def tie_drop(spark, d):
+    """Customers labelled by their urgent orders; those whose label all orders contradict are left out after ties."""
+    sided = lambda s, more="true": F.count_if((F.col("o_orderstatus") == s) & F.expr(more))
+    urgent = "o_orderpriority < '3'"
     n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-        F.count_if(F.col("o_orderstatus") == "F").alias("n_f"), F.count_if(F.col("o_orderstatus") == "O").alias("n_o")
+        sided("F").alias("n_f"), sided("O").alias("n_o"), F.signum(sided("F", urgent) - sided("O", urgent)).cast("int").alias("label")
     )
-    labelled = n.withColumn("label", F.signum(F.col("n_f") - F.col("n_o")).cast("int"))
-    kept, wrong = joins.tied_out(labelled, F.col("label"), F.signum(F.col("n_f") - F.col("n_o")) == F.col("label"))
+    kept, wrong = joins.tied_out(n, F.col("label"), F.signum(F.col("n_f") - F.col("n_o")) == F.col("label"))
     return kept.join(wrong.select("c_custkey"), "c_custkey", "left_anti")
 
 
@@ -227,13 +230,15 @@ def pinned_row_digests(spark, d):
 
 
 @query("""
-WITH f AS (SELECT lang, count(*) AS rows, min(sha256(text)) AS low FROM documents GROUP BY lang)
-SELECT lang, true AS rows_match, lang <> 'fr' AS low_match FROM f""")
+WITH w AS (SELECT lang, count(*) AS rows, min(sha256(text)) AS low, max(sha256(text)) AS high FROM documents GROUP BY lang),
+f AS (SELECT lang, count(*) AS rows, min(sha256(text)) AS low, max(sha256(text)) AS high FROM documents WHERE doc_id > 0 AND lang <> 'de' GROUP BY lang)
+SELECT w.lang, coalesce(w.rows = f.rows, false) AS rows_match, coalesce(w.low = f.low, false) AS low_match, coalesce(w.high = f.high, false) AS high_match FROM w LEFT JOIN f USING (lang)""")
 def digests_against_pins(spark, d):
-    docs = table(spark, d, "documents").select("lang", F.sha2("text", 256).alias("p"))
-    found = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.min("p").alias("low"))
-    pins = found.withColumn("low", F.when(F.col("lang") == "fr", F.lit("other")).otherwise(F.col("low")))
-    return digests.against_pins(found, pins, ["lang"], ["rows", "low"])
+    """Pins of all documents against a copy that lacks the first document and a language."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("p"))
+    ends = [F.count(F.lit(1)).alias("rows"), F.min("p").alias("low"), F.max("p").alias("high")]
+    found = docs.where("doc_id > 0 and lang <> 'de'").groupBy("lang").agg(*ends)
+    return digests.against_pins(found, docs.groupBy("lang").agg(*ends), ["lang"], ["rows", "low", "high"])
 
 
 @query("""
@@ -306,14 +311,14 @@ def run_comparison_examples(spark, d):
 
 @query("""
 WITH e AS (SELECT DISTINCT l_suppkey AS k, l_linenumber AS m FROM lineitem WHERE l_returnflag = 'A'),
-a AS (SELECT l_suppkey AS k, l_linenumber AS m FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 48),
+a AS (SELECT l_suppkey AS k, l_linenumber AS m FROM lineitem WHERE l_returnflag = 'R'),
 u AS (SELECT k, m, max(x) AS e, count(*) FILTER (x = 0) AS a FROM (SELECT k, m, 1 AS x FROM e UNION ALL SELECT k, m, 0 FROM a) GROUP BY ALL)
 SELECT k, count(*) FILTER (a = 0) AS missing, count(*) FILTER (e = 0) AS extra, count(*) FILTER (a > 1 AND e = 1) AS repeated,
   count(*) FILTER (a = 0 OR e = 0 OR a > 1) = 0 AS same FROM u GROUP BY k""")
 def set_equality(spark, d):
-    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_linenumber").alias("m"), "l_returnflag", "l_quantity")
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_linenumber").alias("m"), "l_returnflag")
     expected = li.where("l_returnflag = 'A'").select("k", "m").distinct()
-    actual = li.where("l_returnflag = 'R' and l_quantity > 48").select("k", "m")
+    actual = li.where("l_returnflag = 'R'").select("k", "m")
     return audits.same_members(expected, actual, ["k"], "m").select("k", "missing", "extra", "repeated", "same")
 
 
