@@ -6,6 +6,7 @@ import importlib
 
 QUERY_MODULES = (
     "metric_queries", "index_queries", "sampling_queries", "suite_queries", "join_queries", "retrieval_queries", "run_queries",
+    "source_queries",
 )
 
 

@@ -26,5 +26,5 @@ def evaluate(
 ) -> DataFrame:
     """Run what is not yet in the log, then summarise every benchmark and track from the log."""
     inference.run_in_waves(inference.request_json(cases), engine, predictor, log_path, waves, limit)
-    log = cases.sparkSession.read.parquet(log_path)
+    log = inference.read_log(cases.sparkSession, log_path)
     return score.summary(scored_fact(cases, log), "total_wall_ms")
