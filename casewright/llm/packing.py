@@ -36,7 +36,7 @@ SEED = 7
 END = "</w>"
 CLOSING = ".,;:!?)"
 SPECIAL = b"<|"
-LAST = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+LAST = re.compile(rb"([.,])(?<=[a-z][.,])(?=[ \n])")
 # Words of one generation that a Python worker remembers.
 MEMORY_WORDS = 500_000
 
@@ -64,24 +64,31 @@ class WordEncoder:
     def _learn(self, fresh: list[bytes]) -> None:
         """Encode words that are not known yet.
 
-        Letters with or without closing signs make one or two pieces, each with
-        one token that ends it; such words are encoded in one text and told apart
-        by these ends. All others are encoded one by one.
+        Letters make one piece, and closing signs after them another, each with one
+        token that ends it; such words are encoded in one text and told apart by
+        these ends. All others are encoded one by one.
         """
-        words = [w.decode("utf-8") for w in fresh]
+        plain = [w for w in fresh if w.isalpha()]  # ASCII letters
+        self._learn_together(plain, [w.decode() for w in plain], np.ones(len(plain), np.int64))
+        rest = [w for w in fresh if w not in self.known]
+        words = [w.decode("utf-8") for w in rest]
         cores = [w.rstrip(CLOSING) for w in words]
-        plain = [i for i, core in enumerate(cores) if core.isalpha()]
-        if plain:
-            pieces = np.array([1 + (len(cores[i]) < len(words[i])) for i in plain])
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words[i] for i in plain)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == pieces.sum():  # else a letter is not one after folding
-                cuts = [0, *ends[np.cumsum(pieces) - 1].tolist()]
-                data = ids.tobytes()
-                self.known.update((fresh[i], data[4 * a : 4 * b]) for i, a, b in zip(plain, cuts, cuts[1:], strict=False))
-        rest = [i for i, w in enumerate(fresh) if w not in self.known]
-        coded = self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)
-        self.known.update((fresh[i], np.array(c.ids, "<u4").tobytes()) for i, c in zip(rest, coded, strict=True))
+        some = [i for i, core in enumerate(cores) if core.isalpha()]
+        self._learn_together([rest[i] for i in some], [words[i] for i in some], np.array([1 + (len(cores[i]) < len(words[i])) for i in some], np.int64))
+        rest = [w for w in rest if w not in self.known]
+        coded = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in rest], add_special_tokens=False)
+        self.known.update(zip(rest, (np.array(c.ids, "<u4").tobytes() for c in coded), strict=True))
+
+    def _learn_together(self, keys: list[bytes], words: list[str], pieces: np.ndarray) -> None:
+        """Encode words of so many pieces each in one text; leaves them unknown if the ends do not add up."""
+        if not keys:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == pieces.sum():  # else a letter is not one after folding
+            cuts = (4 * ends[np.cumsum(pieces) - 1]).tolist()
+            data = ids.tobytes()
+            self.known.update(zip(keys, [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
 
     @staticmethod
     def _words(text: bytes) -> list[bytes]:
@@ -96,7 +103,7 @@ class WordEncoder:
             if len(self.known) > MEMORY_WORDS:
                 self.before, self.known = self.known, {}
             split = [self._words(text) for text in texts[at : at + 256]]
-            fresh = {w for words in split for w in words if w not in self.known}
+            fresh = set().union(*split).difference(self.known)
             self.known.update((w, self.before[w]) for w in fresh.intersection(self.before))
             self._learn(list(fresh.difference(self.before)))
             out += [b"".join(map(self.known.__getitem__, words)) for words in split]
