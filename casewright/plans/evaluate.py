@@ -28,3 +28,12 @@ def evaluate(
     inference.run_in_waves(inference.request_json(cases), engine, predictor, log_path, waves, limit)
     log = inference.read_log(cases.sparkSession, log_path)
     return score.summary(scored_fact(cases, log), "total_wall_ms")
+
+
+def evaluate_edition(
+    cases: DataFrame, dim: DataFrame, engine: str, predictor: Callable[[], inference.Predictor], log_path: str, waves: int = 8,
+) -> tuple[DataFrame, DataFrame]:
+    """Run what is not yet in the log, then values and index of an edition from it: (values, index)."""
+    inference.run_in_waves(inference.request_json(cases), engine, predictor, log_path, waves)
+    fact = scored_fact(cases, inference.read_log(cases.sparkSession, log_path))
+    return score.edition_report(fact.withColumn("value", F.lit(None).cast("double")), dim)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from casewright.operators import chance, metrics, rollup
 from casewright.operators.metrics import count_of
+from casewright.session import cut_lineage
 
 ALL_TRACKS = "*"
 
@@ -40,6 +41,54 @@ def summary(fact: DataFrame, wall: str) -> DataFrame:
     return counted.join(latency, ["catalog_id", "track"], "left")
 
 
+def native_scores(fact: DataFrame, dim: DataFrame, positive: str = "yes") -> DataFrame:
+    """(catalog_id, metric, score, answered, requests): each benchmark by its own metric, on complete groups.
+
+    ``fact(catalog_id, group_id, status, gold_label, pred_label, hit, value)``;
+    ``dim(catalog_id, metric)`` with metric ``accuracy``, ``macro_f1``,
+    ``positive_f1``, ``case_exact`` or ``mean_value``. ``hit`` already accepts ties
+    where a benchmark does; ``value`` is a row's own score (gain of a ranking,
+    quality of a route, squared error). The fact is read once: rows are counted by
+    group and label, and all metrics are taken from that table.
+    """
+    sub = cut_lineage(metrics.group_subtotals(
+        fact.join(dim.select("catalog_id"), "catalog_id", "left_semi"), ["catalog_id"], "group_id", ["status", "gold_label", "pred_label"],
+        F.sum("hit").alias("_hits"), F.count("hit").alias("_answered"), F.min("hit").alias("_all"),
+        F.sum("value").alias("_value"), F.count("value").alias("_valued"),
+    ))
+    done = sub.where("complete")
+    gold, pred = F.col("gold_label") == positive, F.col("pred_label") == positive
+    base = sub.groupBy("catalog_id").agg(
+        F.sum("n").alias("requests"), metrics.weighed(F.col("status") == "ok", "n").alias("answered"),
+        F.try_divide(F.sum(F.when(F.col("complete"), F.col("_hits"))), F.sum(F.when(F.col("complete"), F.col("_answered")))).alias("accuracy"),
+        F.try_divide(F.sum(F.when(F.col("complete"), F.col("_value"))), F.sum(F.when(F.col("complete"), F.col("_valued")))).alias("mean_value"),
+        metrics.f1_of(
+            metrics.weighed(F.col("complete") & gold & pred, "n"), metrics.weighed(F.col("complete") & gold, "n"),
+            metrics.weighed(F.col("complete") & pred, "n"),
+        ).alias("positive_f1"),
+    )
+    macro = metrics.macro_f1(done, ["catalog_id"], n="n")
+    macro = macro.select("catalog_id", "macro_f1")
+    cases = done.groupBy("catalog_id", "group_id").agg(F.min("_all").alias("_all")).groupBy("catalog_id").agg(F.avg("_all").alias("case_exact"))
+    joined = dim.select("catalog_id", "metric").join(base, "catalog_id", "left").join(macro, "catalog_id", "left").join(cases, "catalog_id", "left")
+    chosen = F.coalesce(*[F.when(F.col("metric") == m, F.col(m)) for m in ("accuracy", "macro_f1", "positive_f1", "case_exact", "mean_value")])
+    return joined.select("catalog_id", "metric", chosen.alias("score"), F.coalesce("answered", F.lit(0)).alias("answered"), F.coalesce("requests", F.lit(0)).alias("requests"))
+
+
+def edition_report(fact: DataFrame, dim: DataFrame, tracks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(values, index) of an edition from its fact: metric and rule of each benchmark come from ``dim`` (see ``spec``).
+
+    ``tracks(catalog_id, raw, skill, coverage)`` holds the benchmarks scored by
+    track; without it they count as not run. ``index`` is one row.
+    """
+    if tracks is None:
+        tracks = dim.sparkSession.createDataFrame([], "catalog_id int, raw double, skill double, coverage double")
+    native = native_scores(fact, dim)
+    values = rollup.benchmark_values(dim, native.drop("metric"), tracks)
+    filled = values.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("raw", "skill", "coverage")})
+    return filled, index_of(filled.where("in_index"))
+
+
 def run_latency(results: DataFrame, wall: str) -> DataFrame:
     """Median, p95 by floor index, and mean over all ok results of a run (one row)."""
     ok = results.where("status = 'ok'").withColumn("_all", F.lit(1))

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from casewright.functions import scoring
 from casewright.operators import inference, results
-from casewright.plans import evaluate
+from casewright.plans import evaluate, score, spec
 from casewright.plans.predictors import Uniform
 from casewright.plans.registry import query, table
 from casewright.plans.run_queries import quality_requests, typed_cases
@@ -151,3 +151,53 @@ def evaluated_log(spark, d):
     inference.run_in_waves(inference.request_json(cases), "uniform", Uniform, path, waves=2)
     fact = evaluate.scored_fact(cases, inference.read_log(spark, path)).where("field = 'quality'")
     return fact.groupBy(F.col("catalog_id").alias("lang")).agg(F.count(F.lit(1)).alias("requests"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("quality_right"))
+
+
+EDITION = """
+fa AS (SELECT CASE lang WHEN 'en' THEN 57 WHEN 'fr' THEN 5 WHEN 'de' THEN 9 ELSE 36 END AS catalog_id, doc_id // 3 AS g, n_chars % 7 <> 0 AS ok,
+  quality::VARCHAR AS gold, CASE WHEN n_chars % 7 <> 0 THEN (n_chars > 800)::INT::VARCHAR END AS pred, (n_chars % 100) / 100.0::DOUBLE AS value FROM documents JOIN labels USING (doc_id)),
+st AS (SELECT *, bool_and(ok) OVER (PARTITION BY catalog_id, g) AS done FROM fa),
+lb AS (SELECT catalog_id, label, sum(tp) AS tp, sum(gn) AS gn, sum(pn) AS pn FROM (SELECT catalog_id, gold AS label, (gold = pred)::INT AS tp, 1 AS gn, 0 AS pn FROM st WHERE done
+  UNION ALL SELECT catalog_id, pred, 0, 0, 1 FROM st WHERE done) GROUP BY ALL),
+mf AS (SELECT catalog_id, avg(2.0::DOUBLE * tp / (gn + pn)) AS macro FROM lb GROUP BY catalog_id),
+ce AS (SELECT catalog_id, avg(right_all) AS exact FROM (SELECT catalog_id, g, min((gold = pred)::INT)::DOUBLE AS right_all FROM st WHERE done GROUP BY ALL) GROUP BY catalog_id),
+bs AS (SELECT catalog_id, count(*) AS requests, count(*) FILTER (ok) AS answered, avg((gold = pred)::INT) FILTER (done) AS accuracy, avg(value) FILTER (done) AS mean_value FROM st GROUP BY catalog_id),
+nt AS (SELECT catalog_id, answered / requests::DOUBLE AS cov, CASE catalog_id WHEN 57 THEN accuracy WHEN 5 THEN macro WHEN 9 THEN exact ELSE mean_value END AS score
+  FROM bs LEFT JOIN mf USING (catalog_id) LEFT JOIN ce USING (catalog_id)),
+ch AS (SELECT unnest([57, 5, 9]) AS catalog_id, unnest([0.1109::DOUBLE, 0.006, 0.0]) AS chance, unnest(['added', 'display', 'display']) AS rule),
+rw AS (SELECT catalog_id, rule, chance, cov, score, CASE rule WHEN 'added' THEN round(score * cov, 4) ELSE round(score, 4) * cov END AS raw FROM nt JOIN ch USING (catalog_id))"""
+
+
+def edition_fact(spark, d):
+    """Labelled documents as four benchmarks, one for each native metric."""
+    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    ok = F.col("n_chars") % 7 != 0
+    number = F.when(F.col("lang") == "en", 57).when(F.col("lang") == "fr", 5).when(F.col("lang") == "de", 9).otherwise(36)
+    gold, pred = F.col("quality").cast("string"), F.when(ok, (F.col("n_chars") > 800).cast("int").cast("string"))
+    return j.select(
+        number.alias("catalog_id"), F.floor(F.col("doc_id") / 3).alias("group_id"), F.when(ok, "ok").otherwise("error").alias("status"), gold.alias("gold_label"),
+        pred.alias("pred_label"), F.when(ok, (gold == pred).cast("double")).alias("hit"), (F.col("n_chars") % 100 / 100).alias("value"),
+    )
+
+
+@query(f"""
+WITH {EDITION}
+SELECT catalog_id, round(raw, 6) AS raw, round(CASE rule WHEN 'added' THEN round(greatest(0, (raw - chance) / (1 - chance)), 4) ELSE greatest(0, (raw - chance) / (1 - chance)) END, 6) AS skill, round(cov, 6) AS coverage FROM rw
+UNION ALL SELECT 36, 0.0, 0.0, 0.0""")
+def edition_values(spark, d):
+    """Labelled documents as four benchmarks of an edition, each by its own metric; the one scored by track has no tracks."""
+    fact = edition_fact(spark, d)
+    values, _ = score.edition_report(fact, spec.dim_benchmark(spark, spec.EDITIONS["0.3"]))
+    return values.where("catalog_id IN (57, 5, 9, 36)").select("catalog_id", *[F.round(c, 6).alias(c) for c in ("raw", "skill", "coverage")])
+
+
+@query(f"""
+WITH {EDITION}
+SELECT metric, count(*) AS benchmarks, count(*) FILTER (catalog_id IN (SELECT catalog_id FROM fa)) AS run, round(max(score), 6) AS best FROM (
+  SELECT unnest([5, 9, 36, 57]) AS catalog_id, unnest(['macro_f1', 'case_exact', 'mean_value', 'accuracy']) AS metric) LEFT JOIN nt USING (catalog_id) GROUP BY metric""")
+def native_metrics(spark, d):
+    """The four native scores, before rules and chance."""
+    fact = edition_fact(spark, d)
+    dim = spec.dim_benchmark(spark, spec.EDITIONS["0.3"]).where("catalog_id IN (57, 5, 9, 36)")
+    scores = score.native_scores(fact, dim)
+    return scores.groupBy("metric").agg(F.count(F.lit(1)).alias("benchmarks"), F.count_if(F.col("requests") > 0).alias("run"), F.round(F.max("score"), 6).alias("best"))

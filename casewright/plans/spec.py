@@ -66,6 +66,15 @@ EDITIONS = {
 }
 GOLD_WEIGHT = 1.2
 
+# Native metric of the benchmarks that are not scored by accuracy.
+METRICS = {
+    "macro_f1": [4, 5, 10, 11, 12, 37, 39, 41, 42],
+    "positive_f1": [40, 59],
+    "case_exact": [1, 9, 33, 38],
+    "mean_value": [2, 6, 36, 48],
+}
+METRIC_OF = {n: metric for metric, ids in METRICS.items() for n in ids}
+
 # Image benchmarks and their weights.
 VISION_WEIGHTS = {
     "CV-Bench": 1.0, "BLINK": 1.0, "RealWorldQA": 1.0, "CharXiv": 1.0, "InfographicVQA": 1.0, "Mind2Web": 1.0,
@@ -75,7 +84,7 @@ VISION_WEIGHTS = {
 
 DIM = (
     "catalog_id int, area_id string, in_index boolean, rule string, gold_weight double, chance double, "
-    "baseline double, best double, fixed double"
+    "baseline double, best double, fixed double, metric string"
 )
 
 
@@ -109,7 +118,7 @@ def dim_benchmark(spark: SparkSession, spec: dict) -> DataFrame:
     def row(n: int, area: str | None):
         baseline, best = spec["loss"].get(n, (None, None))
         chance = spec["chance"].get(n)
-        return (n, area, area is not None, rule(n), gold.get(n), chance, baseline, best, spec["fixed"].get(area))
+        return (n, area, area is not None, rule(n), gold.get(n), chance, baseline, best, spec["fixed"].get(area), METRIC_OF.get(n, "accuracy"))
 
     rows = [row(n, area) for area, ids in spec["areas"].items() for n in ids]
     rows += [row(n, None) for n in spec["shown"]]
