@@ -18,19 +18,24 @@ def peer_pools(
 ) -> DataFrame:
     """``k`` wrong options per item from the answers to other items of the same parent.
 
-    A peer answer must be of the same kind (with or without a digit) and neither
-    equal to, part of, nor around the gold in comparison form. Items without
-    ``k`` such peers are dropped. Peers are looked at in hash order, the first
-    ``window`` distinct ones per parent and kind; items not settled by those
-    look at sixteen times as many, until the pool is exhausted.
+    ``answer`` is a text or an array of accepted texts, the first of which is the
+    gold. A peer answer must be of the same kind as the gold (with or without a
+    digit) and neither equal to, part of, nor around any accepted text in
+    comparison form. Items without ``k`` such peers are dropped. Peers are looked
+    at in hash order, the first ``window`` distinct ones per parent and kind; items
+    not settled by those look at sixteen times as many, until the pool is exhausted.
     """
-    base = items.select(
-        row_id, parent, F.lower(F.trim(F.col(answer))).alias("gold"), text.has_digit(F.col(answer)).alias("_num")
-    ).withColumn("_norm", text.norm(F.col("gold")))
+    listed = F.col(answer) if items.schema[answer].dataType.typeName() == "array" else F.array(answer)
+    base = items.select(row_id, parent, F.transform(listed, lambda a: F.lower(F.trim(a))).alias("_golds")).select(
+        row_id, parent, F.try_element_at("_golds", F.lit(1)).alias("gold"), "_golds",
+        F.transform("_golds", text.norm).alias("_norms"),
+    ).withColumn("_num", text.has_digit(F.col("gold")))
+    each = F.explode(F.arrays_zip(F.col("_golds").alias("peer"), F.col("_norms").alias("norm"), F.transform("_golds", text.has_digit).alias("num")))
     pool = (
-        base.where("_norm <> ''")
+        base.select(parent, each.alias("_a")).select(parent, F.col("_a.num").alias("_num"), F.col("_a.norm").alias("_norm"), F.col("_a.peer").alias("_text"))
+        .where("_norm <> ''")
         .groupBy(parent, "_num", "_norm")
-        .agg(F.min("gold").alias("peer"))
+        .agg(F.min("_text").alias("peer"))
         .withColumn("_h", hashing.sha("peer", F.col(parent), F.col("_norm")))
         .withColumnRenamed("_norm", "_peer_norm")
     )
@@ -51,9 +56,9 @@ def peer_pools(
     return out.select(row_id, parent, "gold", "distractors")
 
 
-def _apart(norm: Column, peer: Column) -> Column:
-    """Neither text contains the other; an empty gold bars nothing."""
-    return (norm == "") | ~(F.contains(norm, peer) | F.contains(peer, norm))
+def _apart(norms: Column, peer: Column) -> Column:
+    """No accepted text contains the peer or is part of it; an empty one bars nothing."""
+    return F.forall(norms, lambda norm: (norm == "") | ~(F.contains(norm, peer) | F.contains(peer, norm)))
 
 
 def _first_peers(pool: DataFrame, parent: str, window: int) -> DataFrame:
@@ -66,7 +71,7 @@ def _from_lists(waiting: DataFrame, pool: DataFrame, parent: str, row_id: str, k
     lists = _first_peers(pool, parent, window).groupBy(parent, "_num").agg(
         F.array_sort(F.collect_list(F.struct("_h", "_peer_norm", "peer"))).alias("_peers")
     )
-    fit = F.filter("_peers", lambda p: _apart(F.col("_norm"), p["_peer_norm"]))
+    fit = F.filter("_peers", lambda p: _apart(F.col("_norms"), p["_peer_norm"]))
     met = waiting.join(lists, [parent, "_num"])
     return met.withColumn("distractors", F.transform(F.slice(fit, 1, k), lambda p: p["peer"])).drop("_peers")
 
@@ -74,7 +79,7 @@ def _from_lists(waiting: DataFrame, pool: DataFrame, parent: str, row_id: str, k
 def _from_rows(waiting: DataFrame, pool: DataFrame, parent: str, row_id: str, k: int, window: int) -> DataFrame:
     """The same for the few items that need a long look: peers as rows."""
     met = waiting.join(_first_peers(pool, parent, window), [parent, "_num"]).where(
-        _apart(F.col("_norm"), F.col("_peer_norm"))
+        _apart(F.col("_norms"), F.col("_peer_norm"))
     )
     mine = Window.partitionBy(row_id).orderBy("_h")
     best = (

@@ -146,12 +146,11 @@ def validated(fields_df: DataFrame, answers_df: DataFrame) -> DataFrame:
             )
         )
     )
-    return (
-        joined.withColumn("_r", reason)
-        .groupBy("run_id")
-        .agg(F.min("_r").alias("reason"))
-        .withColumn("valid", F.col("reason").isNull())
-    )
+    # The first check that failed, in the order the checks are made, then by question.
+    order = F.when(F.col("_r") == "question keys mismatch", 0).when(F.col("_r") == "type mismatch", 1).otherwise(2)
+    first = F.min(F.when(F.col("_r").isNotNull(), F.struct(order.alias("o"), F.col("field"), F.col("_r"))))
+    checked = joined.withColumn("_r", reason).groupBy("run_id").agg(first.alias("_f"))
+    return checked.select("run_id", F.col("_f._r").alias("reason")).withColumn("valid", F.col("reason").isNull())
 
 
 def prompt(instructions: Column, keys: Column, texts: Column, mark: str = ": ") -> Column:

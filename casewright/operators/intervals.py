@@ -111,8 +111,10 @@ def _near(
     spread = left.withColumn("_cx0", F.floor(x / dx)).withColumn("_cy0", F.floor(y / dy))
     spread = spread.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around))
     spread = spread.withColumns({"_cx": F.col("_cx0") + F.col("_i"), "_cy": F.col("_cy0") + F.col("_j")})
-    placed = right.withColumns({"_cx": F.floor(rx / dx), "_cy": F.floor(ry / dy)})
-    return spread.join(placed, [form, "_cx", "_cy"]).where(hit).select(form, "id").distinct()
+    placed = right.withColumns({"_px": F.floor(rx / dx), "_py": F.floor(ry / dy)}).withColumnRenamed(form, "_form")
+    same = (F.col(form) == F.col("_form")) & (F.col("_cx") == F.col("_px")) & (F.col("_cy") == F.col("_py"))
+    # A semi join: no pair is made, and a left row is there nine times at most.
+    return spread.join(placed, same & hit, "left_semi").select(form, "id").distinct()
 
 
 def without_near_answer(questions: DataFrame, answers: DataFrame, form: str = "form") -> DataFrame:

@@ -23,9 +23,10 @@ def titled_documents(refs: DataFrame, documents: DataFrame, row_id: str, titles:
     wanted = refs.select(row_id, F.posexplode(F.array_distinct(titles)).alias("_pos", "_title")).withColumn(
         "_key", text.nfd("_title")
     )
-    stored = documents.groupBy(text.nfd(F.col(doc_title)).alias("_key")).agg(
-        F.count(F.lit(1)).alias("_hits"), F.first(content).alias("_content")
-    )
+    # Only documents that are asked for are shuffled with their contents.
+    asked = wanted.select("_key").distinct()
+    kept = documents.select(text.nfd(F.col(doc_title)).alias("_key"), F.col(content).alias("_c")).join(broadcast_if_small(asked), "_key", "left_semi")
+    stored = kept.groupBy("_key").agg(F.count(F.lit(1)).alias("_hits"), F.min("_c").alias("_content"))
     met = wanted.join(stored, "_key", "left")
     return met.groupBy(row_id).agg(
         F.transform(

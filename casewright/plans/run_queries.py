@@ -182,10 +182,9 @@ SELECT event_type, count(*) AS n FROM events GROUP BY event_type""")
 def streamed_counts(spark, d):
     """Running counts of the event stream after all files are read."""
     root = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    name = f"counts_{uuid.uuid4().hex}"
     stream = result_log.read_log(spark, d, EVENT, "parquet", glob="events.parquet")
-    result_log.live_counts(stream, ["event_type"], name, f"{root}/progress").awaitTermination()
-    return spark.table(name)
+    result_log.live_counts(stream, ["event_type"], f"{root}/counts", f"{root}/progress").awaitTermination()
+    return result_log.read_counts(spark, f"{root}/counts")
 
 
 def receipts(spark, d):

@@ -60,15 +60,29 @@ def fold_batches(spark: SparkSession, out: str, target: str, keys: list[str], se
     read_latest(spark, out, keys, seq).write.mode("overwrite").parquet(target)
 
 
-def live_counts(stream: DataFrame, keys: list[str], name: str, checkpoint: str) -> StreamingQuery:
-    """Running record counts per key (all records of the log, not only the last ones)."""
+def live_counts(stream: DataFrame, keys: list[str], out: str, checkpoint: str) -> StreamingQuery:
+    """Running record counts per key (all records of the log, not only the last ones), as a table of each batch.
+
+    A batch that is written again after a failure replaces its own folder.
+    """
     counted = stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
     return (
-        counted.writeStream.format("memory").queryName(name).outputMode("complete")
+        counted.writeStream.outputMode("complete").foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def read_counts(spark: SparkSession, out: str) -> DataFrame:
+    """The counts of the last batch that was written."""
+    counts = spark.read.parquet(out)
+    last = counts.agg(F.max("batch")).first()[0]
+    return counts.where(F.col("batch") == last).drop("batch")
+
+
 class ProgressEvents(StreamingQueryListener):
     """Collects one small record per micro-batch and per query start or end."""
 
