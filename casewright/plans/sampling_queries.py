@@ -175,8 +175,7 @@ FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn <= a.turn WHERE a.role = '
 def running_history(spark, d):
     turns = table(spark, d, "conversations")
     item = F.concat(F.lit("["), F.col("role"), F.lit("] "), F.col("text"))
-    # Blocks of two turns, so that several blocks meet on the test data as well.
-    out = ordering.history(turns, "conv_id", "turn", item, at=F.col("role") == "user", block=2)
+    out = ordering.history(turns, "conv_id", "turn", item, at=F.col("role") == "user")
     return out.select("conv_id", "turn", F.array_join("history", "\n").alias("history"))
 
 

@@ -229,6 +229,14 @@ def pinned_row_digests(spark, d):
     return digests.pinned_digests(rows, ["source"], "doc_id", "p")
 
 
+@query("""
+WITH l AS (SELECT source, doc_id, sha256(text) AS p, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 AS segment FROM documents)
+SELECT source, segment, count(*) AS rows, sha256(string_agg(doc_id::VARCHAR || ' ' || p || chr(10), '' ORDER BY doc_id)) AS digest FROM l GROUP BY ALL""")
+def segment_digests(spark, d):
+    rows = table(spark, d, "documents").select("source", "doc_id", F.sha2("text", 256).alias("p"))
+    return digests.segment_digests(rows, ["source"], "doc_id", "p", 20)
+
+
 @query("""
 WITH w AS (SELECT lang, count(*) AS rows, min(sha256(text)) AS low, max(sha256(text)) AS high FROM documents GROUP BY lang),
 f AS (SELECT lang, count(*) AS rows, min(sha256(text)) AS low, max(sha256(text)) AS high FROM documents WHERE doc_id > 0 AND lang <> 'de' GROUP BY lang)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.functions import hashing
+from casewright.functions import hashing, scans
 from casewright.functions.skew import broadcast_if_small
 
 LIST_LIMIT = 1_000_000
@@ -27,12 +27,13 @@ def row_set_fingerprint(df: DataFrame, keys: list[str], row_id: str, payload_sha
 def pinned_digests(df: DataFrame, keys: list[str], row_id: str, payload_sha: str) -> DataFrame:
     """sha-256 over the id-sorted lines of each key, as published pins of small suites state it.
 
-    A digest of a byte sequence has no parallel form, so this refuses keys of
-    more than a million rows; ``row_set_fingerprint`` has no such bound.
+    A digest of a byte sequence has no parallel form, so this is an export check
+    for suites as small as published ones, and says so for keys of more than a
+    million rows; ``segment_digests`` and ``row_set_fingerprint`` have no bound.
     """
     large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIST_LIMIT).limit(1).collect()
     if large:
-        raise ValueError(f"{large[0].asDict()}: too many rows for a sequential digest, use row_set_fingerprint")
+        raise ValueError(f"{large[0].asDict()}: too many rows for a sequential digest, use segment_digests or row_set_fingerprint")
     pair = F.struct(F.col(row_id).cast("string").alias("i"), F.col(payload_sha).alias("p"))
     listed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(pair)).alias("_l"))
     ids = F.concat_ws("", F.transform("_l", lambda s: F.concat(s["i"], F.lit("\n"))))
@@ -45,6 +46,20 @@ def pinned_digests(df: DataFrame, keys: list[str], row_id: str, payload_sha: str
     )
 
 
+def segment_digests(df: DataFrame, keys: list[str], row_id: str, payload_sha: str, size: int = 10_000) -> DataFrame:
+    """(keys.., segment, rows, digest): sha-256 over each ``size`` id-sorted lines of a key, for keys of any size.
+
+    Rows are numbered by segments of their order, so no task holds more than one of
+    those or one digest's lines.
+    """
+    cut = scans.range_segments(df.select(*keys, row_id, payload_sha), keys, [row_id])
+    placed = scans.row_numbers(cut, keys, [row_id]).withColumn("segment", F.floor((F.col("rn") - 1) / size))
+    line = F.struct("rn", F.concat(F.col(row_id).cast("string"), F.lit(" "), F.col(payload_sha), F.lit("\n")).alias("t"))
+    listed = placed.groupBy(*keys, "segment").agg(F.array_sort(F.collect_list(line)).alias("_l"))
+    text = F.concat_ws("", F.transform("_l", lambda s: s["t"]))
+    return listed.select(*keys, "segment", F.size("_l").cast("bigint").alias("rows"), F.sha2(text, 256).alias("digest"))
+
+
 def against_pins(found: DataFrame, pins: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Each pinned key with one match flag per column; a key that was not found matches nothing."""
     want = pins.select(*keys, *[F.col(c).alias(f"_want_{c}") for c in columns])
