@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casewright.functions.skew import broadcast_if_small
+from casewright.functions.skew import broadcast_if_small, salted_lookup
 from casewright.llm.registry import query, table
 from casewright.llm.rows import free_name, numbered
 from casewright.session import cut_lineage
@@ -156,7 +156,8 @@ def bootstrap(identifiers: DataFrame, rounds: int = ROUNDS, accept: float = ACCE
             (F.sum("score") / (F.count(F.lit(1)) + SMOOTHING)).alias("confidence"), F.count(F.when(F.col("seed"), 1)).alias("seeds")
         ).where(F.col("seeds") >= SEEDS)
         doubt = F.sum(F.log(1 - F.col("confidence")))
-        spoken = edges.join(confidence, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("heard"))
+        # A pattern may have a large share of all instances, so its rows are spread over several tasks.
+        spoken = salted_lookup(edges, confidence, "pattern", "instance").groupBy("instance").agg((1 - F.exp(doubt)).alias("heard"))
         joined = scores.drop("score").join(spoken, "instance", "left")
         scores = cut_lineage(joined.select("instance", "known", F.when(F.col("known"), 1.0).otherwise(F.coalesce("heard", F.lit(0.0))).alias("score")))
     return scores.where(~F.col("known") & (F.col("score") >= accept)).select("instance")
