@@ -42,7 +42,7 @@ def term_counts(corpus: DataFrame, doc: str, content: str, terms: DataFrame | No
 
 def bm25_scores(
     queries: DataFrame, corpus: DataFrame, query: str, query_text: str, doc: str, content: str,
-    excluded: DataFrame | None = None, digits: int = 9,
+    excluded: DataFrame | None = None, digits: int = 9, k: int | None = None,
 ) -> DataFrame:
     """(query_id, doc_id, score) for every document that shares a term with a query.
 
@@ -51,6 +51,13 @@ def bm25_scores(
     frequent term is not one task's work. Excluded pairs leave before ranking.
     The postings are written once and read for the corpus size, the document
     frequencies and the scores.
+
+    With ``k`` only what the ``k`` best of a query can be is returned. Terms of most
+    documents have the least weight, yet would bring nearly the whole corpus to
+    every query. Candidates come from the other terms; a query whose k-th candidate
+    is beyond all that the least terms could add needs no other documents, and only
+    its candidates in reach of the k-th get these terms added. The remaining
+    queries are scored over all their terms.
     """
     terms = queries.select(
         F.col(query).alias("query_id"), F.explode(text.query_terms(F.col(query_text))).alias("term")
@@ -63,21 +70,49 @@ def bm25_scores(
     if not n:
         return terms.select("query_id", F.lit(None).cast("string").alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
     raw_idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(df, "term").withColumn(
-        "idf", F.when(raw_idf <= 0, F.lit(BM25_MIN_IDF)).otherwise(raw_idf)
+    weighted = cut_lineage(
+        terms.join(df, "term").withColumn("idf", F.when(raw_idf <= 0, F.lit(BM25_MIN_IDF)).otherwise(raw_idf)).drop("df")
     )
-    if small_enough(terms):
-        hits = postings.join(F.broadcast(weighted), "term")
-    else:
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(TERM_SALTS)).cast("int")
-        spread = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
-        hits = postings.withColumn("_salt", salt).join(spread, ["term", "_salt"])
+    few = small_enough(terms)
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     part = F.col("idf") * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl / F.lit(float(avg_dl))))
-    scores = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), digits).alias("score"))
-    if excluded is not None:
-        scores = scores.join(excluded.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    return scores
+
+    def barred(pairs: DataFrame) -> DataFrame:
+        if excluded is None:
+            return pairs
+        return pairs.join(excluded.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+
+    def summed(chosen: DataFrame) -> DataFrame:
+        """Unrounded sums over the given query terms."""
+        if few:
+            hits = postings.join(F.broadcast(chosen), "term")
+        else:
+            salt = F.pmod(F.xxhash64("doc_id"), F.lit(TERM_SALTS)).cast("int")
+            spread = chosen.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
+            hits = postings.withColumn("_salt", salt).join(spread, ["term", "_salt"])
+        return barred(hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("_s")))
+
+    if k is None:
+        return summed(weighted).select("query_id", "doc_id", F.round("_s", digits).alias("score"))
+
+    least = weighted.where(F.col("idf") <= BM25_MIN_IDF)
+    # A term adds less than its weight times k1 + 1; the slack covers rounding.
+    caps = least.groupBy("query_id").agg((F.count(F.lit(1)) * (BM25_MIN_IDF * (BM25_K1 + 1)) + 10.0**-digits).alias("_cap"))
+    first = cut_lineage(summed(weighted.where(F.col("idf") > BM25_MIN_IDF)))
+    best = Window.partitionBy("query_id").orderBy(F.desc("_s"))
+    kth = (
+        first.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
+        .groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("_s").alias("_kth"))
+    )
+    states = weighted.select("query_id").distinct().join(caps, "query_id", "left").join(kth, "query_id", "left")
+    cap = F.coalesce("_cap", F.lit(10.0**-digits))
+    states = cut_lineage(states.select("query_id", "_kth", cap.alias("_cap"), F.coalesce((F.col("_n") >= k) & (F.col("_kth") > cap), F.lit(False)).alias("_settled")))
+    settled = first.join(states.where("_settled"), "query_id").where(F.col("_s") >= F.col("_kth") - F.col("_cap")).select("query_id", "doc_id", "_s")
+    wanted = settled.select("query_id", "doc_id").join(least, "query_id")
+    added = wanted.join(postings, ["doc_id", "term"]).select("query_id", "doc_id", part.alias("_s"))
+    whole = summed(weighted.join(states.where("NOT _settled").select("query_id"), "query_id", "left_semi"))
+    together = settled.unionByName(added).groupBy("query_id", "doc_id").agg(F.sum("_s").alias("_s")).unionByName(whole)
+    return together.select("query_id", "doc_id", F.round("_s", digits).alias("score"))
 
 
 def lexical_candidates(
@@ -89,7 +124,7 @@ def lexical_candidates(
     Never looks at gold. Result: (query_id, doc_id, score, pos); filled-up rows
     have no score.
     """
-    scores = bm25_scores(queries, corpus, query, query_text, doc, content, excluded)
+    scores = bm25_scores(queries, corpus, query, query_text, doc, content, excluded, k=k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     hits = scores.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
     if not top_up:
