@@ -48,8 +48,8 @@ PERCENT = 90
 # n-grams one join task may hold (8 bytes each, some 100 MB with its tree).
 LIMIT = 3_000_000
 # Documents packed together, and words a Python worker remembers the hashes of.
-PACK = 4000
-MEMORY_WORDS = 500_000
+PACK = 1500
+MEMORY_WORDS = 150_000
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -38,7 +38,7 @@ CLOSING = ".,;:!?)"
 SPECIAL = b"<|"
 LAST = re.compile(rb"([.,])(?<=[a-z][.,])(?=[ \n])")
 # Words of one generation that a Python worker remembers.
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 350_000
 
 
 class WordEncoder:
@@ -96,13 +96,13 @@ class WordEncoder:
         # The tokenizer folds case itself, but its special tokens are looked for before that.
         return (text if SPECIAL in text else LAST.sub(rb" \1", text.lower())).split()
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each UTF-8 text."""
+    def encode(self, texts: list[bytes] | list[str]) -> list[bytes]:
+        """Ids of each text; only a few texts at a time are held a second time, as bytes and words."""
         out = []
         for at in range(0, len(texts), 256):
             if len(self.known) > MEMORY_WORDS:
                 self.before, self.known = self.known, {}
-            split = [self._words(text) for text in texts[at : at + 256]]
+            split = [self._words(text.encode("utf-8") if isinstance(text, str) else text or b"") for text in texts[at : at + 256]]
             fresh = set().union(*split).difference(self.known)
             self.known.update((w, self.before[w]) for w in fresh.intersection(self.before))
             self._learn(list(fresh.difference(self.before)))
@@ -118,7 +118,7 @@ def token_rows(docs: DataFrame, path: str, id_col: str, text_col: str, capacity:
         encoder = kept_in_worker(f"words {path}", lambda: WordEncoder(path))
         for batch in batches:
             tokens, sums = [], []
-            for ids in encoder.encode([(t or "").encode("utf-8") for t in batch["text"]]):
+            for ids in encoder.encode(batch["text"].tolist()):
                 ids += separator
                 tokens.append(len(ids) // 4)
                 sums.append([zlib.crc32(ids[at : at + 4 * capacity]) for at in range(0, len(ids), 4 * capacity)])

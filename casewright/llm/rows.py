@@ -29,12 +29,14 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
 
 
 def kept_in_worker(name: str, make: Callable):
-    """An object that a Python worker makes once and uses in all its tasks.
+    """An object that a Python worker makes once and uses in all its tasks, until it is asked for another one.
 
-    Task code is sent anew with each job, so a module variable would not last. A
-    worker that is lost simply makes its own again.
+    Task code is sent anew with each job, so a module variable would not last. One
+    object at a time is kept, so memory does not add up over the stages of a
+    pipeline. A worker that is lost simply makes its own again.
     """
     kept = sys.__dict__.setdefault("_casewright_worker", {})
     if name not in kept:
+        kept.clear()
         kept[name] = make()
     return kept[name]

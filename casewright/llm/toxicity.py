@@ -38,7 +38,7 @@ VOCABULARY = 1024
 PAIRS = 20_000
 
 # Words a Python worker remembers; a longer list is dropped and started anew.
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 150_000
 
 # Kinds of identity terms; any term of a kind may stand for another, or for the first, neutral one.
 IDENTITY = (
