@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewright.llm import exact_dedup, license_scan, line_dedup, ngram_join, packing, pii, piece_codec, site_quality, topk_search, toxicity
+from tests.conftest import SF
 from tests.llm.brute import licence, linked, personal
 
 
@@ -202,6 +203,38 @@ def test_line_dedup_by_brute_force(spark, tmp_path, window):
     assert {r.doc_id: r.text for r in line_dedup.clean(spark.read.parquet(path), window=window).collect()} == expected
 
 
+def test_long_lines_go_on_their_own(spark, tmp_path):
+    words = lambda n, w: " ".join(f"{w}{k}" for k in range(n))
+    passage, short = words(51, "a"), words(50, "b")
+    docs = [
+        (1, f"one\n{passage}\ntwo\n{short}\nthree"), (2, passage), (3, f"four\n  {passage} \nfive\n{short}"), (4, f"{passage}\nsix\n{passage}"), (5, None), (6, ""),
+        (7, words(30, "a  ") + "\tx" * 90),
+    ]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(path)
+    rows = {r.doc_id: r for r in line_dedup.clean(spark.read.parquet(path)).collect()}
+    assert rows[2].text == "" and rows[2].n_lines == rows[2].n_removed == 1
+    assert rows[3].text == f"four\nfive\n{short}" and rows[4].text == "six" and rows[4].n_removed == 2
+    assert all(rows[k].text == dict(docs)[k] for k in (1, 5, 6, 7))
+    kept = line_dedup.clean(spark.read.parquet(path), long_words=None).collect()
+    assert {r.doc_id: r.text for r in kept} == dict(docs)
+
+
+def test_long_lines_of_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen, expected = set(), {}
+    for r in docs.select("doc_id", "text").orderBy("doc_id").collect():
+        lines = (r.text or "").split("\n")
+        bare, gone = [x.strip(" ") for x in lines], set()
+        runs = [(i, tuple(bare[i : i + 2])) for i in range(len(bare) - 1)] + [(i, (x,)) for i, x in enumerate(bare) if len(x.split()) > 50]
+        for i, run in runs:
+            if run in seen:
+                gone |= set(range(i, i + len(run)))
+            seen.add(run)
+        expected[r.doc_id] = r.text and "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    assert {r.doc_id: r.text for r in line_dedup.clean(docs).collect()} == expected
+
+
 def test_toxicity(spark, odd, nothing):
     model = toxicity.fit(odd, labels(spark))
     scored = toxicity.score(odd, model, out="_s")
