@@ -8,7 +8,9 @@ squared change of the score:
 
     loss = logistic loss + l2 / 2 |w|^2 + counterfactual / 2 * mean (s(x) - s(x'))^2
 
-with s the score before the logistic function. Words are chosen and weighted on a
+with s the score before the logistic function. A pair counts only by the features
+that differ, so pairs are counted by that difference where they are, and none is
+left out. Words are chosen and weighted on a
 sample of at most ``SAMPLE`` labelled rows, in order of a hash; the features of
 that sample, at most ``VOCABULARY`` words for each row, are all that the driver
 sees. Every text is scored whole, in one pass without a shuffle.
@@ -32,10 +34,9 @@ from casewright.llm.registry import query, table
 from casewright.llm.rows import free_name, kept_in_worker
 from casewright.session import cut_lineage
 
-# Bounds of the fit: labelled rows, words, and counterfactual sentence pairs.
+# Bounds of the fit: labelled rows and words.
 SAMPLE = 20_000
 VOCABULARY = 1024
-PAIRS = 20_000
 
 # Words a Python worker remembers; a longer list is dropped and started anew.
 MEMORY_WORDS = 150_000
@@ -132,9 +133,11 @@ def choose_words(counts: pd.DataFrame, positives: int, negatives: int, size: int
 
 
 def train(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], size: int, l2: float = 0.3,
-          counterfactual: float = 4.0, steps: int = 600) -> np.ndarray:
+          counterfactual: float = 4.0, steps: int = 600, times: np.ndarray | None = None) -> np.ndarray:
     """Weights of ``size`` words and the bias, by gradient descent with momentum on the penalised loss.
 
+    A pair counts as often as ``times`` says, or once.
+
     The bias stays at the log odds of the labels. Were it learned, it would sink
     while the words of texts with several abusive ones share the credit, and a text
     with a single one would pass.
@@ -146,6 +149,8 @@ def train(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarr
     change_cols = np.concatenate([np.concatenate(c) for c in change] + [np.zeros(0, np.int64)]).astype(np.int64)
     change_sign = np.concatenate([np.concatenate([np.ones(len(a)), -np.ones(len(b))]) for a, b in change] + [np.zeros(0)])
     change_owner = np.repeat(np.arange(len(change)), [len(a) + len(b) for a, b in change])
+    share = np.ones(len(change)) if times is None else np.asarray(times, float)
+    share = share / max(1.0, share.sum())
     w, speed = np.zeros(size + 1), np.zeros(size + 1)
     w[-1] = np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))
     scale = np.zeros(size + 1)
@@ -154,8 +159,8 @@ def train(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarr
         slope = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels
         grad = np.append(np.bincount(cols, slope[owner], size) / n + l2 / n * w[:-1], 0.0)
         if len(change):
-            gap = np.bincount(change_owner, w[change_cols] * change_sign, len(change))
-            grad[:-1] += counterfactual / len(change) * np.bincount(change_cols, gap[change_owner] * change_sign, size)
+            gap = share * np.bincount(change_owner, w[change_cols] * change_sign, len(change))
+            grad[:-1] += counterfactual * np.bincount(change_cols, gap[change_owner] * change_sign, size)
         # Each word has a step of its own, as rare words have small gradients.
         scale = 0.95 * scale + 0.05 * grad**2
         speed = 0.9 * speed + 0.1 * grad
@@ -194,22 +199,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def index(found) -> bytes:
         return np.array(sorted(place[w] for w in place.keys() & text_features(set(found))), "<i4").tobytes()
 
+    def differing(a: bytes, b: bytes) -> tuple[bytes, bytes]:
+        own, other = np.frombuffer(a, "<i4"), np.frombuffer(b, "<i4")
+        return np.setdiff1d(own, other).tobytes(), np.setdiff1d(other, own).tobytes()
+
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"label": batch["label"], "words": [index(WORD.findall(t.lower())) for t in batch["text"]]})
 
     def swapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            both = [(index(a), index(b)) for t in batch["text"] for a, b in counterfactuals(t, others)]
-            yield pd.DataFrame(both, columns=["a", "b"], dtype=object)
+            met = Counter(differing(index(a), index(b)) for t in batch["text"] for a, b in counterfactuals(t, others))
+            yield pd.DataFrame({"a": [a for a, _ in met], "b": [b for _, b in met], "n": list(met.values())})
 
     def ints(v: bytes) -> np.ndarray:
         return np.frombuffer(v, "<i4").astype(np.int64)
 
     seen = rows.mapInPandas(features, "label int, words binary").toPandas()
-    pairs = rows.mapInPandas(swapped, "a binary, b binary").limit(PAIRS).toPandas()
+    # All pairs, as one row for each difference of features; in a fixed order, so that sums are the same in every run.
+    pairs = rows.mapInPandas(swapped, "a binary, b binary, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
+    pairs = pairs.sort_values(["a", "b"])
     w = train([ints(c) for c in seen["words"]], (seen["label"] > 0).to_numpy(float), [(ints(a), ints(b)) for a, b in zip(pairs["a"], pairs["b"], strict=True)],
-              len(words), counterfactual=counterfactual)
+              len(words), counterfactual=counterfactual, times=pairs["n"].to_numpy(float))
     return Model({word: float(v) for word, v in zip(words, w, strict=False) if v}, float(w[-1]))
 
 

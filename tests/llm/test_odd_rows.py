@@ -260,6 +260,34 @@ def test_counterfactual_penalty_frees_neutral_mentions(spark):
     assert held.scorer()("what vile filth") > held.scorer()("a muslim friend")
 
 
+def test_every_counterfactual_pair_counts(spark, tmp_path):
+    # The first file alone holds more than 20,000 pairs; terms of the second kind occur in the last file only.
+    head = [(k, "the american and the german met the polish guest of russian kin. " * 40, k % 2) for k in range(160)]
+    tail = [(k, f"a muslim {'vile filth' if k % 2 else 'friend'} of a {'muslim' if k % 2 else 'hindu'} home", k % 2) for k in range(1000, 1100)]
+    path = str(tmp_path / "d.parquet")
+    for part in (head, tail):
+        spark.createDataFrame(part, "doc_id long, text string, toxic int").coalesce(1).write.mode("append").parquet(path)
+    docs = spark.read.parquet(path)
+    caught = []
+    train = toxicity.train
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(toxicity, "train", lambda rows, y, pairs, size, **kw: caught.append((pairs, kw["times"])) or train(rows, y, pairs, size, **kw))
+        model = toxicity.fit(docs, docs)
+    learned = docs.where(~toxicity.fold(F.col("doc_id"))).collect()
+    every = [p for r in learned for p in toxicity.counterfactuals(r.text, toxicity.swaps())]
+    assert len(every) > 20_000 and caught[0][1].sum() == len(every) and len(caught[0][0]) < 200
+    assert model.weights
+
+
+def test_weighted_pairs_equal_repeated_pairs():
+    import numpy as np
+
+    rows, y = [np.array([0, 1]), np.array([2]), np.array([1, 3])], np.array([1.0, 0.0, 0.0])
+    a, b = (np.array([0, 1]), np.array([2])), (np.array([3]), np.array([0, 1]))
+    weighted = toxicity.train(rows, y, [a, b], 4, times=np.array([3, 1]))
+    assert np.allclose(weighted, toxicity.train(rows, y, [a, a, a, b], 4), atol=1e-6)
+
+
 def test_site_quality(spark, odd, nothing):
     rows = site_quality.score(odd, labels(spark)).collect()
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
