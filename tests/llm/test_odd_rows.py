@@ -203,6 +203,15 @@ def test_line_dedup_by_brute_force(spark, tmp_path, window):
     assert {r.doc_id: r.text for r in line_dedup.clean(spark.read.parquet(path), window=window).collect()} == expected
 
 
+@pytest.mark.parametrize("window", [2, 3])
+def test_one_fingerprint_for_each_position(spark, window):
+    docs = spark.createDataFrame([(1, "\n".join(f"line {k}" for k in range(60))), (2, "alone")], "doc_id long, text string")
+    rows = line_dedup.hashed(docs, "doc_id", "text", window, None).collect()
+    # Each window has one fingerprint, and no fingerprint stands twice where no line does.
+    assert sorted(r.at for f in rows for r in f.runs) == list(range(61 - window))
+    assert len({f.mark for f in rows}) == len(rows) < 61 - window
+
+
 def test_long_lines_go_on_their_own(spark, tmp_path):
     words = lambda n, w: " ".join(f"{w}{k}" for k in range(n))
     passage, short = words(51, "a"), words(50, "b")
