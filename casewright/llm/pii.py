@@ -5,8 +5,9 @@ always stay. They are also the seeds of a bootstrap over contexts: the words
 left and right of a seed are lexical patterns, other tokens that look like
 identifiers are instances, and patterns and instances form a graph. In each
 round a pattern's confidence is the mean score of its instances (smoothed), and
-an instance's score follows from its patterns (noisy or). Instances that end
-with a high score are unseen identifiers; their places are added as ``other``.
+an instance's score follows from its patterns (noisy or). Instances that reach a
+high score count as seeds from then on, and rounds go on until none is added and
+scores rest. Instances that end with a high score are unseen identifiers; their places are added as ``other``.
 
 All of it is built-in DataFrame work. The text is read once, into a table of
 matches with a few dozen characters around each; places come from the lengths of
@@ -44,7 +45,9 @@ NEEDS = {"email": "@", "phone": "+"}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 AROUND = 40
 
+# Rounds at least; more follow while an instance is added or a score rises by this much.
 ROUNDS = 3
+RISE = 0.01
 # A pattern speaks for an instance from this many seeds on; an instance is accepted from this score on.
 SEEDS = 3
 ACCEPT = 0.9
@@ -139,7 +142,10 @@ def _identifiers(spans: DataFrame) -> DataFrame:
 
 
 def bootstrap(identifiers: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) -> DataFrame:
-    """(instance): identifiers that no pattern names but high-confidence contexts do."""
+    """(instance): identifiers that no pattern names but high-confidence contexts do.
+
+    Scores only rise from round to round, so the rounds come to an end.
+    """
     left = F.lower(F.regexp_extract("tail", r"(\S{1,40})\s*$", 1))
     right = F.lower(F.regexp_extract("head", r"^\s*(\S{1,40})", 1))
     contexts = F.array(F.struct(F.lit("left").alias("side"), left.alias("word")), F.struct(F.lit("right").alias("side"), right.alias("word")))
@@ -151,15 +157,21 @@ def bootstrap(identifiers: DataFrame, rounds: int = ROUNDS, accept: float = ACCE
     )
     edges = cut_lineage(edges)
     scores = edges.groupBy("instance").agg(F.bool_or("seed").alias("known")).select("instance", "known", F.col("known").cast("int").cast("double").alias("score"))
-    for _ in range(rounds):
+    accepted, done = -1, 0
+    while True:
         confidence = edges.join(scores, "instance").groupBy("pattern").agg(
-            (F.sum("score") / (F.count(F.lit(1)) + SMOOTHING)).alias("confidence"), F.count(F.when(F.col("seed"), 1)).alias("seeds")
+            (F.sum("score") / (F.count(F.lit(1)) + SMOOTHING)).alias("confidence"), F.count(F.when(F.col("known") | (F.col("score") >= accept), 1)).alias("seeds")
         ).where(F.col("seeds") >= SEEDS)
         doubt = F.sum(F.log(1 - F.col("confidence")))
         # A pattern may have a large share of all instances, so its rows are spread over several tasks.
         spoken = salted_lookup(edges, confidence, "pattern", "instance").groupBy("instance").agg((1 - F.exp(doubt)).alias("heard"))
-        joined = scores.drop("score").join(spoken, "instance", "left")
-        scores = cut_lineage(joined.select("instance", "known", F.when(F.col("known"), 1.0).otherwise(F.coalesce("heard", F.lit(0.0))).alias("score")))
+        joined = scores.select("instance", "known", F.col("score").alias("was")).join(spoken, "instance", "left")
+        new = F.when(F.col("known"), 1.0).otherwise(F.coalesce("heard", F.lit(0.0)))
+        scores = cut_lineage(joined.select("instance", "known", "was", new.alias("score")))
+        state = scores.agg(F.count(F.when(F.col("score") >= accept, 1)).alias("n"), F.max(F.col("score") - F.col("was")).alias("rise")).first()
+        grown, accepted, done = state["n"] > accepted, state["n"], done + 1
+        if done >= rounds and not grown and (state["rise"] or 0.0) < RISE:
+            break
     return scores.where(~F.col("known") & (F.col("score") >= accept)).select("instance")
 
 

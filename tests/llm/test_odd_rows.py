@@ -157,6 +157,16 @@ def test_contexts_of_seeds_find_unseen_identifiers(spark, tmp_path):
     assert found[30] == ["other"] and found[31] == found[32] == [] and found[3] == ["email"]
 
 
+def test_accepted_identifiers_bring_in_new_contexts(spark):
+    # Seeds know the first context; each further one is known only through identifiers that were found before.
+    steps = [("write to", "today", [f"user{k}x@mail.example.com" for k in range(30)] + [f"acct77{k}xkq" for k in range(30)])]
+    steps += [("the ticket", "closed", [f"acct77{k}xkq" for k in range(30)] + [f"ordr55{k}zzt" for k in range(30)])]
+    steps += [("one parcel", "arrived", [f"ordr55{k}zzt" for k in range(30)] + ["pack3344uvw"]), ("the price", "euros", ["99887766a5", "12345678b9"])]
+    rows = [(hit, "@" in hit, f"{left} ", f" {right}") for left, right, hits in steps for hit in hits]
+    found = {r.instance for r in pii.bootstrap(spark.createDataFrame(rows, "hit string, base boolean, tail string, head string")).collect()}
+    assert found == {f"acct77{k}xkq" for k in range(30)} | {f"ordr55{k}zzt" for k in range(30)} | {"pack3344uvw"}
+
+
 def test_licences(odd, nothing):
     got = sorted(map(str, ((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in license_scan.scan(odd).collect())))
     assert got == sorted(map(str, ((r.doc_id, *licence(r.text)) for r in odd.collect())))
