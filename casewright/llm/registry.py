@@ -12,7 +12,7 @@ ORACLES: dict[str, str] = {}
 
 MODULES = (
     "toxicity", "exact_dedup", "site_quality", "packing", "piece_codec", "topk_search", "line_dedup", "ngram_join", "pii",
-    "license_scan", "collocations", "whitening",
+    "license_scan", "collocations", "url_filter", "whitening",
 )
 
 
