@@ -84,7 +84,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppo
     """
     row = free_name(docs, "_row")
     gone = mark(digests(docs, id_col, text_col), support).where(~F.col("kept")).select(F.col("row").alias(row))
-    return numbered(docs, row).join(gone, row, "left_anti").select(*[docs[c] for c in docs.columns])
+    return numbered(docs, row).join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @query(

@@ -209,7 +209,7 @@ def candidates(docs: DataFrame, known: DataFrame, text_col: str, words: int = WO
     """(digest, n, grams, prefix): one of each distinct set that can have a different partner, with its rare shared n-grams."""
     spark = docs.sparkSession
     buckets = _buckets(spark)
-    chosen = known.where("active").groupBy("digest").agg(F.min("row").alias("row")).select("row")
+    chosen = cut_lineage(known.where("active").groupBy("digest").agg(F.min("row").alias("row")).select("row"))
     texts = numbered(docs.select(F.col(text_col).alias("text")), "row").join(broadcast_if_small(chosen), "row", "left_semi")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -463,8 +463,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     from files or a checkpoint, as its rows are told apart by their place.
     """
     row = free_name(docs, "_row")
-    gone = near_groups(docs, id_col, text_col, words, percent).where("row <> keep_row").select(F.col("row").alias(row))
-    return numbered(docs, row).join(broadcast_if_small(gone), row, "left_anti").select(*[docs[c] for c in docs.columns])
+    gone = cut_lineage(near_groups(docs, id_col, text_col, words, percent).where("row <> keep_row").select(F.col("row").alias(row)))
+    return numbered(docs, row).join(broadcast_if_small(gone), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @query()

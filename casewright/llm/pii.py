@@ -205,7 +205,7 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     read from files or a checkpoint, as its rows are told apart by their place.
     """
     row, spans = free_name(docs, "_row"), free_name(docs, "_spans")
-    found = find(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("row").alias(row), F.col("spans").alias(spans))
+    found = cut_lineage(find(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("row").alias(row), F.col("spans").alias(spans)))
     text = F.col(text_col)
     # Pieces between spans come from running ends: (end so far, text so far).
     start = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<string>").alias("parts"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewright.functions.skew import broadcast_if_small
+
 
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have, whatever its extra columns are called."""
@@ -18,14 +20,35 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+# Rows of a file, and with them its rows' numbers, fit these low bits.
+PLACE_BITS = 40
+
+
+def _plain(path: Column) -> Column:
+    """A file's path however many slashes follow its scheme."""
+    return F.regexp_replace(path, "^([^:/]+):/+", "$1:/")
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """Add a row number that tells repeated rows apart.
+    """Add a row number that tells repeated rows apart and is the same in every job and retry.
 
-    It follows from the place of a row in its input split, so it is the same in
-    every job and retry over a table that is read from files or a checkpoint. A
-    plan with a shuffle in it has to be written first.
+    For a table read from Parquet files it is made of the place of the file among
+    the table's files and the row's place in the file. Splits do not enter it, so
+    it stays when executors come or go between two jobs. A checkpoint, or a table
+    made in the session, has partitions that do not change, and is numbered by
+    these. A plan with a shuffle in it, or over files of another kind, has to be
+    written first.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    files = sorted(set(df.inputFiles()))
+    if not files:
+        return df.withColumn(name, F.monotonically_increasing_id())
+    path, place, number = (free_name(df, base) for base in ("_file", "_place", "_number"))
+    known = df.sparkSession.createDataFrame(list(enumerate(files)), f"`{number}` long, `{path}` string").withColumn(path, _plain(F.col(path)))
+    placed = df.withColumns({path: _plain(F.col("_metadata.file_path")), place: F.col("_metadata.row_index")})
+    found = placed.join(broadcast_if_small(known), path, "left")
+    lost = F.raise_error(F.concat(F.lit("not a file of the table: "), F.col(path)))
+    row = F.shiftleft(F.coalesce(number, lost.cast("long")), PLACE_BITS) + F.col(place)
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], row.alias(name))
 
 
 def kept_in_worker(name: str, make: Callable):
