@@ -96,11 +96,13 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     a line never goes on its own. Other columns are not read; an empty table
     gives no rows.
     """
-    gone = repeats(docs, id_col, text_col, window, long_words)
+    gone = cut_lineage(repeats(docs, id_col, text_col, window, long_words))
     rows = numbered(docs.select(id_col, F.col(text_col).alias("text")), "row")
     marked = rows.join(broadcast_if_small(gone), "row", "left")
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("lines"), i))
+    # A difference of sets and one pass over what is left, however many lines a text has.
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lines"))
+    kept = F.get(F.transform(F.array(lines), lambda own: F.transform(left, lambda i: F.get(own, i))), F.lit(0))
     return marked.select(
         "row", id_col, F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
@@ -116,8 +118,12 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         SELECT doc_id, i, trim(line, ' ') AS a, lead(trim(line, ' ')) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM lines
     ), seen AS (
         SELECT doc_id, i, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, i) AS nth FROM pairs WHERE b IS NOT NULL
+    ), long_lines AS (
+        SELECT doc_id, i, row_number() OVER (PARTITION BY a ORDER BY doc_id, i) AS nth FROM pairs
+        WHERE len(regexp_extract_all(a, '[^\x20\x09-\x0D]+')) > 50
     ), gone AS (
         SELECT doc_id, i FROM seen WHERE nth > 1 UNION SELECT doc_id, i + 1 FROM seen WHERE nth > 1
+        UNION SELECT doc_id, i FROM long_lines WHERE nth > 1
     )
     SELECT d.doc_id, sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.doc_id IS NULL), '')) AS text_sha256,
            count(l.doc_id) AS n_lines, count(g.doc_id) AS n_removed
@@ -126,6 +132,6 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     """
 )
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document without the runs of two lines or more that stood before; its SQL has no rule for long lines."""
-    cleaned = clean(table(spark, folder, "documents"), long_words=None)
+    """Every document without the runs of two lines or more, and the single lines of more than 50 words, that stood before."""
+    cleaned = clean(table(spark, folder, "documents"))
     return cleaned.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "n_lines", "n_removed")
