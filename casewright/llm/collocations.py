@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from casewright.functions import scans
 from casewright.llm.registry import query, table
 from casewright.session import cut_lineage
 
@@ -302,9 +303,10 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     left = found.join(longer, ["size", "id"], "left").where(f"longer IS NULL OR 100 * longer < {share} * f")
     scored = left.select("lang", "phrase", F.col("f").alias("a"), least_cut(F.col("size"), F.col("f"), F.col("heads"), F.col("tails")).alias("c"))
     flat = scored.select("lang", "phrase", "a", F.col("c.l").alias("l"), F.col("c.r").alias("r"), F.col("c.score").alias("score"))
-    # Of each language, every task keeps no more than its best ``top`` before they meet.
-    best = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    ranked = flat.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
+    # A language may have most of the phrases, so ranks come from ranges of the order.
+    order = ["_score", "_a", "phrase"]
+    placed = scans.range_segments(flat.withColumns({"_score": -F.col("score"), "_a": -F.col("a")}), ["lang"], order)
+    ranked = scans.row_numbers(placed, ["lang"], order, "rank").where(F.col("rank") <= top)
     return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
