@@ -40,7 +40,7 @@ TOP = 2000
 # A phrase goes when a longer one has this many percent of its occurrences.
 SHARE = 80
 # Text bytes of a chunk, and occurrences of a slice of phrases.
-CHUNK, SLICE = 16 << 20, 2_000_000
+CHUNK, SLICE = 12 << 20, 2_000_000
 
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 _FOLD = bytes(10 if c in PIECE_ENDS else 32 if c == 9 else c for c in range(256))
