@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions import arrays, hashing, scans, text
+from casewright.operators import bands
 from casewright.operators.sampling import lowest_hashes
 from casewright.session import cut_lineage
 
@@ -96,41 +97,69 @@ def _from_rows(waiting: DataFrame, pool: DataFrame, parent: str, row_id: str, k:
 def answer_groups(golds: DataFrame, row_id: str, value: str, k: int, seed: str) -> DataFrame:
     """Groups of ``k`` items with ``k`` different gold values of similar size.
 
-    The n mod k items left over are one each of the largest values, and form
-    group -1. The others are sorted by (value, hash) and cut into bands of k x m
-    places, m being the most often a value occurs; the last band takes what
-    remains of a band. A band is dealt in strides, so that members of a group are
-    at least m places apart and differ. Fails if a value fills more than n / k
-    places, as no such grouping exists then.
+    Items are sorted by (value, hash). The n mod k left over have different
+    values and form group -1: from a place taken from the seed the first items of
+    the values upwards, then the last ones of the values downwards. The others are
+    cut into bands of k * m places (``operators/bands``), m being the least number
+    so that no value fills more than m places of the band; a band is dealt in
+    strides of m, so that the members of a group differ. A value with many items
+    widens its own band only. Fails if a value fills more than n / k places, as no
+    such grouping exists then.
     """
     hashed = golds.withColumn("_tie", hashing.sha(seed, "order", F.col(row_id)))
-    counts = hashed.groupBy(value).agg(F.count(F.lit(1)).alias("_n"), F.min("_tie").alias("_first"))
-    n = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    # At most k - 1 values.
-    largest = counts.orderBy(F.desc(value)).limit(n % k)
-    extra = hashed.join(largest.select(value, F.col("_first").alias("_tie")), [value, "_tie"], "left_semi")
-    rest = hashed.join(extra.select(row_id), row_id, "left_anti")
-    cut = scans.range_segments(rest, [], [value, "_tie"])
-    longest = cut.groupBy(value).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
-    total = n // k
+    cut = scans.range_segments(hashed, [], [value, "_tie"])
+    placed = cut_lineage(scans.row_numbers(cut, [], [value, "_tie"]).select(row_id, value, (F.col("rn") - 1).alias("_p")))
+    runs = cut_lineage(placed.groupBy(value).agg(F.min("_p").alias("a"), F.count(F.lit(1)).alias("c")))
+    sizes = runs.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.max("c"), F.lit(0)).alias("most")).first()
+    n, total = sizes["n"], sizes["n"] // k
+    left = _left_over(runs, n, n % k, seed)
+    # What is left when one item of each of these values is gone.
+    here = F.filter(F.array(*[F.lit(p).cast("bigint") for p in left]), lambda p: (p >= F.col("a")) & (p < F.col("a") + F.col("c")))
+    before = F.filter(F.array(*[F.lit(p).cast("bigint") for p in left]), lambda p: p < F.col("a"))
+    rest = runs.select("a", "c")
+    if left:  # counted under other names first: a name made beside a lambda would be taken inside it
+        rest = runs.select("a", "c", F.size(before).alias("_b"), F.size(here).alias("_h")).selectExpr("a - _b AS a", "c - _h AS c").where("c > 0")
+    longest = rest.agg(F.coalesce(F.max("c"), F.lit(0)).alias("c")).first()["c"] if left else sizes["most"]
     if longest > total:
         raise ValueError(f"a value occurs {longest} times, more than n/k = {total}")
-    m = max(1, longest)
-    bands = max(1, total // m)
-    placed = scans.row_numbers(cut, [], [value, "_tie"]).withColumn("_p", F.col("rn") - 1)
-    band = F.least(F.floor(F.col("_p") / (k * m)), F.lit(bands - 1))
-    width = F.when(band < bands - 1, F.lit(m)).otherwise(F.lit(total - (bands - 1) * m))
-    group = band * m + (F.col("_p") - band * (k * m)) % width
-    dealt = placed.select(row_id, value, group.cast("bigint").alias("answer_group"))
-    return dealt.unionByName(extra.select(row_id, value, F.lit(-1).cast("bigint").alias("answer_group")))
+    passed = F.size(F.filter(F.array(*[F.lit(p).cast("bigint") for p in left]), lambda p: p < F.col("_p"))) if left else F.lit(0)
+    others = placed.where(~F.col("_p").isin(left)) if left else placed
+    if not total:
+        return placed.select(row_id, value, F.lit(-1).cast("bigint").alias("answer_group"))
+    dealt = bands.dealt(others.withColumn("_p", F.col("_p") - passed), bands.bands(cut_lineage(rest), k, total), k, "_p", "answer_group")
+    extra = placed.where(F.col("_p").isin(left) if left else F.lit(False))
+    return dealt.select(row_id, value, "answer_group").unionByName(extra.select(row_id, value, F.lit(-1).cast("bigint").alias("answer_group")))
+
+
+def _left_over(runs: DataFrame, n: int, many: int, seed: str) -> list[int]:
+    """Places of ``many`` items (fewer than k) with different values, around a place taken from the seed."""
+    if not many:
+        return []
+    start = runs.sparkSession.range(1).select(hashing.hash_mod(hashing.sha(seed, "leftover"), n).alias("p")).first()["p"]
+    own = runs.where((F.col("a") <= start) & (F.col("a") + F.col("c") > start)).first()
+    places = [start, *(r["a"] for r in runs.where(F.col("a") > own["a"]).orderBy("a").limit(many - 1).collect())]
+    if len(places) < many:
+        below = runs.where(F.col("a") < own["a"]).orderBy(F.desc("a")).limit(many - len(places)).collect()
+        places += [r["a"] + r["c"] - 1 for r in below]
+    if len(places) < many:
+        raise ValueError(f"{many} items are left over, but there are only {len(places)} values")
+    return places
 
 
 def group_values(groups: DataFrame, value: str, k: int) -> DataFrame:
-    """(answer_group, ring): the ``k`` values of each group; group -1 is filled with the next largest values."""
-    own = groups.where("answer_group >= 0").groupBy("answer_group").agg(F.array_sort(F.collect_list(value)).alias("ring"))
-    top = groups.select(value).distinct().orderBy(F.desc(value)).limit(k)
-    filled = top.agg(F.array_sort(F.collect_list(value)).alias("ring")).select(F.lit(-1).cast("bigint").alias("answer_group"), "ring")
-    return own.unionByName(filled)
+    """(answer_group, ring): the ``k`` values of each group; group -1 is filled with the next values above its own, then below."""
+    own = groups.groupBy("answer_group").agg(F.array_sort(F.collect_list(value)).alias("ring"))
+    few = own.where("answer_group = -1").first()
+    if few is None or len(few["ring"]) >= k:
+        return own
+    distinct = groups.select(value).distinct()
+    above = distinct.where(F.col(value) > few["ring"][-1]).orderBy(value).limit(k).select(value, F.lit(0).alias("_side"))
+    below = distinct.where(F.col(value) < few["ring"][0]).orderBy(F.desc(value)).limit(k).select(value, F.lit(1).alias("_side"))
+    # At most 2 k rows.
+    ranked = F.array_sort(F.collect_list(F.struct("_side", F.when(F.col("_side") == 0, F.col(value)).otherwise(-F.col(value)).alias("_o"), F.col(value).alias("v"))))
+    more = above.unionByName(below).agg(F.transform(F.slice(ranked, 1, k - len(few["ring"])), lambda x: x["v"]).alias("_more"))
+    filled = own.where("answer_group = -1").join(more).select("answer_group", F.array_sort(F.concat("ring", "_more")).alias("ring"))
+    return own.where("answer_group >= 0").unionByName(filled)
 
 
 def ring_options(groups: DataFrame, row_id: str, value: str, k: int, width: int, seed: str) -> DataFrame:

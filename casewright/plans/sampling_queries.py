@@ -202,15 +202,28 @@ def occurrence_ids(spark, d):
     return out.select(F.col("oid").cast("bigint").alias("l_orderkey"), "line", "unique_id")
 
 
+# Bands are walked by the recursive part; a band is too narrow (an) when a value fills more than m of its places.
 ANSWER_GROUPS = """
 at0 AS (SELECT l_suppkey * 10 + l_linenumber AS id, floor(sum(l_quantity))::BIGINT AS v FROM lineitem GROUP BY ALL),
 ah AS (SELECT *, sha256('deal:order:' || id::VARCHAR) AS tie FROM at0),
-av AS (SELECT v, min(tie) AS tie, row_number() OVER (ORDER BY v DESC) AS d FROM ah GROUP BY v),
-ax AS (SELECT ah.* FROM ah JOIN av USING (v, tie) WHERE d <= (SELECT count(*) % 4 FROM ah)),
-ar AS (SELECT *, row_number() OVER (ORDER BY v, tie) - 1 AS p FROM ah WHERE id NOT IN (SELECT id FROM ax)),
-ac AS (SELECT (SELECT count(*) FROM ar) // 4 AS total, (SELECT max(c) FROM (SELECT count(*) AS c FROM ar GROUP BY v)) AS m),
-ab AS (SELECT ar.*, total, m, least(p // (4 * m), greatest(1, total // m) - 1) AS band, greatest(1, total // m) AS bands FROM ar, ac),
-ag AS (SELECT id, v, (band * m + (p - band * 4 * m) % CASE WHEN band < bands - 1 THEN m ELSE total - (bands - 1) * m END)::BIGINT AS answer_group FROM ab
+ao AS (SELECT *, row_number() OVER (ORDER BY v, tie) - 1 AS p FROM ah),
+az AS (SELECT count(*) AS n, ('0x' || substr(sha256('deal:leftover'), 1, 8))::BIGINT % count(*) AS st FROM ao),
+ay AS (SELECT v, min(p) AS a, max(p) AS z FROM ao GROUP BY v),
+aw AS (SELECT CASE WHEN a <= st AND z >= st THEN st WHEN a > st THEN a ELSE z END AS p,
+  row_number() OVER (ORDER BY z < st, CASE WHEN z < st THEN -v ELSE v END) AS d FROM ay, az),
+ax AS (SELECT ao.* FROM ao JOIN aw USING (p), az WHERE d <= n % 4),
+ar AS (SELECT id, v, row_number() OVER (ORDER BY v, tie) - 1 AS p FROM ah WHERE id NOT IN (SELECT id FROM ax)),
+au AS (SELECT v, min(p) AS a, count(*) AS c FROM ar GROUP BY v),
+ac AS (SELECT count(*) // 4 AS total FROM ar),
+ae AS (SELECT q, m FROM (SELECT unnest(range(total)) AS q FROM ac), (SELECT unnest(range(1, (SELECT max(c) FROM au) + 1)) AS m), ac WHERE q + m <= total),
+an AS (SELECT DISTINCT q, m FROM ae JOIN au ON c > 1 AND a < 4 * (q + m) AND a + c > 4 * q AND least(a + c, 4 * (q + m)) - greatest(a, 4 * q) > m),
+aq AS (SELECT q, min(m) AS m FROM ae ANTI JOIN an USING (q, m) GROUP BY q),
+ak AS (SELECT 0::BIGINT AS q UNION ALL SELECT (ak.q + m)::BIGINT FROM ak JOIN aq ON aq.q = ak.q, ac WHERE ak.q + m < total),
+al AS (SELECT max(ak.q) AS q FROM ak, ac WHERE EXISTS (SELECT 1 FROM ak b LEFT JOIN aq ON aq.q = b.q WHERE aq.m IS NULL)
+  AND ak.q < (SELECT max(q) FROM ak)
+  AND total - ak.q >= (SELECT max(a + c - greatest(a, 4 * ak.q)) FROM au WHERE a + c > 4 * ak.q)),
+ab AS (SELECT ak.q, CASE WHEN ak.q = al.q THEN total - ak.q ELSE m END AS m FROM ak LEFT JOIN aq ON aq.q = ak.q, al, ac WHERE al.q IS NULL OR ak.q <= al.q),
+ag AS (SELECT id, v, (q + (p - 4 * q) % m)::BIGINT AS answer_group FROM ar JOIN ab ON p >= 4 * q AND p < 4 * (q + m)
   UNION ALL SELECT id, v, -1 FROM ax)"""
 
 
@@ -220,14 +233,16 @@ def valued(spark, d):
     return li.groupBy((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("id")).agg(F.floor(F.sum("l_quantity")).alias("v"))
 
 
-@query(f"WITH {ANSWER_GROUPS} SELECT * FROM ag")
+@query(f"WITH RECURSIVE {ANSWER_GROUPS} SELECT * FROM ag")
 def answer_groups(spark, d):
     return distractors.answer_groups(valued(spark, d), "id", "v", 4, "deal")
 
 
 @query(f"""
-WITH {ANSWER_GROUPS}, ring AS (SELECT answer_group, list(v ORDER BY v) AS r FROM ag WHERE answer_group >= 0 GROUP BY answer_group
-  UNION ALL SELECT -1, list(v ORDER BY v) FROM (SELECT DISTINCT v FROM ag ORDER BY v DESC LIMIT 4)),
+WITH RECURSIVE {ANSWER_GROUPS}, ring AS (SELECT answer_group, list(v ORDER BY v) AS r FROM ag WHERE answer_group >= 0 GROUP BY answer_group
+  UNION ALL SELECT -1, list(v ORDER BY v) FROM (
+    SELECT v FROM ax UNION ALL (SELECT v FROM (SELECT DISTINCT v, (SELECT max(v) FROM ax) AS hi, (SELECT min(v) FROM ax) AS lo FROM ag)
+      WHERE v > hi OR v < lo ORDER BY v < lo, CASE WHEN v > hi THEN v ELSE -v END LIMIT 4 - (SELECT count(*) FROM ax))) HAVING count(*) > 0),
 rs AS (SELECT *, (('0x' || substr(sha256('deal:shift:' || answer_group::VARCHAR), 1, 8))::BIGINT % 3)::INT AS shift FROM ring)
 SELECT id, v, answer_group, array_to_string(list_transform(range(3),
   lambda t: r[(((list_position(r, v) - 1 - shift + t) % len(r)) + len(r)) % len(r) + 1]), ',') AS options FROM ag JOIN rs USING (answer_group)""")
