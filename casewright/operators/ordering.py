@@ -35,27 +35,35 @@ def history(
 ) -> DataFrame:
     """Ordered items of a conversation up to each row (or up to the row before).
 
-    ``turn`` is a whole number. Rows are scanned in blocks of turn numbers, and
-    the blocks before a row's own are put in front, so a conversation is never
-    read by one task; ``at`` picks the rows that are emitted.
+    ``turn`` is a whole number. Rows are scanned in blocks of turn numbers. What
+    lies before a block is put together from blocks of powers of two, one for each
+    bit of the block's number, and each of these is built once: a conversation of
+    n blocks meets them in n log n rows, and is never read by one task. ``at``
+    picks the rows that are emitted.
     """
     rows = turns.withColumns({"_item": item, "_block": F.floor(F.col(turn) / block)})
     inside = Window.partitionBy(conv, "_block").orderBy(turn)
     frame = inside.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
     local = rows.withColumn("_local", F.collect_list("_item").over(frame))
     emitted = local if at is None else local.where(at)
-    blocks = rows.groupBy(conv, "_block").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.col("_item").alias("i")))).alias("_items")
+    ends = turns.agg(F.floor(F.min(turn) / block).alias("low"), F.floor(F.max(turn) / block).alias("high")).first()
+    levels = 0 if ends["low"] is None else int(ends["high"] - ends["low"]).bit_length()
+    if not levels:
+        return emitted.withColumn("history", F.col("_local")).drop("_item", "_block", "_local")
+    # Block numbers count from the first block of the table.
+    blocks = rows.groupBy(conv, "_block").agg(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.col("_item").alias("i")))).alias("_items"))
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_level")
+    own = F.col("_block") - F.lit(ends["low"])
+    # A block of 2**j blocks stands before another exactly at that one's set bit j; its own number is even then.
+    parts = blocks.select(conv, own.alias("_n"), "_items", level).withColumn("_part", F.expr("shiftright(_n, _level)")).where("_part % 2 = 0")
+    built = parts.groupBy(conv, "_level", "_part").agg(F.array_sort(F.collect_list(F.struct("_n", "_items"))).alias("_p")).select(
+        conv, "_level", "_part", F.flatten(F.transform("_p", lambda p: p["_items"])).alias("_items")
     )
-    # Only conversations longer than one block pay for the block join.
-    earlier = blocks.select(conv, F.col("_block").alias("_b"), "_items")
-    wanted = blocks.select(conv, "_block")
+    wanted = blocks.select(conv, "_block", own.alias("_n"), level).where("shiftright(_n, _level) % 2 = 1")
     prefix = (
-        wanted.join(earlier, conv)
-        .where(F.col("_b") < F.col("_block"))
-        .groupBy(conv, "_block")
-        .agg(F.array_sort(F.collect_list(F.struct("_b", "_items"))).alias("_p"))
-        .select(conv, "_block", F.transform(F.flatten(F.transform("_p", lambda b: b["_items"])), lambda s: s["i"]).alias("_before"))
+        wanted.select(conv, "_block", "_level", F.expr("shiftright(_n, _level) - 1").alias("_part")).join(built, [conv, "_level", "_part"])
+        .groupBy(conv, "_block").agg(F.sort_array(F.collect_list(F.struct("_level", "_items")), asc=False).alias("_p"))
+        .select(conv, "_block", F.transform(F.flatten(F.transform("_p", lambda p: p["_items"])), lambda s: s["i"]).alias("_before"))
     )
     out = emitted.join(prefix, [conv, "_block"], "left")
     full = F.when(F.col("_before").isNull(), F.col("_local")).otherwise(F.concat("_before", "_local"))

@@ -137,3 +137,28 @@ def test_positive_class_report(spark):
     df = spark.createDataFrame([(59, "ok", g, p) for g, p in rows], "catalog_id int, status string, gold string, pred string")
     got = score.positive_class_report(df, "true").first()
     assert got["score"] == pytest.approx(0.5) and got["chance"] == pytest.approx(0.5)
+
+
+@pytest.mark.parametrize("limit", [100_000, 3])
+def test_radix_selection_equals_sorting(spark, monkeypatch, limit):
+    import random
+
+    monkeypatch.setattr(metrics, "SORTED_VALUES", limit)
+    monkeypatch.setattr(metrics, "PARTS", 4)
+    rng = random.Random(4)
+    groups = {
+        "spread": [rng.lognormvariate(3, 2) for _ in range(300)],
+        "close": [1e9 + rng.randint(0, 400) / 8 for _ in range(301)],
+        "signs": [rng.gauss(0, 1) for _ in range(200)] + [0.0, -0.0],
+        "hot": [5.0] * 400 + [rng.random() * 10 for _ in range(99)],
+        "one": [2.5],
+    }
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("spread", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    rules = {"p50": metrics.nearest_rank(0.5), "p95": metrics.nearest_rank(0.95), "mid": metrics.middle(), "low": metrics.floor_index(0.1)}
+    got = {r["g"]: r for r in metrics.exact_percentiles(df, ["g"], "v", rules).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        x, n = sorted(vs), len(vs)
+        want = (x[min(n, math.ceil(n * 0.5)) - 1], x[min(n, math.ceil(n * 0.95)) - 1], (x[(n + 1) // 2 - 1] + x[n // 2]) / 2, x[int(0.1 * (n - 1))])
+        assert (got[g]["p50"], got[g]["p95"], got[g]["mid"], got[g]["low"]) == pytest.approx(want, rel=1e-12) and got[g]["n"] == n

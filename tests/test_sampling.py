@@ -216,3 +216,12 @@ def test_rank_spread_takes_ranks(spark):
         ds = r["distractors"]
         assert len(ds) == len(set(ds)) == 3 and r["v"] not in ds
         assert sum(x > r["v"] for x in ds) == r["n_above"]
+
+
+def test_histories_from_blocks_of_powers_of_two(spark):
+    rng = random.Random(1)
+    rows = [(c, t, f"{c}:{t}") for c in "abc" for t in sorted(rng.sample(range(-20, 60), 37))]
+    df = spark.createDataFrame(rows, "conv string, turn long, x string")
+    for block, current in ((1, True), (3, False), (64, True)):
+        got = {(r["conv"], r["turn"]): r["history"] for r in ordering.history(df, "conv", "turn", F.col("x"), current, block=block).collect()}
+        assert got == {(c, t): [x for d, u, x in rows if d == c and (u <= t if current else u < t)] for c, t, _ in rows}
