@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from casewright.operators.inference import Abstained, Predictor, Unsupported
 
 
@@ -49,6 +51,14 @@ class Unbuildable(ByLength):
         raise RuntimeError("no model")
 
 
+class Unreachable(ByLength):
+    """Fails every call after a moment, like a server that is down."""
+
+    def __call__(self, state, questions):
+        time.sleep(0.01)
+        raise ConnectionError("no answer")
+
+
 class WholeCalls(ByLength):
     """Answers whole calls at once; a call with a text over ``longest`` characters fails as one."""
 

@@ -8,9 +8,9 @@ from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casewright.operators import facts, inference, metrics
+from casewright.operators import facts, inference, metrics, results
 from casewright.plans.derived import status_of
-from casewright.plans.predictors import ByLength, Unbuildable, WholeCalls
+from casewright.plans.predictors import ByLength, Unbuildable, Unreachable, WholeCalls
 from casewright.plans.registry import query, table
 from casewright.functions import hashing
 from casewright.functions import receipts as fields
@@ -112,12 +112,12 @@ def uniform_baseline(spark, d):
     return out.select("run_id", "field", "choice", "noul", F.try_element_at("probabilities", F.lit("0")).alias("p0"))
 
 
-def quality_requests(spark, d):
+def quality_requests(spark, d, *more):
     """One request per document: its text, and whether it is good."""
     asked = '{"quality": {"type": "choice", "instructions": "Is it good text?", "criteria": {"0": "poor", "1": "good"}}}'
     return table(spark, d, "documents").select(
         F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("run_id"),
-        F.to_json(F.struct("text")).alias("state"), F.lit(asked).alias("questions"),
+        F.to_json(F.struct("text")).alias("state"), F.lit(asked).alias("questions"), *more,
     )
 
 
@@ -317,10 +317,32 @@ def limited_waves(spark, d):
 
 
 @query("""
-SELECT 'doc:' || doc_id::VARCHAR AS run_id, CASE WHEN length(text) > 20000 THEN 'error' WHEN length(text) < 20 THEN 'abstained' ELSE 'ok' END AS status FROM documents""")
+WITH k AS (SELECT doc_id, length(text) AS n, CASE WHEN doc_id % 7 = 0 AND length(text) <= 20000 THEN NULL ELSE doc_id // 10 END AS call FROM documents)
+SELECT 'doc:' || doc_id::VARCHAR AS run_id, CASE WHEN call IS NOT NULL AND max(n) OVER (PARTITION BY call) > 20000 THEN 'error' WHEN n < 20 THEN 'abstained' ELSE 'ok' END AS status FROM k""")
 def chunked_scoring(spark, d):
-    """Calls of one request each: a call that fails marks no other request."""
-    return inference.run(quality_requests(spark, d), "whole", WholeCalls, chunk=1).select("run_id", "status")
+    """Calls of up to ten documents, and calls of documents without a key: a call that fails marks its own requests only."""
+    asked = quality_requests(spark, d, F.length("text").alias("n"), F.col("doc_id"))
+    key = F.when((F.col("doc_id") % 7 != 0) | (F.col("n") > 20_000), F.floor(F.col("doc_id") / 10))
+    together = asked.withColumn("call", key).repartition("call")
+    return inference.run(together, "whole", WholeCalls, batch_key="call").select("run_id", "status")
+
+
+@query(f"""
+SELECT 'doc:' || doc_id::VARCHAR AS run_id, {BY_LENGTH} AS status, true AS stopped_early FROM documents""")
+def spread_failures(spark, d):
+    """Errors in all tasks, in none of them as many as the limit, stop a wave; what is recorded stays and the rest is taken up."""
+    requests, log, limit = quality_requests(spark, d).repartition(16), new_folder(spark, "log"), 40
+    try:
+        inference.run_in_waves(requests, "down", Unreachable, log, waves=1, stop_errors=limit, chunk=1)
+        raise AssertionError("the run cannot end well")
+    except inference.TooManyFailures:
+        pass
+    first = inference.read_log(spark, log).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "error").alias("e")).first()
+    if first["n"] != first["e"] or first["e"] < limit:
+        raise AssertionError("the errors that stopped the run are recorded")
+    inference.run_in_waves(requests, "by-length", ByLength, log, waves=2)
+    early = F.lit(first["n"] < requests.count())
+    return results.latest(inference.read_log(spark, log), ["run_id"], "seq").select("run_id", "status", early.alias("stopped_early"))
 
 
 @query("""

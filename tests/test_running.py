@@ -1,3 +1,4 @@
+import collections
 import json
 
 import pytest
@@ -38,6 +39,10 @@ def requests(spark, texts):
     return spark.createDataFrame(rows, "run_id string, state string, questions string")
 
 
+def number():
+    return F.substring("run_id", 2, 9).cast("int")
+
+
 def test_every_request_gets_one_row(spark):
     texts = ["a" * 30, "a" * 900, "boom", "huge", "liar", "tiny", "a" * 30_000]
     got = {r["run_id"]: r for r in inference.run(requests(spark, texts), "flaky", lambda: Flaky(shortest=5)).collect()}
@@ -146,3 +151,64 @@ def test_progress_events_are_small_records():
 def test_run_record(spark):
     row = inference.run_record(spark, "by-length", {"cut": 3}, "abc").first()
     assert row["engine"] == "by-length" and json.loads(row["options"]) == {"cut": 3}
+
+
+class Slow(Flaky):
+    """Fails every call, after a moment."""
+
+    def __call__(self, state, questions):
+        import time
+
+        time.sleep(0.02)
+        raise ConnectionError("down")
+
+
+def test_errors_of_all_tasks_stop_a_wave(spark, tmp_path):
+    """No task has as many errors as the limit, all together have; the recorded rows stay."""
+    rows = requests(spark, ["some text"] * 400).repartition(8)
+    out = inference.run(rows, "down", Slow, chunk=1, stop_errors=24, stop_folder=str(tmp_path / "stop")).collect()
+    assert 24 <= len(out) <= 24 + 8 and {r["status"] for r in out} == {"error"}
+    assert max(collections.Counter(r["run_id"] for r in out).values()) == 1
+
+
+def test_one_success_keeps_all_tasks_going(spark, tmp_path):
+    stop = inference.SharedStop(str(tmp_path / "s"), 3, 0)
+    other = inference.SharedStop(str(tmp_path / "s"), 3, 1)
+    stop.tell(2, False, False)
+    assert not other.stopped()
+    again = inference.SharedStop(str(tmp_path / "s"), 3, 0)
+    again.tell(2, False, False)  # the same task, tried again
+    assert not other.stopped()
+    other.tell(1, False, False)
+    assert stop.stopped()
+    other.tell(0, True, False)
+    assert not stop.stopped() and not other.stopped()
+    other.tell(0, False, True)
+    assert stop.stopped()
+
+
+def test_requests_without_a_batch_key_get_their_row(spark):
+    texts = ["long enough to be answered"] * 30
+    df = requests(spark, texts).withColumn("k", F.when(number() % 3 != 0, number() % 2))
+    got = inference.run(df, "flaky", Flaky, batch_key="k", chunk=4)
+    assert got.count() == 30 == got.select("run_id").distinct().count()
+
+
+def test_a_call_may_go_on_in_the_next_batch(spark):
+    """Arrow batches end anywhere; calls of one key are still whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = requests(spark, ["text"] * 40).coalesce(1).withColumn("k", F.floor(number() / 10))
+        got = inference.run(df, "counted", Counted, batch_key="k")
+        assert {r["raw_output"] for r in got.collect()} == {"10"}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+class Counted(inference.Predictor):
+    """Says how many requests came with one call."""
+
+    def batch(self, payloads):
+        from casewright.plans.predictors import Uniform
+
+        return [(Uniform._answer(p["questions"]), len(payloads)) for p in payloads]
