@@ -184,7 +184,7 @@ def streamed_counts(spark, d):
     root = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = result_log.read_log(spark, d, EVENT, "parquet", glob="events.parquet")
     result_log.live_counts(stream, ["event_type"], f"{root}/counts", f"{root}/progress").awaitTermination()
-    return result_log.read_counts(spark, f"{root}/counts")
+    return result_log.read_counts(spark, f"{root}/counts", ["event_type"])
 
 
 def receipts(spark, d):

@@ -212,3 +212,33 @@ class Counted(inference.Predictor):
         from casewright.plans.predictors import Uniform
 
         return [(Uniform._answer(p["questions"]), len(payloads)) for p in payloads]
+
+
+def test_a_batch_writes_only_the_keys_it_changes(spark, tmp_path):
+    """Forty keys over nine batches of three; folded every fourth batch, folders of old folds go."""
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.LongType()), T.StructField("seq", T.LongType())])
+    src, out, kept = tmp_path / "src", str(tmp_path / "out"), str(tmp_path / "counts")
+    src.mkdir()
+    truth, counts = {}, collections.Counter()
+    for batch in range(9):
+        lines = []
+        for j in range(3):
+            key = f"k{(batch * 7 + j * 3) % 40}"
+            # Every third record is older than what the key may have.
+            record = {"k": key, "v": batch * 10 + j, "seq": 100 + batch if j else batch}
+            if record["seq"] >= truth.get(key, record)["seq"]:
+                truth[key] = record
+            counts[key] += 1
+            lines.append(json.dumps(record))
+        (src / f"{batch}.json").write_text("\n".join(lines))
+        for run, target in ((result_log.keep_latest, out), (result_log.live_counts, kept)):
+            stream = result_log.read_log(spark, str(src), schema)
+            more = (["k"], "seq", target) if run is result_log.keep_latest else (["k"], target)
+            run(stream, *more, str(tmp_path / run.__name__), fold=4).awaitTermination()
+        written = spark.read.parquet(f"{out}/changes/log_batch={batch}")
+        assert {r["k"] for r in written.collect()} == {json.loads(line)["k"] for line in lines}
+    got = {r["k"]: (r["v"], r["seq"]) for r in result_log.read_latest(spark, out, ["k"], "seq").collect()}
+    assert got == {k: (r["v"], r["seq"]) for k, r in truth.items()}
+    assert {r["k"]: r["n"] for r in result_log.read_counts(spark, kept, ["k"]).collect()} == dict(counts)
+    assert result_log._numbers(spark, f"{out}/base", "log_upto") == [3, 7]
+    assert min(result_log._numbers(spark, f"{out}/changes", "log_batch")) == 4
