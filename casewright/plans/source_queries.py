@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,32 +46,77 @@ def tab_tuples_roundtrip(spark, d):
 
 
 @query("""
-SELECT o_custkey, count(*) AS orders, max(o_orderstatus) AS status FROM orders GROUP BY o_custkey""")
+SELECT 'kept' AS outcome, count(*) AS n, sum(c_acctbal)::DOUBLE AS balance FROM customer WHERE c_custkey % 10 NOT IN (3, 7)
+UNION ALL SELECT 'rejected', count(*), NULL FROM customer WHERE c_custkey % 10 IN (3, 7)""")
+def typed_csv_rejects(spark, d):
+    """CSV rows by a stated schema: rows with a text for a number and rows with a field too few come back as rejects."""
+    path = folder(spark, "csv")
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), "c_name", F.lit('"')), F.when(F.col("c_custkey") % 10 == 3, "much").otherwise(F.col("c_acctbal").cast("string")))
+    short = F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name")
+    rows = table(spark, d, "customer").select(F.when(F.col("c_custkey") % 10 == 7, short).otherwise(line).alias("key,name,balance"))
+    # The header is the name of the only column; lines are written as they are.
+    rows.write.option("header", True).option("quote", "").option("sep", "\t").csv(path)
+    good, bad = readers.csv(spark, path, T.StructType.fromDDL("key bigint, name string, balance decimal(15,2)"), "rejects")
+    kept = good.select(F.lit("kept").alias("outcome"), F.col("balance").cast("double").alias("balance")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("balance").alias("balance"))
+    lost = bad.select(F.lit("rejected").alias("outcome")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("balance"))
+    return kept.unionByName(lost)
+
+
+@query("""
+SELECT o_custkey, count(*) AS orders, max(o_orderstatus) AS status FROM orders WHERE o_custkey % 16 <> 5 GROUP BY o_custkey
+UNION ALL SELECT -1, count(DISTINCT o_custkey % 16), 'rejected' FROM orders WHERE o_custkey % 16 = 5 HAVING count(*) > 0""")
 def json_documents_roundtrip(spark, d):
-    """Customers with their orders as nested JSON."""
+    """Customers with their orders as nested JSON, an array of documents over many lines in each file; a file cut short is rejected."""
     path = folder(spark, "json")
     one = F.struct("o_orderkey", F.struct(F.col("o_orderstatus").alias("status")).alias("state"))
-    table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(one).alias("orders")).coalesce(8).write.json(path)
+    documents = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(one).alias("orders"))
+    # A line each, with brackets around the lines of a file and commas between them.
+    in_file = Window.partitionBy("part").orderBy("o_custkey")
+    text = F.to_json(F.struct("o_custkey", "orders"))
+    placed = documents.withColumn("part", (F.col("o_custkey") % 16).cast("int")).select(
+        "part", "o_custkey", F.concat(F.when(F.row_number().over(in_file) == 1, "[").otherwise(","), F.lit("\n"), text,
+        F.when(F.lead("o_custkey").over(in_file).isNull() & (F.col("part") != 5), "\n]").otherwise("")).alias("value"))
+    placed.repartition(16, "part").sortWithinPartitions("part", "o_custkey").select("part", "value").write.partitionBy("part").text(path)
     schema = T.StructType.fromDDL("o_custkey bigint, orders array<struct<o_orderkey:bigint,state:struct<status:string>>>")
-    # One document per line is also a document per file when read line by line.
-    back = readers.json_lines(spark, path, schema)
-    return back.select("o_custkey", F.size("orders").cast("bigint").alias("orders"), F.array_max(F.transform("orders", lambda o: o["state"]["status"])).alias("status"))
+    good, bad = readers.json_documents(spark, f"{path}/part=*", schema, "rejects")
+    kept = good.select("o_custkey", F.size("orders").cast("bigint").alias("orders"), F.array_max(F.transform("orders", lambda o: o["state"]["status"])).alias("status"))
+    files = bad.agg(F.count(F.lit(1)).alias("orders")).where("orders > 0")
+    return kept.unionByName(files.select(F.lit(-1).cast("bigint").alias("o_custkey"), "orders", F.lit("rejected").alias("status")))
 
 
 @query("""
 SELECT event_id, arg_max(event_type, pass) AS pred FROM (SELECT event_id, event_type, 1 AS pass FROM events WHERE event_type <> 'error'
   UNION ALL SELECT event_id, 'late', 2 FROM events WHERE event_id % 3 = 0) GROUP BY event_id""")
 def prediction_files(spark, d):
-    """A folder of prediction files; the last one that has a prediction wins."""
+    """A folder of prediction files, each ending in a torn line; the last record that has a prediction wins."""
     path = folder(spark, "predictions")
     e = table(spark, d, "events")
     first = e.select("event_id", F.when(F.col("event_type") != "error", F.col("event_type")).alias("pred"))
     late = e.where("event_id % 3 = 0").select("event_id", F.lit("late").alias("pred"))
     for name, part in (("a", first), ("b", late)):
-        part.select(F.to_json(F.struct("event_id", "pred")).alias("value")).write.text(f"{path}/run={name}")
+        # Each file is a few whole lines, then the beginning of one without a line feed.
+        lined = part.withColumn("file", F.pmod(F.xxhash64("event_id"), F.lit(8))).groupBy("file").agg(
+            F.concat(F.array_join(F.collect_list(F.to_json(F.struct("event_id", "pred"))), "\n"), F.lit('\n{"event_id": 12')).alias("value"))
+        lined.repartition("file").select("value").write.option("lineSep", "~").text(f"{path}/run={name}")
     schema = T.StructType.fromDDL("event_id bigint, pred string")
-    parts = [readers.json_lines(spark, f"{path}/run={n}", schema).withColumn("seq", F.lit(k)) for k, n in enumerate("ab")]
-    return results.latest_prediction(parts[0].unionByName(parts[1]), ["event_id"]).where("pred IS NOT NULL").select("event_id", "pred")
+    back = readers.predictions(spark, path, schema, complete_lines=True, glob="*.txt")
+    return results.latest_prediction(back, ["event_id"]).where("pred IS NOT NULL").select("event_id", "pred")
+
+
+@query("""
+SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey % 3 <> 1 OR c_custkey % 2 = 0 GROUP BY c_mktsegment
+UNION ALL SELECT 'rejected', count(*) FROM customer WHERE c_custkey % 3 = 1 AND c_custkey % 2 <> 0""")
+def suite_row_files(spark, d):
+    """Base, added and replacement files as one relation; mistyped lines of the added ones come back."""
+    path, c = folder(spark, "suite"), table(spark, d, "customer")
+    row = F.to_json(F.struct("c_custkey", "c_mktsegment"))
+    bad = F.to_json(F.struct(F.lit("none").alias("c_custkey"), "c_mktsegment"))
+    for k, name in enumerate(("base", "added", "replaced")):
+        value = F.when((F.lit(k) == 1) & (F.col("c_custkey") % 2 != 0), bad).otherwise(row)
+        c.where(F.col("c_custkey") % 3 == k).select(value.alias("value")).write.text(f"{path}/{name}")
+    good, bad_lines = readers.suite_rows(spark, [f"{path}/{n}" for n in ("base", "added", "replaced")], T.StructType.fromDDL("c_custkey bigint, c_mktsegment string"), "rejects")
+    kept = good.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    return kept.unionByName(bad_lines.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rejected").alias("c_mktsegment"), "n"))
 
 
 @query("""

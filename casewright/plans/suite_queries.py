@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casewright.functions import arrays, hashing, scoring, text
 from casewright.operators import audits, editions, facts, inference, joins, results
 from casewright.plans.derived import ORDER_CASES, order_cases
 from casewright.plans.registry import query, table
-from casewright.sources import digests
+from casewright.session import checkpoint_dir
+from casewright.sources import digests, readers
 
 
 @query("""
@@ -141,10 +145,18 @@ def tie_drop(spark, d):
 
 
 @query("""
-SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events WHERE contains(props, '"k": 4')""")
+SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events WHERE contains(props, '"k": 4') AND event_id % 5 <> 2
+UNION ALL SELECT -count(*), NULL FROM events WHERE contains(props, '"k": 4') AND event_id % 5 = 2""")
 def substring_prefilter(spark, d):
-    hit = table(spark, d, "events").where(F.contains("props", F.lit('"k": 4'))).select("event_id", "props")
-    return hit.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    """Lines that hold a text are parsed, others never; lines that do not fit are counted below zero."""
+    path = f"{checkpoint_dir(spark)}/marked-{uuid.uuid4().hex}"
+    whole = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "props": '), "props", F.lit("}"))
+    torn = F.substr(whole, F.lit(1), F.length(whole) - 1)
+    table(spark, d, "events").select(F.when(F.col("event_id") % 5 == 2, torn).otherwise(whole).alias("value")).write.text(path)
+    schema = T.StructType.fromDDL("event_id bigint, props struct<k:bigint>")
+    good, bad = readers.containing(spark, path, '"k": 4', schema, "rejects")
+    lost = bad.agg((-F.count(F.lit(1))).alias("event_id")).select("event_id", F.lit(None).cast("bigint").alias("k"))
+    return good.select("event_id", F.col("props.k").alias("k")).unionByName(lost)
 
 
 @query(r"""

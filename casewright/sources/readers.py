@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casewright.sources import lines
+
 BAD = "_bad"
 TAIL = "_tail"
 
 
-def _parsed(lines: DataFrame, schema: T.StructType) -> DataFrame:
+def _parsed(rows: DataFrame, schema: T.StructType) -> DataFrame:
     """Lines (``value`` and others) with the parsed row ``_r``, which holds the text of a line that does not fit."""
     with_bad = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    return lines.withColumn("_r", F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}))
+    return rows.withColumn("_r", F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}))
 
 
 def _or_raise(parsed: DataFrame) -> DataFrame:
@@ -34,60 +34,38 @@ def json_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType
     end with a line feed, as a writer that was stopped leaves it, is left out
     first. Gzip is read by one task per file: convert large suites once.
     """
-    if on_bad not in ("raise", "rejects", "drop"):
-        raise ValueError(f"on_bad: {on_bad}")
-    lines = spark.read.text(paths)
     if complete_lines:
-        lines = _with_tails(spark, lines, [paths] if isinstance(paths, str) else paths)
+        found = lines.ranged_lines(spark, paths).select("value", F.col("torn").alias(TAIL))
     else:
-        lines = lines.withColumn(TAIL, F.lit(False))
-    parsed = _parsed(lines.where(F.trim("value") != ""), schema)
+        found = spark.read.text(paths).withColumn(TAIL, F.lit(False))
+    return _sorted_out(_parsed(found.where(F.trim("value") != ""), schema), on_bad)
+
+
+def _sorted_out(parsed: DataFrame, on_bad: str, *more: str):
+    """The rows of parsed lines, with what becomes of those that do not fit; marked tails are left out."""
+    if on_bad not in ("raise", "rejects", "drop"):
+        raise ValueError(f"on_bad: {on_bad}")
     if on_bad == "raise":
-        return _or_raise(parsed).select("_r.*").drop(BAD)
+        return _or_raise(parsed).select("_r.*", *more).drop(BAD)
     parsed = parsed.where(~F.col(TAIL))
-    good = parsed.where(F.col(f"_r.{BAD}").isNull()).select("_r.*").drop(BAD)
+    good = parsed.where(F.col(f"_r.{BAD}").isNull()).select("_r.*", *more).drop(BAD)
     if on_bad == "drop":
         return good
-    return good, parsed.where(F.col(f"_r.{BAD}").isNotNull()).select("value")
-
-
-def _with_tails(spark: SparkSession, lines: DataFrame, paths: list[str]) -> DataFrame:
-    """Lines, and whether one is the last of a file that does not end with a line feed."""
-    tails = [(file, tail) for path in paths for file, tail in _tails(spark, path)]
-    if not tails:
-        return lines.withColumn(TAIL, F.lit(False))
-    plain = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")
-    placed = lines.select("value", plain.alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
-    ends = F.broadcast(spark.createDataFrame(tails, "_file string, value string"))  # one row per file
-    last = placed.join(ends, ["_file", "value"]).groupBy("_file").agg(F.max(F.struct("_block", "_id")).alias("_m")).select("_file", "_m._block", "_m._id")
-    marked = placed.join(F.broadcast(last.withColumn(TAIL, F.lit(True))), ["_file", "_block", "_id"], "left")
-    return marked.select("value", F.coalesce(TAIL, F.lit(False)).alias(TAIL))
-
-
-def _tails(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """(file, unterminated last line) of the plain files under a path; reads the ends of files only."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = []
-    for status in fs.globStatus(root):
-        for file in fs.listStatus(status.getPath()):
-            name, size = file.getPath().toUri().toString(), file.getLen()
-            if not file.isFile() or not size or name.endswith(".gz"):
-                continue
-            stream, tail, at = fs.open(file.getPath()), b"", size
-            try:
-                while at > 0 and b"\n" not in tail:
-                    step = min(65536, at)
-                    at -= step
-                    stream.seek(at)
-                    tail = bytes(stream.readNBytes(step)) + tail
-            finally:
-                stream.close()
-            rest = tail.rpartition(b"\n")[2]
-            if rest:
-                out.append((re.sub("^file:/+", "file:/", name), rest.decode("utf-8", "replace").rstrip("\r")))
-    return out
+    return good, parsed.where(F.col(f"_r.{BAD}").isNotNull()).select("value", *more)
+
+
+def _fitting(df: DataFrame, on_bad: str, what: str):
+    """Rows of Spark's own readers, whose ``BAD`` column holds the text of those that do not fit."""
+    if on_bad not in ("raise", "rejects", "drop"):
+        raise ValueError(f"on_bad: {on_bad}")
+    columns = [F.col(f"`{c}`") for c in df.columns if c != BAD]
+    # A reader looks only at the columns a query names, so a condition that always holds names them all.
+    df = df.where(F.xxhash64(*[c.cast("string") for c in columns]) <= F.lit((1 << 63) - 1))
+    if on_bad == "raise":
+        told = F.raise_error(F.concat(F.lit(f"bad {what}: "), F.left(BAD, F.lit(200)))).cast("boolean")
+        return df.where(F.when(F.col(BAD).isNull(), True).otherwise(told)).select(*columns)
+    good = df.where(F.col(BAD).isNull()).select(*columns)
+    return good if on_bad == "drop" else (good, df.where(F.col(BAD).isNotNull()).select(F.col(BAD).alias("value")))
 
 
 def suite_rows(spark: SparkSession, paths: list[str], schema: T.StructType, on_bad: str = "raise") -> DataFrame:
@@ -103,14 +81,21 @@ def parquet(spark: SparkSession, path: str, columns: list[str] | None = None, wh
     return df.select(*columns) if columns else df
 
 
-def csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with header, quoted line breaks and doubled quotes; all text unless a schema is given."""
+def csv(spark: SparkSession, path: str, schema: T.StructType | None = None, on_bad: str = "raise"):
+    """CSV with header, quoted line breaks and doubled quotes; all text unless a schema is given.
+
+    A row with a field of another type, or with more or fewer fields than the
+    header, makes the read fail, comes back in a second DataFrame (``rejects``) or
+    is left out (``drop``).
+    """
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8")
-    if schema is not None:
-        return reader.schema(schema).option("enforceSchema", True).csv(path)
-    df = reader.csv(path)
-    # A byte-order mark stays on the first header name.
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    if schema is None:
+        # A byte-order mark stays on the first header name.
+        names = [c.lstrip("\ufeff") for c in reader.csv(path).columns]
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    with_bad = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
+    kept = reader.schema(with_bad).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)
+    return _fitting(kept.csv(path), on_bad, "CSV row")
 
 
 def tab_tuples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -119,19 +104,25 @@ def tab_tuples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     Returns (file, text, pairs) with the distinct ``second|third`` parts of the
     tuples, and the lines with a malformed tuple.
     """
-    lines = spark.read.text(path).where("value <> ''").withColumn("file", F.col("_metadata.file_path"))
+    rows = spark.read.text(path).where("value <> ''").withColumn("file", F.col("_metadata.file_path"))
     parts = F.split("value", "\t")
     tuples = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda q: F.split(F.trim(q), r"\s+"))
-    parsed = lines.select("file", F.element_at(parts, 1).alias("text"), tuples.alias("_q"), "value")
+    parsed = rows.select("file", F.element_at(parts, 1).alias("text"), tuples.alias("_q"), "value")
     well_formed = F.forall("_q", lambda q: F.size(q) == 4)
     pairs = F.array_distinct(F.transform("_q", lambda q: F.concat_ws("|", q[1], q[2])))
     good = parsed.where(well_formed).select("file", "text", pairs.alias("pairs"))
     return good, parsed.where(~well_formed).select("file", "value")
 
 
-def json_documents(spark: SparkSession, path: str, schema: T.DataType) -> DataFrame:
-    """Whole-file JSON documents (one document, or an array of them, per file)."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def json_documents(spark: SparkSession, path: str, schema: T.StructType, on_bad: str = "raise"):
+    """Whole-file JSON documents (one document, or an array of them, per file).
+
+    A document that does not fit the schema, or a file that is no JSON, makes the
+    read fail, comes back in a second DataFrame (``rejects``) or is left out (``drop``).
+    """
+    with_bad = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
+    reader = spark.read.schema(with_bad).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)
+    return _fitting(reader.json(path), on_bad, "JSON document")
 
 
 def list_or_scalar(spark_json: str, element: str = "string"):
@@ -141,24 +132,21 @@ def list_or_scalar(spark_json: str, element: str = "string"):
     return F.coalesce(F.from_json(wrapped, f"array<{element}>"), F.array().cast(f"array<{element}>"))
 
 
-def predictions(spark: SparkSession, directory: str, schema: T.StructType) -> DataFrame:
-    """All JSON-lines files of a folder with ``seq``: file order by name, then place in the file.
+def predictions(spark: SparkSession, directory: str, schema: T.StructType, on_bad: str = "raise", complete_lines: bool = False, glob: str = "*.jsonl"):
+    """All JSON-lines files of a folder with ``seq``: the file, and the byte a line begins at.
 
-    Lines inside a file are numbered by block start and a running id, which
-    follows the scan order inside a task. A line that does not fit fails the read.
+    Files follow each other by name, lines by place, so the largest ``seq`` of a
+    key is its last record. Lines that do not fit are treated as in ``json_lines``.
     """
-    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(directory).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("_id"),
-        F.lit(False).alias(TAIL),
-    ).where(F.trim("value") != "")
-    return _or_raise(_parsed(lines, schema)).select("_r.*", F.struct("file", "block", "_id").alias("seq")).drop(BAD)
-
-
-def containing(spark: SparkSession, path: str, mark: str, schema: T.StructType) -> DataFrame:
-    """JSON lines that contain a substring, tested before any parsing."""
-    lines = spark.read.text(path).where(F.contains("value", F.lit(mark)))
-    return lines.select(F.from_json("value", schema).alias("_r")).select("_r.*")
+    found = lines.ranged_lines(spark, directory, glob).where(F.trim("value") != "")
+    torn = F.col("torn") if complete_lines else F.lit(False)
+    return _sorted_out(_parsed(found.select("value", F.struct("file", "start").alias("seq"), torn.alias(TAIL)), schema), on_bad, "seq")
+
+
+def containing(spark: SparkSession, path: str, mark: str, schema: T.StructType, on_bad: str = "raise"):
+    """JSON lines that contain a substring, tested before any parsing; those that do not fit as in ``json_lines``."""
+    found = spark.read.text(path).where(F.contains("value", F.lit(mark))).withColumn(TAIL, F.lit(False))
+    return _sorted_out(_parsed(found, schema), on_bad)
 
 
 def files(spark: SparkSession, directory: str, glob: str = "*") -> DataFrame:

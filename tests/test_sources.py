@@ -229,3 +229,45 @@ def test_first_of_identical_and_conflicts(spark):
     df = spark.createDataFrame([("x", 1, "yes"), ("x", 2, "yes"), ("y", 3, "yes"), ("y", 4, "no")], "p string, seq int, o string")
     kept, conflicts = audits.first_of_identical(df, F.col("p"), "seq", "o")
     assert [(r["seq"], r["copies"]) for r in kept.collect()] == [(1, 2)] and conflicts.count() == 1
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1 << 20])
+def test_ranges_give_every_line_and_its_place(spark, tmp_path, size):
+    from casewright.sources import lines
+
+    bodies = {"a.txt": b"one\ntwo\r\n\nlong line " + b"x" * 100 + b"\nlast", "b.txt": b"", "c.txt": b"\n", "d.txt": "é\nü\n".encode(), "_hidden": b"no\n", "e.txt": b"no end"}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    want = []
+    for name, body in bodies.items():
+        at = 0
+        for part in [] if name.startswith("_") else body.splitlines(keepends=True):
+            want.append((name, at, part.rstrip(b"\r\n").decode(), not part.endswith(b"\n")))
+            at += len(part)
+    got = [(r["file"].rsplit("/", 1)[1], r["start"], r["value"], r["torn"]) for r in lines.ranged_lines(spark, str(tmp_path), size=size).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_readers_tell_what_does_not_fit(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("id,n\n1,2\n2,many\n3\n4,5\n")
+    s = T.StructType.fromDDL("id int, n int")
+    good, bad = readers.csv(spark, str(tmp_path / "x.csv"), s, "rejects")
+    assert good.count() == 2 and sorted(r["value"] for r in bad.collect()) == ["2,many", "3"]
+    assert readers.csv(spark, str(tmp_path / "x.csv"), s, "drop").select("id").count() == 2
+    with pytest.raises(Exception, match="bad CSV row"):
+        readers.csv(spark, str(tmp_path / "x.csv"), s).select("id").collect()
+    with pytest.raises(Exception, match="bad CSV row"):
+        readers.csv(spark, str(tmp_path / "x.csv")).count()
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "a.json").write_text('[{"id": 1,\n "n": 2}]')
+    (docs / "b.json").write_text('{"id": 3, "n": "many"}')
+    (docs / "c.json").write_text('[{"id": 4,')
+    good, bad = readers.json_documents(spark, str(docs), s, "rejects")
+    assert [r["id"] for r in good.collect()] == [1] and bad.count() == 2
+    with pytest.raises(Exception, match="bad JSON document"):
+        readers.json_documents(spark, str(docs), s).select("id").collect()
+    (tmp_path / "l.jsonl").write_text('{"id": 1, "n": 7}\n{"id": 2, "n": "7"}\n{"id": 3}\n')
+    with pytest.raises(Exception, match="bad JSON line"):
+        readers.containing(spark, str(tmp_path / "l.jsonl"), "7", s).collect()
+    assert [r["id"] for r in readers.containing(spark, str(tmp_path / "l.jsonl"), "7", s, "drop").collect()] == [1]
