@@ -97,7 +97,7 @@ def prediction_files(spark, d):
         # Each file is a few whole lines, then the beginning of one without a line feed.
         lined = part.withColumn("file", F.pmod(F.xxhash64("event_id"), F.lit(8))).groupBy("file").agg(
             F.concat(F.array_join(F.collect_list(F.to_json(F.struct("event_id", "pred"))), "\n"), F.lit('\n{"event_id": 12')).alias("value"))
-        lined.repartition("file").select("value").write.option("lineSep", "~").text(f"{path}/run={name}")
+        lined.write.partitionBy("file").option("lineSep", "~").text(f"{path}/run={name}")
     schema = T.StructType.fromDDL("event_id bigint, pred string")
     back = readers.predictions(spark, path, schema, complete_lines=True, glob="*.txt")
     return results.latest_prediction(back, ["event_id"]).where("pred IS NOT NULL").select("event_id", "pred")
