@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewright.functions import text
+from casewright.functions import scans, text
 from casewright.functions.skew import broadcast_if_small
+from casewright.session import cut_lineage
 
 
 def dimension(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -55,37 +56,38 @@ def by_composite_key(left: DataFrame, right: DataFrame, source: str, id_col: str
 
 
 def inventory_questions(
-    reviews: DataFrame, inventory: DataFrame, domain: str, pairs: str, category: str, sentiments: list[str], block: int = 64
+    reviews: DataFrame, inventory: DataFrame, row_id: str, domain: str, pairs: str, category: str, sentiments: list[str], block: int = 64
 ) -> DataFrame:
-    """Yes-no questions for every category and sentiment of a review's domain, in blocks.
+    """Yes-no questions for every category and sentiment of a review's domain, in blocks of at most 64.
 
-    The inventory of a domain is a list of categories, kept as an array and
-    attached to each review; presence is tested inside the row, so no
-    review-by-category rows are built.
+    Categories and sentiments of a domain are numbered in order, by ranges of the
+    order, and cut into blocks; a block is all of an inventory that is ever in one
+    row. What a review has becomes one bitmap for each block it touches: its pairs
+    meet the numbers, and the bits are combined before they are shuffled.
+    ``row_id`` tells the reviews apart.
     """
+    if not 1 <= block <= 64:
+        raise ValueError(f"a block has 1 to 64 entries, not {block}")
     each = F.explode(F.array(*[F.lit(s) for s in sentiments]))
-    keys = (
-        inventory.select(domain, category).distinct()
-        .withColumn("_s", each)
-        .groupBy(domain)
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(category).alias("category"), F.col("_s").alias("sentiment")))).alias("_inv"))
-    )
-    blocks = F.transform(
-        F.sequence(F.lit(0), ((F.size("_inv") - 1) / block).cast("int")),
-        lambda i: F.struct((i + 1).alias("block"), F.slice("_inv", i * block + 1, block).alias("items")),
-    )
-    blocked = keys.select(domain, F.explode(blocks).alias("_b")).select(domain, "_b.block", "_b.items")
-    out = reviews.join(broadcast_if_small(blocked), domain)
+    entries = inventory.select(domain, category).distinct().withColumn("_s", each)
+    cut = scans.range_segments(entries, [domain], [category, "_s"])
+    placed = scans.row_numbers(cut, [domain], [category, "_s"]).withColumn("_at", F.col("rn") - 1)
+    numbered = cut_lineage(placed.select(domain, F.col(category).alias("category"), F.col("_s").alias("sentiment"),
+                                         F.expr(f"_at div {block}").alias("_b"), (F.col("_at") % block).cast("int").alias("_bit")))
+    blocks = numbered.groupBy(domain, "_b").agg(F.array_sort(F.collect_list(F.struct("_bit", "category", "sentiment"))).alias("_items"))
+    has = reviews.select(row_id, domain, F.explode(F.array_distinct(pairs)).alias("_pair"))
+    met = has.join(broadcast_if_small(numbered.withColumn("_pair", F.concat_ws("|", "category", "sentiment"))), [domain, "_pair"])
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_bit"))
+    present = met.groupBy(row_id, "_b").agg(F.bit_or(bit).alias("_bits"))
+    out = reviews.join(broadcast_if_small(blocks), domain).join(present, [row_id, "_b"], "left")
     golds = F.transform(
-        "items",
+        "_items",
         lambda x: F.struct(
             F.concat(x["category"], F.lit("__sentiment_"), x["sentiment"]).alias("field"),
-            F.when(
-                F.array_contains(F.col(pairs), F.concat(x["category"], F.lit("|"), x["sentiment"])), "yes"
-            ).otherwise("no").alias("gold"),
+            F.when(F.getbit(F.coalesce("_bits", F.lit(0).cast("bigint")), x["_bit"]) == 1, "yes").otherwise("no").alias("gold"),
         ),
     )
-    return out.withColumn("questions", golds).drop("items")
+    return out.withColumns({"block": (F.col("_b") + 1).cast("int"), "questions": golds}).drop("_b", "_bits", "_items")
 
 
 def linked(entities: DataFrame, form: str, row_id: str, links: str, label: str) -> DataFrame:

@@ -83,7 +83,7 @@ def inventory_questions(spark, d):
     # A review's gold pairs are a set of inventory entries.
     reviews = li.join(part, "l_partkey").groupBy("l_suppkey").agg(F.collect_set(pairs).alias("pairs")).withColumn("domain", F.lit("parts"))
     inventory = part.select(F.lit("parts").alias("domain"), F.col("p_brand").alias("category"))
-    out = joins.inventory_questions(reviews, inventory, "domain", "pairs", "category", ["F", "O"], 8)
+    out = joins.inventory_questions(reviews, inventory, "l_suppkey", "domain", "pairs", "category", ["F", "O"], 8)
     yes = F.size(F.filter("questions", lambda q: q["gold"] == "yes")).cast("bigint")
     return out.select("l_suppkey", F.col("block").cast("bigint").alias("block"), F.size("questions").cast("bigint").alias("questions"), yes.alias("yes"))
 
