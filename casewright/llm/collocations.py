@@ -161,7 +161,7 @@ def extend(relation: DataFrame, slices: int, last: bool) -> DataFrame:
         numbers, bases = np.unique(slot[order], return_index=True)
         parts = [
             {"slice": int(s), "base": int(a), "left": _shut(left[order[a:b]].astype("<i8"), True), "right": _shut(right[order[a:b]].astype("<i8")), "n": _shut(counts[order[a:b]].astype("<i8"))}
-            for s, a, b in zip(numbers, bases, [*bases[1:], len(order)], strict=True)
+            for s, a, b in zip(numbers, bases, [*bases[1:], len(order)][: len(bases)], strict=True)
         ]
         empty = np.zeros(0, "<i8")
         return {

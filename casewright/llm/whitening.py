@@ -11,9 +11,11 @@ theirs: components and eigenvalues come from an SVD of R alone, without squaring
 the condition as an eigendecomposition of the covariance would.
 
 Dimensions that depend on others (constant ones, for example) have no place in a
-QR decomposition of full rank. They are told by a pivoted factorisation of the
-first Gram matrix, left out of the passes, and given back by one more pass that
-projects them on the orthogonal columns: R then has these columns too.
+QR decomposition of full rank. Those that a pivoted factorisation of the first Gram
+matrix cannot tell from dependent ones are left out of the passes, and projected
+on the orthogonal columns by one more pass: R then has these columns too. What the
+projection leaves is measured on the rows; a dimension that has something of its
+own left joins the others, and the passes are made again.
 
 Only sums over rows and matrices of the width of a vector reach the driver.
 """
@@ -37,8 +39,9 @@ COMPONENTS = 4
 PASSES, ORTHOGONAL = 10, 1e-13
 # Whole numbers up to this size are exact as doubles.
 EXACT = 2.0**53
-# A dimension is dependent when what others leave of its sum of squares is below this share of it.
-DEPENDENT = 1e-12
+# Shares of a dimension's sum of squares that others leave: below the first it is put off, as the Gram matrix is too
+# coarse to tell; below the second, measured on the rows themselves, it is dependent.
+PUT_OFF, DEPENDENT = 1e-10, 1e-26
 # Vectors of a block (so few that a block's sums fit a long), and groups that matrices of tasks are added in.
 BLOCK, GROUPS = 512, 256
 
@@ -101,7 +104,7 @@ def independent(gram: np.ndarray) -> list[int]:
     while len(chosen) < len(gram):
         share = np.where(np.diag(gram) > 0, rest / np.maximum(np.diag(gram), 1e-300), 0)
         share[chosen] = 0
-        open_ = np.where(share > DEPENDENT, rest, -1.0)
+        open_ = np.where(share > PUT_OFF, rest, -1.0)
         p = int(np.argmax(open_))
         if open_[p] <= 0:
             break
@@ -137,11 +140,40 @@ def fit(fit_rows: DataFrame, width: int) -> dict:
     mean = np.array([s / max(1, n) for s in total])
     gram = summed(fit_rows, width, (width, width), lambda rows: (rows - mean).T @ (rows - mean))
     chosen = independent(gram)
-    size = len(chosen)
-    if not size:
+    if not chosen:
         return {"n": n, "sums": total, "components": np.zeros((width, 0)), "values": np.zeros(0), "trace": 0.0}
-    own = gram[np.ix_(chosen, chosen)]
-    factors = [_factor(own, n, shifted=True)]
+    while True:
+        size, factors = len(chosen), _factors(fit_rows, width, mean, gram, chosen, n)
+        composed = factors[0]
+        for r in factors[1:]:
+            composed = r @ composed
+        whole = np.zeros((size, width))
+        whole[:, chosen] = composed
+        rest = [j for j in range(width) if j not in set(chosen)]
+        if not rest:
+            break
+
+        def onto(rows: np.ndarray, chosen=chosen, factors=factors, rest=rest) -> np.ndarray:
+            return _solve((rows - mean)[:, chosen], factors).T @ (rows - mean)[:, rest]
+
+        whole[:, rest] = summed(fit_rows, width, (size, len(rest)), onto)
+
+        def beyond(rows: np.ndarray, chosen=chosen, factors=factors, rest=rest, part=whole[:, rest]) -> np.ndarray:
+            left = (rows - mean)[:, rest] - _solve((rows - mean)[:, chosen], factors) @ part
+            return (left**2).sum(axis=0, keepdims=True)
+
+        share = summed(fit_rows, width, (1, len(rest)), beyond)[0] / np.maximum(np.diag(gram)[rest], 1e-300)
+        if share.max() <= DEPENDENT:
+            break
+        chosen = [*chosen, rest[int(share.argmax())]]
+    _, singular, right = np.linalg.svd(whole, full_matrices=False)
+    return {"n": n, "sums": total, "components": right.T, "values": singular**2 / n, "trace": float(np.sum(singular**2) / n)}
+
+
+def _factors(fit_rows: DataFrame, width: int, mean: np.ndarray, gram: np.ndarray, chosen: list[int], n: int) -> list[np.ndarray]:
+    """Upper factors, each of the Gram matrix of the rows after the ones before; the first shifted."""
+    size = len(chosen)
+    factors = [_factor(gram[np.ix_(chosen, chosen)], n, shifted=True)]
     for _ in range(PASSES):
         known = list(factors)
 
@@ -153,16 +185,7 @@ def fit(fit_rows: DataFrame, width: int) -> dict:
         if np.abs(own - np.eye(size)).max() < ORTHOGONAL:
             break
         factors.append(_factor(own, n, shifted=False))
-    composed = factors[0]
-    for r in factors[1:]:
-        composed = r @ composed
-    whole = np.zeros((size, width))
-    whole[:, chosen] = composed
-    rest = [j for j in range(width) if j not in set(chosen)]
-    if rest:
-        whole[:, rest] = summed(fit_rows, width, (size, len(rest)), lambda rows: _solve((rows - mean)[:, chosen], factors).T @ (rows - mean)[:, rest])
-    _, singular, right = np.linalg.svd(whole, full_matrices=False)
-    return {"n": n, "sums": total, "components": right.T, "values": singular**2 / n, "trace": float(np.sum(singular**2) / n)}
+    return factors
 
 
 def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", components: int = COMPONENTS, scale: int = SCALE) -> DataFrame:
@@ -186,9 +209,8 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     fit_rows = cut_lineage(rows.select("x").distinct())
     model = fit(fit_rows, width)
     n, total = model["n"], model["sums"]
-    least = model["values"].max(initial=0) * DEPENDENT
-    used = [k for k in range(min(components, len(model["values"]))) if model["values"][k] > least]
-    k = len(used)
+    k = min(components, len(model["values"]))
+    used = list(range(k))
     mean = np.array([s / max(1, n) for s in total])
     onto = model["components"][:, used] / np.sqrt(model["values"][used])
     explained = model["values"][used] / (model["trace"] or 1.0)
