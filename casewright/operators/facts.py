@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,8 +120,11 @@ def answers(results: DataFrame) -> DataFrame:
     )
 
 
-def fact(fields_df: DataFrame, latest_results: DataFrame) -> DataFrame:
-    """Fields left-joined to the latest result: one row per field, unanswered ones included."""
+def fact(fields_df: DataFrame, latest_results: DataFrame, more: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Fields left-joined to the latest result: one row per field, unanswered ones included.
+
+    ``more`` adds columns made of the answer to a field, null where there is none.
+    """
     res = latest_results.select("run_id", "status", "answers", "total_wall_ms")
     joined = fields_df.join(res, "run_id", "left")
     a = F.try_element_at("answers", F.col("field"))
@@ -130,6 +135,7 @@ def fact(fields_df: DataFrame, latest_results: DataFrame) -> DataFrame:
         .withColumn("pred", pred)
         .withColumn("pred_label", scoring.semantic_label(F.col("qtype"), F.col("criteria"), pred))
         .withColumn("conf", F.when(ok, scoring.confidence(F.col("qtype"), a["probabilities"], a["noul"])))
+        .withColumns({name: F.when(ok, of(a)) for name, of in (more or {}).items()})
         .drop("answers", "criteria")
     )
 
