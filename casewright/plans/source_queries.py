@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from casewright.functions import scoring
 from casewright.operators import inference, results
 from casewright.plans import evaluate, score, spec
-from casewright.plans.predictors import Uniform
+from casewright.plans.predictors import ByLength, Uniform
 from casewright.plans.registry import query, table
 from casewright.plans.run_queries import quality_requests, typed_cases
 from casewright.session import checkpoint_dir
@@ -247,3 +247,33 @@ def native_metrics(spark, d):
     dim = spec.dim_benchmark(spark, spec.EDITIONS["0.3"]).where("catalog_id IN (57, 5, 9, 36)")
     scores = score.native_scores(fact, dim)
     return scores.groupBy("metric").agg(F.count(F.lit(1)).alias("benchmarks"), F.count_if(F.col("requests") > 0).alias("run"), F.round(F.max("score"), 6).alias("best"))
+
+
+@query("""
+WITH fa AS (SELECT CASE lang WHEN 'en' THEN 57 WHEN 'fr' THEN 31 WHEN 'de' THEN 6 ELSE 45 END AS catalog_id, doc_id, doc_id // 3 AS g, length(text) BETWEEN 20 AND 20000 AS ok,
+  quality::VARCHAR AS gold, CASE WHEN length(text) > 800 THEN '1' ELSE '0' END AS pred FROM documents JOIN labels USING (doc_id)),
+st AS (SELECT *, bool_and(ok) OVER (PARTITION BY catalog_id, g) AS done FROM fa),
+nt AS (SELECT catalog_id, count(*) FILTER (ok) / count(*)::DOUBLE AS cov, avg((gold = pred)::INT) FILTER (done) AS score FROM st GROUP BY catalog_id),
+tr AS (SELECT catalog_id,
+    avg(CASE WHEN NOT done THEN 0 WHEN catalog_id = 31 THEN (gold = pred OR doc_id % 3 = 0)::INT WHEN pred = '1' THEN (doc_id % 10) / 10.0::DOUBLE ELSE 0.25 END) AS raw,
+    avg(CASE WHEN catalog_id = 31 THEN CASE WHEN doc_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.5 END ELSE ((doc_id % 10) / 10.0::DOUBLE + 0.25) / 2 END) AS chance FROM st WHERE catalog_id IN (31, 6) GROUP BY catalog_id),
+tc AS (SELECT catalog_id, avg(done::INT) AS cov FROM (SELECT DISTINCT catalog_id, g, done FROM st) GROUP BY catalog_id)
+SELECT catalog_id, round(round(raw, 4), 6) AS raw, round(round(greatest(0, least(1, (raw - chance) / (1 - chance))), 4), 6) AS skill, round(round(tc.cov, 4), 6) AS coverage FROM tr JOIN tc USING (catalog_id)
+UNION ALL SELECT 57, round(score * cov, 4), round(greatest(0, (round(score * cov, 4) - 0.1109) / (1 - 0.1109::DOUBLE)), 4), round(cov, 6) FROM nt WHERE catalog_id = 57
+UNION ALL SELECT 45, round(round(score, 4) * cov, 6), round(greatest(0, (round(score, 4) * cov - 0.1641) / (1 - 0.1641::DOUBLE)), 6), round(cov, 6) FROM nt WHERE catalog_id = 45""")
+def edition_from_log(spark, d):
+    """Four benchmarks of an edition from their result log: added, shown, by track with ties, and routes by quality."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang").join(table(spark, d, "labels"), "doc_id")
+    option = lambda k, v: F.struct(F.lit(k).alias("option"), F.lit(v).alias("descr"))
+    asked = F.struct(F.lit("quality").alias("key"), F.lit("choice").alias("type"), F.lit("Is it good text?").alias("instructions"), F.array(option("0", "poor"), option("1", "good")).alias("criteria"))
+    gold, both = F.col("quality").cast("string"), F.array(F.lit("0"), F.lit("1"))
+    number = F.when(F.col("lang") == "en", 57).when(F.col("lang") == "fr", 31).when(F.col("lang") == "de", 6).otherwise(45)
+    cases = docs.select(
+        F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("run_id"), number.alias("catalog_id"), F.floor(F.col("doc_id") / 3).cast("string").alias("group_id"),
+        F.lit("t").alias("track"), F.to_json(F.struct("text")).alias("state"), F.array(asked).alias("questions"), F.create_map(F.lit("quality"), gold).alias("expected"),
+        F.when(F.col("lang") == "fr", F.create_map(F.lit("quality"), F.when(F.col("doc_id") % 3 == 0, both).otherwise(F.array(gold)))).alias("accepted"),
+        F.when(F.col("lang") == "de", F.create_map(F.lit("0"), F.lit(0.25), F.lit("1"), F.col("doc_id") % 10 / 10)).alias("outcomes"),
+    )
+    dim = spec.dim_benchmark(spark, spec.EDITIONS["0.2"])
+    values, _ = evaluate.evaluate_edition(cases, dim, "by-length", ByLength, folder(spark, "log"), 2)
+    return values.where("catalog_id IN (57, 31, 6, 45)").select("catalog_id", *[F.round(c, 6).alias(c) for c in ("raw", "skill", "coverage")])
