@@ -12,6 +12,8 @@ from casewright.session import cut_lineage
 
 PEER_WINDOW = 16
 PEER_LIST = 4096
+# Ranks up to here are cut in each task before rows are shuffled.
+SORTED_PEERS = 1000
 
 
 def peer_pools(
@@ -63,8 +65,11 @@ def _apart(norms: Column, peer: Column) -> Column:
 
 
 def _first_peers(pool: DataFrame, parent: str, window: int) -> DataFrame:
-    by_hash = Window.partitionBy(parent, "_num").orderBy("_h")
-    return pool.withColumn("_r", F.row_number().over(by_hash)).where(F.col("_r") <= window)
+    if window > SORTED_PEERS:  # beyond what a window cuts before its shuffle: ranks from segments of the hash
+        ranked = scans.row_numbers(scans.hash_segments(pool, "_h"), [parent, "_num"], ["_h"], "_r").drop(scans.SEG)
+    else:
+        ranked = pool.withColumn("_r", F.row_number().over(Window.partitionBy(parent, "_num").orderBy("_h")))
+    return ranked.where(F.col("_r") <= window)
 
 
 def _from_lists(waiting: DataFrame, pool: DataFrame, parent: str, row_id: str, k: int, window: int) -> DataFrame:

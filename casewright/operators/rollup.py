@@ -26,36 +26,44 @@ def scored_tracks(rows: DataFrame, own_tracks: DataFrame, skipped: DataFrame | N
     return out.withColumn("track", F.when(F.col("_own"), F.col("track")).otherwise("all")).drop("_own")
 
 
-def accuracy_tracks(rows: DataFrame) -> DataFrame:
-    """Accuracy and its chance, averaged over clusters (one cluster when ``cluster`` is constant).
+# What the rules below need of a row, and its type where a table of rows does not have it.
+TRACK_COLUMNS = {
+    "cluster": "string", "gold_label": "string", "pred_label": "string", "hit": "double", "n_accepted": "bigint", "n_options": "bigint",
+    "quality": "double", "mean_quality": "double",
+}
+
+
+def track_subtotals(rows: DataFrame) -> DataFrame:
+    """One table that all rules by track are taken from: rows by group, track, cluster and labels, with the group's state.
 
-    Needs status, hit (1.0/0.0), n_accepted, n_options, cluster, as the other
-    rules do where they use them.
+    Rows are read and shuffled once, however many rules follow; store it first.
     """
-    sub = metrics.group_subtotals(
-        rows, ["catalog_id"], "group_id", ["track", "cluster"],
-        F.sum("hit").alias("_hits"), F.sum(F.col("n_accepted") / F.col("n_options")).alias("_c"),
+    full = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in TRACK_COLUMNS.items() if c not in rows.columns})
+    return metrics.group_subtotals(
+        full, ["catalog_id"], "group_id", ["track", "cluster", "gold_label", "pred_label"],
+        F.sum("hit").alias("_hits"), F.min("hit").alias("_all"), F.sum(F.col("n_accepted") / F.col("n_options")).alias("_share"),
+        F.product(1.0 / F.col("n_options")).alias("_guess"), F.sum(F.coalesce("quality", F.lit(0.0))).alias("_quality"), F.sum("mean_quality").alias("_mean"),
     )
+
+
+def accuracy_of(sub: DataFrame) -> DataFrame:
+    """Accuracy and its chance, averaged over clusters (one cluster when ``cluster`` is constant)."""
     value = F.sum(F.when(F.col("complete"), F.col("_hits")).otherwise(0.0))
     per = sub.groupBy("catalog_id", "track", "cluster").agg(
-        (value / F.sum("n")).alias("_v"), (F.sum("_c") / F.sum("n")).alias("_c")
+        (value / F.sum("n")).alias("_v"), (F.sum("_share") / F.sum("n")).alias("_c")
     )
     return per.groupBy("catalog_id", "track").agg(F.avg("_v").alias("raw"), F.avg("_c").alias("random"))
 
 
-def whole_case_tracks(rows: DataFrame) -> DataFrame:
+def whole_case_of(sub: DataFrame) -> DataFrame:
     """A group counts when every field is right; chance is the product over its fields."""
-    sub = metrics.group_subtotals(
-        rows, ["catalog_id"], "group_id", ["track"],
-        F.min("hit").alias("_all"), F.product(1.0 / F.col("n_options")).alias("_c"),
-    )
+    per = sub.groupBy("catalog_id", "group_id", "track").agg(F.bool_and("complete").alias("complete"), F.min("_all").alias("_all"), F.product("_guess").alias("_c"))
     value = F.when(F.col("complete"), F.col("_all")).otherwise(0.0)
-    return sub.groupBy("catalog_id", "track").agg(F.avg(value).alias("raw"), F.avg("_c").alias("random"))
+    return per.groupBy("catalog_id", "track").agg(F.avg(value).alias("raw"), F.avg("_c").alias("random"))
 
 
-def conservative_tracks(rows: DataFrame, classes: DataFrame, chances: DataFrame) -> DataFrame:
+def conservative_of(sub: DataFrame, classes: DataFrame, chances: DataFrame) -> DataFrame:
     """Conservative F1 on the fixed classes; chance from a table (catalog_id, track, chance)."""
-    sub = metrics.group_subtotals(rows, ["catalog_id"], "group_id", ["track", "gold_label", "pred_label"])
     answered = sub.withColumn("pred_label", F.when(F.col("complete"), F.col("pred_label")))
     raw = metrics.conservative_f1(answered, ["catalog_id", "track"], classes, n="n")
     return raw.join(chances, ["catalog_id", "track"]).select(
@@ -63,16 +71,27 @@ def conservative_tracks(rows: DataFrame, classes: DataFrame, chances: DataFrame)
     )
 
 
-def quality_tracks(rows: DataFrame) -> DataFrame:
+def quality_of(sub: DataFrame) -> DataFrame:
     """Quality of the chosen route, 0 if the group is incomplete; chance is the mean over the routes."""
-    sub = metrics.group_subtotals(
-        rows, ["catalog_id"], "group_id", ["track"],
-        F.sum(F.coalesce("quality", F.lit(0.0))).alias("_q"), F.sum("mean_quality").alias("_m"),
-    )
-    value = F.sum(F.when(F.col("complete"), F.col("_q")).otherwise(0.0))
-    return sub.groupBy("catalog_id", "track").agg(
-        (value / F.sum("n")).alias("raw"), (F.sum("_m") / F.sum("n")).alias("random")
-    )
+    value = F.sum(F.when(F.col("complete"), F.col("_quality")).otherwise(0.0))
+    return sub.groupBy("catalog_id", "track").agg((value / F.sum("n")).alias("raw"), (F.sum("_mean") / F.sum("n")).alias("random"))
+
+
+def accuracy_tracks(rows: DataFrame) -> DataFrame:
+    """``accuracy_of`` rows with status, hit (1.0/0.0), n_accepted, n_options and cluster."""
+    return accuracy_of(track_subtotals(rows))
+
+
+def whole_case_tracks(rows: DataFrame) -> DataFrame:
+    return whole_case_of(track_subtotals(rows))
+
+
+def conservative_tracks(rows: DataFrame, classes: DataFrame, chances: DataFrame) -> DataFrame:
+    return conservative_of(track_subtotals(rows), classes, chances)
+
+
+def quality_tracks(rows: DataFrame) -> DataFrame:
+    return quality_of(track_subtotals(rows))
 
 
 def ranking_tracks(groups: DataFrame) -> DataFrame:
@@ -82,11 +101,12 @@ def ranking_tracks(groups: DataFrame) -> DataFrame:
 
 
 def track_scores(parts: list[DataFrame], rows: DataFrame) -> DataFrame:
-    """Union of the rule outputs with skill, planned groups, coverage and pending share."""
+    """Union of the rule outputs with skill, planned groups, coverage and pending share; ``rows`` may be their subtotals."""
     scores = parts[0]
     for part in parts[1:]:
         scores = scores.unionByName(part)
-    planned = metrics.group_subtotals(rows, ["catalog_id"], "group_id", ["track"])
+    sub = rows if "complete" in rows.columns else metrics.group_subtotals(rows, ["catalog_id"], "group_id", ["track"])
+    planned = sub.groupBy("catalog_id", "track", "group_id").agg(F.bool_and("complete").alias("complete"), F.bool_or("pending").alias("pending"))
     cover = planned.groupBy("catalog_id", "track").agg(
         F.count(F.lit(1)).alias("planned_groups"),
         F.avg(F.col("complete").cast("double")).alias("coverage"),

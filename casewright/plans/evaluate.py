@@ -84,21 +84,27 @@ def track_values(cases: DataFrame, fact: DataFrame, dim: DataFrame, groups: Data
         "cluster": F.coalesce("cluster", F.lit("all")), "quality": F.try_element_at("outcomes", F.col("pred")),
         "mean_quality": F.aggregate(F.map_values("outcomes"), F.lit(0.0), lambda a, x: a + x) / F.size("outcomes"),
     })
-    ranked, routed = F.col("documents").isNotNull(), F.col("outcomes").isNotNull()
-    plain = rows.where(~ranked & ~routed)
+    # The rule of a row is one more part of its track while the rows are counted.
+    kind = (
+        F.when(F.col("documents").isNotNull(), "ranking").when(F.col("outcomes").isNotNull(), "route")
+        .when(F.col("metric").isin("macro_f1", "positive_f1"), "f1").when(F.col("metric") == "case_exact", "case").otherwise("accuracy")
+    )
+    rows = rows.withColumn("_kind", kind)
+    sub = cut_lineage(rollup.track_subtotals(rows.withColumn("track", F.struct("_kind", "track"))))
+    sub = sub.select("*", F.col("track._kind").alias("_kind"), F.col("track.track").alias("_track")).drop("track").withColumnRenamed("_track", "track")
     offered = F.explode(F.transform("_q.criteria", lambda c: scoring.semantic_label(F.col("_q.type"), F.col("_q.criteria"), c["option"])))
     labels = cases.select("run_id", F.explode("questions").alias("_q")).select("run_id", F.col("_q.key").alias("field"), offered.alias("label"))
-    f1 = plain.where("metric IN ('macro_f1', 'positive_f1')")
+    f1 = rows.where("_kind = 'f1'")
     classes = f1.select("run_id", "field", "catalog_id", "track").join(labels, ["run_id", "field"]).select("catalog_id", "track", "label").distinct()
     chances = f1.select("catalog_id", "track", F.coalesce("chance", F.lit(0.0)).alias("chance")).distinct()
     parts = [
-        rollup.accuracy_tracks(plain.where("metric NOT IN ('macro_f1', 'positive_f1', 'case_exact')")),
-        rollup.whole_case_tracks(plain.where("metric = 'case_exact'")),
-        rollup.conservative_tracks(f1, classes, chances),
-        rollup.quality_tracks(rows.where(routed)),
+        rollup.accuracy_of(sub.where("_kind = 'accuracy'")),
+        rollup.whole_case_of(sub.where("_kind = 'case'")),
+        rollup.conservative_of(sub.where("_kind = 'f1'"), classes, chances),
+        rollup.quality_of(sub.where("_kind = 'route'")),
         rollup.ranking_tracks(rollup.scored_tracks(groups.join(dim.where("rule = 'track'").select("catalog_id"), "catalog_id", "left_semi"), own)),
     ]
-    return rollup.benchmark_scores(rollup.track_scores(parts, rows))
+    return rollup.benchmark_scores(rollup.track_scores(parts, sub))
 
 
 def edition_from_log(

@@ -9,6 +9,7 @@ from casewright.plans import score
 from casewright.plans.derived import DOC_CASES, ORDER_CASES, doc_cases, order_cases
 from casewright.plans.metric_queries import r6
 from casewright.plans.registry import query, table
+from casewright.session import cut_lineage
 
 
 def rounded(df, *columns, digits=6):
@@ -77,22 +78,21 @@ bench AS (SELECT catalog_id, avg(raw) raw, avg(skill) skill, avg(coverage) cover
 
 
 def tracks_of(spark, d):
-    """Every scoring rule on its share of the benchmarks; own tracks for two of them."""
+    """Every scoring rule on its share of the benchmarks, all from one table of subtotals; own tracks for two of them."""
     rows = order_cases(spark, d)
     own = rows.where("catalog_id in (2, 4)").select("catalog_id").distinct()
-    named = rollup.scored_tracks(rows, own)
-    st = named
-    cons_rows = st.where("catalog_id = 6")
-    classes = cons_rows.select("catalog_id", "track").distinct().withColumn("label", F.explode(F.array(*[F.lit(x) for x in "ANR"])))
-    chances = cons_rows.select("catalog_id", "track", F.lit(0.25).alias("chance")).distinct()
-    routed = st.where("catalog_id = 7").withColumns({"quality": F.col("tokens") / 50, "mean_quality": F.lit(0.5)})
+    named = rollup.scored_tracks(rows, own).withColumns({"quality": F.col("tokens") / 50, "mean_quality": F.lit(0.5)})
+    st = cut_lineage(rollup.track_subtotals(named))
+    cons = st.where("catalog_id = 6")
+    tracks = cons.select("catalog_id", "track").distinct()
+    classes = tracks.withColumn("label", F.explode(F.array(*[F.lit(x) for x in "ANR"])))
     parts = [
-        rollup.accuracy_tracks(st.where("catalog_id <= 4")),
-        rollup.whole_case_tracks(st.where("catalog_id = 5")),
-        rollup.conservative_tracks(cons_rows, classes, chances),
-        rollup.quality_tracks(routed),
+        rollup.accuracy_of(st.where("catalog_id <= 4")),
+        rollup.whole_case_of(st.where("catalog_id = 5")),
+        rollup.conservative_of(cons, classes, tracks.withColumn("chance", F.lit(0.25))),
+        rollup.quality_of(st.where("catalog_id = 7")),
     ]
-    return rollup.track_scores(parts, named)
+    return rollup.track_scores(parts, st)
 
 
 @query(f"""
@@ -121,8 +121,6 @@ SELECT b.catalog_id, round(coalesce(t.raw, b.raw), 6) AS raw,
   round(coalesce(t.coverage, b.coverage), 6) AS coverage, round(coalesce(t.pending, b.pending), 6) AS pending
 FROM bench b LEFT JOIN tracks t ON t.catalog_id = b.catalog_id AND t.catalog_id = 2 AND t.track = 'F'""")
 def headline_track(spark, d):
-    from casewright.session import cut_lineage
-
     t = cut_lineage(tracks_of(spark, d))
     heads = t.where("catalog_id = 2 and track = 'F'").select("catalog_id", "track")
     out = rollup.headline(rollup.benchmark_scores(t), t, heads)
