@@ -170,12 +170,18 @@ def train(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarr
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE,
         vocabulary: int = VOCABULARY, kinds=IDENTITY, counterfactual: float = 4.0) -> Model:
-    """A model from the labelled rows outside the held-out fold; without any, every score is 0.5 or less."""
+    """A model from the labelled rows outside the held-out fold; without any, every score is 0.5 or less.
+
+    At most ``sample`` labelled ids are learned from, each with one text, however
+    often it is repeated; its label is the largest it has.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~fold(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("key")).agg(F.max(label_col).cast("int").alias("label"))
     drawn = known.orderBy(F.xxhash64("key"), "key").limit(sample)  # a bounded sample, so it may be broadcast
     texts = docs.select(F.col(id_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = cut_lineage(texts.join(F.broadcast(drawn), "key").select("label", "text"))
+    # Of an id that is there more than once, the text with the smallest hash: the sample has as many rows as ids.
+    one = texts.join(F.broadcast(drawn), "key").groupBy("key").agg(F.max("label").alias("label"), F.min(F.struct(F.xxhash64("text"), "text")).alias("t"))
+    rows = cut_lineage(one.select("label", F.col("t.text").alias("text")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = (Counter(), Counter())
@@ -215,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def ints(v: bytes) -> np.ndarray:
         return np.frombuffer(v, "<i4").astype(np.int64)
 
-    seen = rows.mapInPandas(features, "label int, words binary").toPandas()
+    seen = rows.mapInPandas(features, "label int, words binary").toPandas().sort_values(["label", "words"])
     # All pairs, as one row for each difference of features; in a fixed order, so that sums are the same in every run.
     pairs = rows.mapInPandas(swapped, "a binary, b binary, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
     pairs = pairs.sort_values(["a", "b"])
