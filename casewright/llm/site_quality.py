@@ -95,7 +95,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~fold(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("double").alias("label"))
     drawn = known.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)  # a bounded sample, so it may be broadcast
-    sample = measured.join(F.broadcast(drawn), "id").select("label", *FEATURES).toPandas()
+    # Of an id that is there more than once, the smallest features: the sample has as many rows as ids.
+    one = measured.join(F.broadcast(drawn), "id").groupBy("id").agg(F.max("label").alias("label"), F.min(F.struct(*FEATURES)).alias("f"))
+    sample = one.select("label", "f.*").toPandas().sort_values(["label", *FEATURES])
     w = fit(sample[list(FEATURES)].to_numpy(float), sample["label"].to_numpy(float)) if len(sample) else np.zeros(3 * len(FEATURES) + 1)
 
     k = len(FEATURES)
