@@ -52,6 +52,8 @@ RISE = 0.01
 SEEDS = 3
 ACCEPT = 0.9
 SMOOTHING = 2.0
+# Type that scores are added in.
+EXACT = "decimal(28,14)"
 
 
 def _matches(kind: str, has: Column) -> tuple[Column, Column]:
@@ -160,9 +162,10 @@ def bootstrap(identifiers: DataFrame, rounds: int = ROUNDS, accept: float = ACCE
     accepted, done = -1, 0
     while True:
         confidence = edges.join(scores, "instance").groupBy("pattern").agg(
-            (F.sum("score") / (F.count(F.lit(1)) + SMOOTHING)).alias("confidence"), F.count(F.when(F.col("known") | (F.col("score") >= accept), 1)).alias("seeds")
+            (F.sum(F.col("score").cast(EXACT)).cast("double") / (F.count(F.lit(1)) + SMOOTHING)).alias("confidence"), F.count(F.when(F.col("known") | (F.col("score") >= accept), 1)).alias("seeds")
         ).where(F.col("seeds") >= SEEDS)
-        doubt = F.sum(F.log(1 - F.col("confidence")))
+        # Sums as decimals, so that no order of rows decides what is accepted.
+        doubt = F.sum(F.log(1 - F.col("confidence")).cast(EXACT)).cast("double")
         # A pattern may have a large share of all instances, so its rows are spread over several tasks.
         spoken = salted_lookup(edges, confidence, "pattern", "instance").groupBy("instance").agg((1 - F.exp(doubt)).alias("heard"))
         joined = scores.select("instance", "known", F.col("score").alias("was")).join(spoken, "instance", "left")
