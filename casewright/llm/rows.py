@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.functions.skew import broadcast_if_small
@@ -24,9 +25,9 @@ def free_name(df: DataFrame, base: str) -> str:
 PLACE_BITS = 40
 
 
-def _plain(path: Column) -> Column:
-    """A file's path however many slashes follow its scheme."""
-    return F.regexp_replace(path, "^([^:/]+):/+", "$1:/")
+def _spellings(path: str) -> set[str]:
+    """A file's path as it is listed, and with one or three slashes after its scheme, as rows may name it."""
+    return {path, re.sub("^([^:/]+):/+", r"\1:/", path), re.sub("^([^:/]+):/+", r"\1:///", path)}
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
@@ -43,8 +44,9 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     if not files:
         return df.withColumn(name, F.monotonically_increasing_id())
     path, place, number = (free_name(df, base) for base in ("_file", "_place", "_number"))
-    known = df.sparkSession.createDataFrame(list(enumerate(files)), f"`{number}` long, `{path}` string").withColumn(path, _plain(F.col(path)))
-    placed = df.withColumns({path: _plain(F.col("_metadata.file_path")), place: F.col("_metadata.row_index")})
+    spelled = {name: i for i, file in enumerate(files) for name in _spellings(file)}
+    known = df.sparkSession.createDataFrame([(i, name) for name, i in spelled.items()], f"`{number}` long, `{path}` string")
+    placed = df.withColumns({path: F.col("_metadata.file_path"), place: F.col("_metadata.row_index")})
     found = placed.join(broadcast_if_small(known), path, "left")
     lost = F.raise_error(F.concat(F.lit("not a file of the table: "), F.col(path)))
     row = F.shiftleft(F.coalesce(number, lost.cast("long")), PLACE_BITS) + F.col(place)
