@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewright.llm import exact_dedup, license_scan, line_dedup, ngram_join, packing, pii, piece_codec, site_quality, topk_search, toxicity
+from casewright.llm.rows import numbered
 from tests.conftest import SF
 from tests.llm.brute import licence, linked, personal
 
@@ -98,12 +99,12 @@ def test_piece_codec_on_random_strings():
 @pytest.mark.parametrize(("words", "percent", "limit"), [(3, 90, 3_000_000), (3, 90, 120), (2, 60, 60), (5, 80, 3_000_000)])
 def test_linked_groups(odd, nothing, words, percent, limit):
     rows = {r.row: r for r in ngram_join.near_groups(odd, words=words, percent=percent, limit=limit).collect()}
-    numbered = odd.withColumn("place", F.monotonically_increasing_id()).select("place", "doc_id", "text").collect()
-    expected = linked([r.text for r in numbered], words, percent)
+    places = numbered(odd, "place").select("place", "doc_id", "text").collect()
+    expected = linked([r.text for r in places], words, percent)
     groups = collections.defaultdict(list)
-    for r, (_, c) in zip(numbered, expected, strict=True):
+    for r, (_, c) in zip(places, expected, strict=True):
         groups[c].append((r.doc_id is None, r.doc_id, r.place))
-    for r, (n, c) in zip(numbered, expected, strict=True):
+    for r, (n, c) in zip(places, expected, strict=True):
         best = min(groups[c])
         assert (rows[r.place].n_shingles, rows[r.place].component_id, rows[r.place].keep_row) == (n, best[1], best[2])
     kept = ngram_join.keep_one(odd, words=words, percent=percent)
@@ -140,7 +141,7 @@ def test_prefix_tree_finds_all_partners():
 
 def test_personal_data(odd, nothing):
     rows = {r.row: r.spans for r in pii.find(odd).collect()}
-    for r in odd.withColumn("place", F.monotonically_increasing_id()).collect():
+    for r in numbered(odd, "place").collect():
         assert [(s.start, s.kind, s.end) for s in rows[r.place] if s.base] == [(a, k, e) for a, _, k, e in personal(r.text)]
     masked = pii.mask(odd)
     assert masked.columns == odd.columns and masked.count() == odd.count() and pii.mask(nothing).count() == 0
