@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from casewright.functions import scoring
 from casewright.operators import metrics, ordering, rollup
-from casewright.plans import score
+from casewright.plans import score, spec
 from casewright.plans.derived import DOC_CASES, ORDER_CASES, doc_cases, order_cases
 from casewright.plans.metric_queries import r6
 from casewright.plans.registry import query, table
@@ -406,3 +407,41 @@ def score_bundle(spark, d):
     done = score.completion(rows.select("catalog_id", "run_id"), rows.where("status <> 'pending'"), ["catalog_id"])
     out = score.score_bundle(native, values, done)
     return rounded(out.select("catalog_id", "requests", "answered", "raw", "skill", "in_index", "run_complete"), "raw", "skill")
+
+
+def _values(rows) -> str:
+    """Rows as a list that SQL reads."""
+    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
+
+
+RUN_IDS = sorted({n for ids in (*spec.PANEL.values(), *spec.FOLDED.values()) for n in ids} - set(spec.INTERACTIVE))
+FIRST_TRACKS = f"""
+ids AS (SELECT * FROM (VALUES {_values(enumerate(RUN_IDS))}) v(k, catalog_id)),
+rw AS (SELECT catalog_id, CASE WHEN catalog_id <> 40 THEN 'all' WHEN p_size % 2 = 0 THEN '{spec.HEADLINE[40]}' ELSE 'other' END AS track, p_size
+  FROM part JOIN ids ON p_partkey % {len(RUN_IDS)} = k),
+tr AS (SELECT catalog_id, track, avg(p_size) / 50 AS raw, avg((p_size > 5)::INT)::DOUBLE AS coverage, 0.1::DOUBLE AS random FROM rw GROUP BY ALL),
+ts AS (SELECT *, greatest(0, least(1, (raw - random) / (1 - random)))::DOUBLE AS skill FROM tr),
+be AS (SELECT catalog_id, avg(raw) AS raw, avg(skill) AS skill FROM ts GROUP BY catalog_id),
+hd AS (SELECT be.catalog_id, coalesce(ts.raw, be.raw) AS raw, coalesce(ts.skill, be.skill) AS skill FROM be LEFT JOIN ts ON ts.catalog_id = be.catalog_id AND be.catalog_id = 40 AND ts.track = '{spec.HEADLINE[40]}'),
+pm AS (SELECT * FROM (VALUES {_values([(a, n) for a, ids in spec.PANEL.items() for n in ids])}) v(area_id, catalog_id)),
+fm AS (SELECT * FROM pm UNION ALL SELECT * FROM (VALUES {_values([(spec.FOLDS[a], n) for a, ids in spec.FOLDED.items() for n in ids])}) v(area_id, catalog_id)),
+fo AS (SELECT area_id, avg(raw) AS raw, avg(skill) AS skill FROM fm JOIN hd USING (catalog_id) GROUP BY area_id),
+fz AS (SELECT area_id, avg(coalesce(raw, 0)) AS raw, avg(coalesce(skill, 0)) AS skill FROM pm LEFT JOIN be USING (catalog_id) GROUP BY area_id)"""
+
+
+@query(f"""
+WITH {FIRST_TRACKS}, un AS (SELECT 'folded' AS kind, * FROM fo UNION ALL SELECT 'frozen', * FROM fz)
+SELECT kind, round(100 * avg(skill), 6) AS balanced_skill, round(100 * avg(raw), 6) AS balanced_raw,
+  round(100 * (exp(avg(ln(0.1 + 0.9 * skill))) - 0.1) / 0.9, 6) AS breadth_skill FROM un GROUP BY kind""")
+def first_edition_index(spark, d):
+    """Parts as records of the first edition's panel: the index with a folded area and a named track, and the frozen lower bound."""
+    ids = spark.createDataFrame(list(enumerate(RUN_IDS)), "k long, catalog_id int")
+    track = F.when(F.col("catalog_id") != 40, "all").when(F.col("p_size") % 2 == 0, spec.HEADLINE[40]).otherwise("other")
+    rows = table(spark, d, "part").withColumn("k", (F.col("p_partkey") % len(RUN_IDS)).cast("bigint")).join(F.broadcast(ids), "k").withColumn("track", track)
+    tracks = rows.groupBy("catalog_id", "track").agg((F.avg("p_size") / 50).alias("raw"), F.avg((F.col("p_size") > 5).cast("double")).alias("coverage")).withColumns(
+        {"random": F.lit(0.1), "pending": F.lit(0.0)}
+    )
+    tracks = cut_lineage(tracks.withColumn("skill", scoring.skill(F.col("raw"), F.col("random"))))
+    folded, frozen = score.first_edition_report(tracks)
+    both = folded.withColumn("kind", F.lit("folded")).unionByName(frozen.withColumn("kind", F.lit("frozen")))
+    return rounded(both.select("kind", "balanced_skill", "balanced_raw", "breadth_skill"), "balanced_skill", "balanced_raw", "breadth_skill")

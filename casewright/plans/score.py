@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from casewright.operators import chance, metrics, rollup
 from casewright.operators.metrics import count_of
+from casewright.plans import spec
 from casewright.session import cut_lineage
 
 ALL_TRACKS = "*"
@@ -164,3 +165,19 @@ def score_bundle(summary_rows: DataFrame, values: DataFrame, done: DataFrame) ->
         .drop("_one")
         .withColumn("in_index", F.coalesce("in_index", F.lit(False)))
     )
+
+
+def first_edition_report(tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(folded, frozen) index of the first edition from its track scores, one row each.
+
+    The folded one leaves out what needs a player in the loop, folds an area into
+    another and takes a benchmark's named track; a benchmark without scores does
+    not count. The frozen one is a lower bound over the whole panel: what was not
+    run counts as zero.
+    """
+    members, folds, heads = spec.panel_tables(tracks.sparkSession)
+    bench = cut_lineage(rollup.benchmark_scores(tracks))
+    named = rollup.headline(bench, tracks, heads)
+    folded, _ = rollup.folded_index(named, members.where("NOT interactive").select("area_id", "catalog_id"), folds)
+    frozen, _ = rollup.frozen_index(bench, members.where("NOT folded").select("area_id", "catalog_id"))
+    return folded, frozen

@@ -66,6 +66,42 @@ EDITIONS = {
 }
 GOLD_WEIGHT = 1.2
 
+# Areas of the first edition's panel, the area that is folded into another, benchmarks that need a player
+# in the loop (never run here), and the track that stands for a benchmark.
+PANEL = {
+    "knowledge": [24, 25, 30, 43, 44], "language": [11, 40, 41], "retrieval": [36, 37], "tools": [1, 2, 6, 7, 16],
+    "arts": [20, 21, 22, 23, 50],
+}
+FOLDED, FOLDS = {"games": [31, 13, 15, 17, 19]}, {"games": "knowledge"}
+INTERACTIVE = [7, 13, 15, 16, 17, 19]
+HEADLINE = {40: "iSarcasmEval-A-En"}
+
+# Other names of an edition, digests of its row files, benchmarks that are retired, and the prefix of the
+# run ids that replace a benchmark's rows.
+EDITION_ROWS = {
+    "0.1": {
+        "alias": "release-v1", "rows": "288d37207a9581187bdf83eada1983aa63de6fc50b0108e2badb229547a57f99", "added": None,
+        "gsm8k": None, "retired": [], "replaced": {}, "scoreable": 131_980, "benchmarks": 37,
+    },
+    "0.2": {
+        "alias": "release-v2", "rows": "b2b56d6fb636837ca469e689087bdbf373dda8de7638aa2da6793e6eda0792d5",
+        "added": "7429f3c9cdddb772c1cfc42bb2a45e8516b0032152b746e6929f1c8b52f4ce89", "gsm8k": None, "retired": [], "replaced": {},
+        "scoreable": 120_615, "benchmarks": 44,
+    },
+    "0.2.1": {
+        "alias": "release-v2.1", "rows": "b2b56d6fb636837ca469e689087bdbf373dda8de7638aa2da6793e6eda0792d5",
+        "added": "7429f3c9cdddb772c1cfc42bb2a45e8516b0032152b746e6929f1c8b52f4ce89", "gsm8k": None, "retired": [], "replaced": {},
+        "scoreable": 119_898, "benchmarks": 44,
+    },
+    "0.3": {
+        "alias": "release-v3", "rows": "b2b56d6fb636837ca469e689087bdbf373dda8de7638aa2da6793e6eda0792d5",
+        "added": "7429f3c9cdddb772c1cfc42bb2a45e8516b0032152b746e6929f1c8b52f4ce89",
+        "gsm8k": "759334894858a37d6bd7bd07298eac8e55da236e31dad327ccd06a9979f4738a", "retired": [48], "replaced": {30: "v0.3-gsm8k:"},
+        "scoreable": 109_759, "benchmarks": 43,
+    },
+}
+DEFAULT_EDITION = "0.3"
+
 # Native metric of the benchmarks that are not scored by accuracy.
 METRICS = {
     "macro_f1": [4, 5, 10, 11, 12, 37, 39, 41, 42],
@@ -127,3 +163,30 @@ def dim_benchmark(spark: SparkSession, spec: dict) -> DataFrame:
 
 def vision_weights(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(VISION_WEIGHTS.items()), "benchmark string, weight double")
+
+
+def dim_edition(spark: SparkSession) -> DataFrame:
+    """One row for each published edition, with its other name and the digests of its row files."""
+    rows = [(e, r["alias"], e == DEFAULT_EDITION, r["rows"], r["added"], r["gsm8k"], r["scoreable"], r["benchmarks"]) for e, r in EDITION_ROWS.items()]
+    return spark.createDataFrame(
+        rows, "edition string, alias string, is_default boolean, rows_sha256 string, added_sha256 string, gsm8k_sha256 string, scoreable long, benchmarks int"
+    )
+
+
+def edition_tables(spark: SparkSession, edition: str) -> tuple[DataFrame, DataFrame]:
+    """``retired(catalog_id)`` and ``replaced(catalog_id, prefix)`` of an edition, as ``editions.in_edition`` takes them."""
+    row = EDITION_ROWS[edition]
+    return (
+        spark.createDataFrame([(n,) for n in row["retired"]], "catalog_id int"),
+        spark.createDataFrame(list(row["replaced"].items()), "catalog_id int, prefix string"),
+    )
+
+
+def panel_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The first edition's panel: members (area_id, catalog_id, folded, interactive), folds (area_id, into_area), heads (catalog_id, track)."""
+    members = [(a, n, False, n in INTERACTIVE) for a, ids in PANEL.items() for n in ids] + [(a, n, True, n in INTERACTIVE) for a, ids in FOLDED.items() for n in ids]
+    return (
+        spark.createDataFrame(members, "area_id string, catalog_id int, folded boolean, interactive boolean"),
+        spark.createDataFrame(list(FOLDS.items()), "area_id string, into_area string"),
+        spark.createDataFrame(list(HEADLINE.items()), "catalog_id int, track string"),
+    )

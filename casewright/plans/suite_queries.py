@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from casewright.functions import arrays, hashing, scoring, text
 from casewright.operators import audits, editions, facts, inference, joins, results
 from casewright.plans.derived import ORDER_CASES, order_cases
+from casewright.plans import spec
 from casewright.plans.registry import query, table
 from casewright.session import checkpoint_dir
 from casewright.sources import digests, readers
@@ -502,3 +503,22 @@ SELECT '#' || lpad(lower(hex(round_even(r * 255, 0)::BIGINT)), 2, '0') || lpad(l
 def palette_colors(spark, d):
     c = text.rgb_hex(F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("l_quantity") / 50)
     return table(spark, d, "lineitem").select(c.alias("color")).groupBy("color").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH r AS (SELECT doc_id, CASE lang WHEN 'en' THEN 30 WHEN 'fr' THEN 48 ELSE 5 END AS catalog_id, CASE WHEN doc_id % 3 = 0 THEN 'v0.3-gsm8k:' ELSE 'v0.2:' END || doc_id::VARCHAR AS run_id FROM documents),
+e AS (SELECT unnest(['0.1', '0.2', '0.2.1', '0.3']) AS edition)
+SELECT edition, catalog_id, count(*) AS n, sum(doc_id)::BIGINT AS docs FROM r, e
+WHERE edition <> '0.3' OR (catalog_id <> 48 AND (catalog_id <> 30 OR starts_with(run_id, 'v0.3-gsm8k:'))) GROUP BY ALL""")
+def rows_by_edition(spark, d):
+    """Documents as rows of three benchmarks, through the published tables of retired and replaced ones."""
+    number = F.when(F.col("lang") == "en", 30).when(F.col("lang") == "fr", 48).otherwise(5)
+    prefix = F.when(F.col("doc_id") % 3 == 0, "v0.3-gsm8k:").otherwise("v0.2:")
+    rows = table(spark, d, "documents").select("doc_id", number.alias("catalog_id"), F.concat(prefix, F.col("doc_id").cast("string")).alias("run_id"))
+    none = rows.select("catalog_id", "run_id").limit(0)
+    out = None
+    for edition in spec.EDITION_ROWS:
+        kept = editions.in_edition(rows, *spec.edition_tables(spark, edition), none)
+        counted = kept.groupBy("catalog_id").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("docs")).withColumn("edition", F.lit(edition))
+        out = counted if out is None else out.unionByName(counted)
+    return out.select("edition", "catalog_id", "n", "docs")

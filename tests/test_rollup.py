@@ -142,3 +142,14 @@ def test_vision_scores_count_unanswered_as_wrong(spark):
     got = rollup.vision_scores(rows, preds, weights).first()
     assert (got["rows"], got["answered"], got["missing"], got["accuracy"]) == (4, 2, 1, 0.25)
     assert got["skill"] == pytest.approx(0.0)
+
+
+def test_published_editions(spark):
+    from casewright.operators import editions
+    from casewright.plans import spec
+
+    dim = spec.dim_edition(spark)
+    assert editions.resolve_edition(None, dim).first()["edition"] == "0.3"
+    assert editions.resolve_edition("release-v2.1", dim).first()["edition"] == "0.2.1"
+    pairs = {(r["edition_a"], r["edition_b"]) for r in editions.compatible(dim, ["rows_sha256", "added_sha256", "gsm8k_sha256"]).collect()}
+    assert pairs == {(e, e) for e in spec.EDITION_ROWS} | {("0.2", "0.2.1"), ("0.2.1", "0.2")}
