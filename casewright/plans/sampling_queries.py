@@ -319,13 +319,15 @@ def sounding_pitches(spark, d):
 
 
 @query(f"""
-WITH {NOTES}, points AS (SELECT s_suppkey AS song, 100 AS t FROM supplier UNION ALL SELECT s_suppkey, 201 FROM supplier)
+WITH {NOTES}, points AS (SELECT song, 4 + 8 * unnest(range(max(e) // 8 + 1)) AS t FROM notes GROUP BY song)
 SELECT p.song, p.t, count(*) AS context_notes, sum(pitch)::BIGINT AS pitch_sum FROM points p JOIN notes n ON n.song = p.song AND n.s < p.t + 4 AND n.e > p.t - 4
 GROUP BY p.song, p.t""")
 def context_notes(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("song"))
-    points = s.withColumn("t", F.explode(F.array(F.lit(100), F.lit(201))))
-    met = intervals.context(points, notes(spark, d), "song", "t", "s", "e", 4, 16)
+    """Notes around a point every eight beats of a song, so that each note is near one."""
+    n = notes(spark, d)
+    last = n.groupBy("song").agg(F.floor(F.max("e") / 8).alias("last"))
+    points = last.select("song", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("last")), lambda k: 4 + 8 * k)).alias("t"))
+    met = intervals.context(points, n, "song", "t", "s", "e", 4, 16)
     return met.groupBy("song", "t").agg(F.count(F.lit(1)).alias("context_notes"), F.sum("pitch").alias("pitch_sum"))
 
 
