@@ -48,7 +48,7 @@ class WordEncoder:
     them, so a word has the same ids in every text and is encoded only once.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY_WORDS):
         from tokenizers import Tokenizer
 
         # A task has one core; threads of the library would only wait for each other.
@@ -57,6 +57,7 @@ class WordEncoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith(END)
+        self.memory = memory
         # Words met lately, in two generations: what is not asked for again while one fills is forgotten.
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
@@ -100,7 +101,7 @@ class WordEncoder:
         """Ids of each text; only a few texts at a time are held a second time, as bytes and words."""
         out = []
         for at in range(0, len(texts), 256):
-            if len(self.known) > MEMORY_WORDS:
+            if len(self.known) > self.memory:
                 self.before, self.known = self.known, {}
             split = [self._words(text.encode("utf-8") if isinstance(text, str) else text or b"") for text in texts[at : at + 256]]
             fresh = set().union(*split).difference(self.known)
@@ -110,12 +111,12 @@ class WordEncoder:
         return out
 
 
-def token_rows(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int) -> DataFrame:
+def token_rows(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int, memory: int = MEMORY_WORDS) -> DataFrame:
     """One row per document: number of tokens (with the separator) and a checksum for each ``capacity`` of them."""
     separator = np.array([SEPARATOR], "<u4").tobytes()
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = kept_in_worker(f"words {path}", lambda: WordEncoder(path))
+        encoder = kept_in_worker(f"words {path} {memory}", lambda: WordEncoder(path, memory))
         for batch in batches:
             tokens, sums = [], []
             for ids in encoder.encode(batch["text"].tolist()):
@@ -168,6 +169,7 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 def pack(
     docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group: int = GROUP,
+    memory: int = MEMORY_WORDS,
 ) -> DataFrame:
     """Pieces of all documents with the sequence and offset each of them has.
 
@@ -175,12 +177,13 @@ def pack(
     or empty text is one piece with the separator alone. Repeated rows and rows
     with a null id are packed like any other; other columns are not read. An
     empty table gives no rows. A text longer than ``capacity`` tokens is cut at
-    its multiples; no other cuts are made.
+    its multiples; no other cuts are made. A Python worker remembers up to twice
+    ``memory`` words; fewer cost time, not results.
     """
     path = path or public_tokenizers.path("word_bpe_49k.json")
     kind = docs.schema[id_col].dataType.simpleString()
     # Written once: the groups depend on the number of rows, and the row numbers that deal them have to be the same in retries.
-    coded = cut_lineage(token_rows(docs, path, id_col, text_col, capacity))
+    coded = cut_lineage(token_rows(docs, path, id_col, text_col, capacity, memory))
     groups = max(1, -(-coded.count() // group))
     dealt = coded.withColumn("part", F.pmod(F.xxhash64(F.lit(SEED), "id", F.monotonically_increasing_id()), F.lit(groups)))
 
