@@ -39,8 +39,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 tokens."""
-    return packing.pack(docs)
+    """Pieces of all documents in sequences of at most 2048 tokens; workers remember less, as all stages share them."""
+    return packing.pack(docs, memory=150_000)
 
 
 STAGES = [
