@@ -6,6 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it.
+
+    A bound variable is no alias: neither merged projections nor filters that move
+    below them copy the value's expression into each place.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def same_set(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
 

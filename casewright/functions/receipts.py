@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.functions import text
+from casewright.functions.arrays import once
 
 # Fields of the subtotal and total blocks that carry an amount.
 SUBTOTAL_FIELDS = ("subtotal_price", "tax_price", "service_price", "discount_price")
@@ -15,9 +16,12 @@ MENU_FIELDS = ("price", "unitprice", "itemsubtotal")
 
 def as_list(v: Column) -> Column:
     """A variant that may be missing, a single value or a list, as an array of variants."""
-    many = F.try_variant_get(v, "$", "array<variant>")
-    alone = F.when(v.isNull() | F.is_variant_null(v), F.array().cast("array<variant>")).otherwise(F.array(v))
-    return F.coalesce(many, alone)
+
+    def listed(x: Column) -> Column:
+        alone = F.when(x.isNull() | F.is_variant_null(x), F.array().cast("array<variant>")).otherwise(F.array(x))
+        return F.coalesce(F.try_variant_get(x, "$", "array<variant>"), alone)
+
+    return once(v, listed)
 
 
 def part(v: Column, name: str) -> Column:
@@ -25,15 +29,19 @@ def part(v: Column, name: str) -> Column:
 
 
 def last_with(block: Column, name: str) -> Column:
-    """Field of a block that may be one object or a list of objects, where the last one that has it wins."""
-    holders = F.filter(as_list(block), lambda o: part(o, name).isNotNull() & ~F.is_variant_null(part(o, name)))
-    return part(F.try_element_at(holders, F.lit(-1)), name)
+    """Field of a block, given as its list of objects, where the last one that has it wins."""
+    held = F.filter(F.transform(block, lambda o: part(o, name)), lambda x: x.isNotNull() & ~F.is_variant_null(x))
+    return F.try_element_at(held, F.lit(-1))
 
 
 def raw_text(v: Column) -> Column:
     """Text of a value, or of the first entry of a list."""
-    listed = F.schema_of_variant(v).startswith("ARRAY")
-    return F.when(listed, F.try_variant_get(v, "$[0]", "string")).otherwise(F.try_variant_get(v, "$", "string"))
+
+    def read(x: Column) -> Column:
+        listed = F.schema_of_variant(x).startswith("ARRAY")
+        return F.when(listed, F.try_variant_get(x, "$[0]", "string")).otherwise(F.try_variant_get(x, "$", "string"))
+
+    return once(v, read)
 
 
 def _named(block: str, names: tuple[str, ...]) -> list[Column]:
@@ -49,17 +57,28 @@ def _menu_values(name: str) -> Column:
 
 
 def _blocks(df: DataFrame, row_id: str, parsed: str) -> DataFrame:
+    """The three blocks of a receipt as lists."""
     root = F.col(parsed)
-    staged = df.select(row_id, part(root, "sub_total").alias("_sub"), part(root, "total").alias("_tot"), part(root, "menu").alias("_m"))
-    return staged.withColumn("_menu", F.filter(as_list(F.col("_m")), lambda m: F.schema_of_variant(m).startswith("OBJECT")))
+    menu = F.filter(as_list(part(root, "menu")), lambda m: F.schema_of_variant(m).startswith("OBJECT"))
+    blocks = [as_list(part(root, name)).alias(out) for name, out in (("sub_total", "_sub"), ("total", "_tot"))]
+    return df.select(row_id, *blocks, menu.alias("_menu"))
+
+
+def _rows(df: DataFrame, row_id: str, entries: Column) -> DataFrame:
+    """One row per struct of an array.
+
+    Rows without entries are dropped after the explosion: the optimizer copies the
+    filter it would put before it, with the whole array, into every step below.
+    """
+    return df.select(row_id, F.explode_outer(entries).alias("_x")).where("_x is not null").select(row_id, "_x.*")
 
 
 def receipt_amounts(df: DataFrame, row_id: str, parsed: str) -> DataFrame:
     """(row_id, kind, amount) for every readable amount of a receipt.
 
     ``parsed`` is a variant column with ``menu``, ``sub_total`` and ``total``;
-    each block and each price may be a single value or a list. Values become
-    rows before their text is parsed, so each is parsed once.
+    each block and each price may be a single value or a list. Texts are parsed
+    within the receipt's array, each once.
     """
     nested = F.flatten(
         F.transform(
@@ -73,25 +92,29 @@ def receipt_amounts(df: DataFrame, row_id: str, parsed: str) -> DataFrame:
         *[_menu_values(name) for name in MENU_FIELDS],
         nested,
     )
-    rows = _blocks(df, row_id, parsed).select(row_id, F.explode(every).alias("_p"))
-    texts = rows.select(row_id, F.col("_p.kind").alias("kind"), raw_text(F.col("_p.v")).alias("_t")).where("_t is not null")
-    return texts.select(row_id, "kind", text.amount(F.col("_t")).alias("amount")).where("amount is not null")
+    there = F.filter(every, lambda p: p["v"].isNotNull())
+    read = F.transform(there, lambda p: F.struct(p["kind"].alias("kind"), text.amount(raw_text(p["v"])).alias("amount")))
+    return _rows(_blocks(df, row_id, parsed), row_id, F.filter(read, lambda p: p["amount"].isNotNull()))
 
 
 def receipt_items(df: DataFrame, row_id: str, parsed: str) -> DataFrame:
     """(row_id, pos, name, price) for menu entries with a name and a readable price."""
-    rows = _blocks(df, row_id, parsed).select(row_id, F.posexplode("_menu").alias("pos", "_e"))
-    texts = rows.select(
-        row_id, "pos", F.trim(raw_text(part(F.col("_e"), "nm"))).alias("name"), raw_text(part(F.col("_e"), "price")).alias("_t")
-    )
-    priced = texts.select(row_id, "pos", "name", text.amount(F.col("_t")).alias("price"))
-    return priced.where("name <> '' and price is not null")
+
+    def entry(m: Column, i: Column) -> Column:
+        name, price = F.trim(raw_text(part(m, "nm"))), text.amount(raw_text(part(m, "price")))
+        return F.struct(i.alias("pos"), name.alias("name"), price.alias("price"))
+
+    kept = F.filter(F.transform("_menu", entry), lambda e: (e["name"] != "") & e["price"].isNotNull())
+    return _rows(_blocks(df, row_id, parsed), row_id, kept)
 
 
 def field_presence(df: DataFrame, row_id: str, parsed: str, fields: list[str]) -> DataFrame:
     """(row_id, field, gold): ``A`` if present with an amount, ``B`` if absent; unreadable ones are left out."""
     named = [x for n in fields for x in _named("_sub" if n in SUBTOTAL_FIELDS else "_tot", (n,))]
-    rows = _blocks(df, row_id, parsed).select(row_id, F.explode(F.array(*named)).alias("_p"))
-    texts = rows.select(row_id, F.col("_p.kind").alias("field"), F.col("_p.v").isNull().alias("_absent"), raw_text(F.col("_p.v")).alias("_t"))
-    gold = F.when(F.col("_absent"), "B").when(text.amount(F.col("_t")).isNotNull(), "A")
-    return texts.withColumn("gold", gold).where("gold is not null").select(row_id, "field", "gold")
+
+    def judged(p: Column) -> Column:
+        gold = F.when(p["v"].isNull(), "B").when(text.amount(raw_text(p["v"])).isNotNull(), "A")
+        return F.struct(p["kind"].alias("field"), gold.alias("gold"))
+
+    judgements = F.filter(F.transform(F.array(*named), judged), lambda p: p["gold"].isNotNull())
+    return _rows(_blocks(df, row_id, parsed), row_id, judgements)

@@ -192,6 +192,14 @@ def test_receipt_shapes(spark):
     assert there == {("a", "total_price"): "A", ("b", "total_price"): "B", ("b", "tax_price"): "B"}
 
 
+def test_receipt_texts_are_parsed_once(spark):
+    """Each amount's pattern stands once in the optimized plan, not once for every place that looks at the amount."""
+    df = spark.createDataFrame([("a", "{}")], "id string, j string").select("id", F.parse_json("j").alias("r"))
+    for out in (receipts.receipt_amounts(df, "id", "r"), receipts.receipt_items(df, "id", "r"), receipts.field_presence(df, "id", "r", ["tax_price"])):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract(") == 1 and plan.count("parse_json(") + plan.count("parseJson(") <= 1
+
+
 def test_close_numbers(spark):
     from casewright.operators import distractors as distractor_numbers
 
