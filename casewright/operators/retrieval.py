@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,9 @@ BM25_MIN_IDF = 1e-6
 
 TERM_SALTS = 32
 
+# Pairs of a query and a document that one task scores and ranks, at most.
+TASK_PAIRS = 2_000_000
+
 
 def term_counts(corpus: DataFrame, doc: str, content: str, terms: DataFrame | None = None) -> DataFrame:
     """Inverted index rows (doc_id, dl, term, tf), and one row with a null term per document.
@@ -38,17 +44,102 @@ def term_counts(corpus: DataFrame, doc: str, content: str, terms: DataFrame | No
     return exploded.groupBy("doc_id", "term").agg(F.first("dl").alias("dl"), F.count(F.lit(1)).alias("tf"))
 
 
+@dataclass(frozen=True)
+class LexicalIndex:
+    """Written index of a corpus for a set of queries; ``few`` tells whether its terms may be broadcast.
+
+    ``rows`` has one row per document (doc_id, dl, terms, tfs) if so, else the rows of
+    ``term_counts``. ``weighted`` is (query_id, term, idf); terms are numbers if few.
+    """
+
+    rows: DataFrame
+    weighted: DataFrame
+    documents: int
+    avg_dl: float
+    few: bool
+
+
+def document_terms(corpus: DataFrame, doc: str, content: str, numbers: DataFrame) -> DataFrame:
+    """(doc_id, dl, terms, tfs): a document's counts of the given terms as two arrays.
+
+    ``numbers(term, number)`` must be few enough to broadcast. Every document has a row.
+    """
+    lists = corpus.select(F.col(doc).alias("doc_id"), text.words(F.col(content)).alias("_w"))
+    every = F.concat("_w", F.array(F.lit(None).cast("string")))
+    exploded = lists.select("doc_id", F.size("_w").cast("bigint").alias("dl"), F.explode(every).alias("term"))
+    counted = (
+        exploded.join(F.broadcast(numbers), "term", "left").groupBy("doc_id", "number")
+        .agg(F.first("dl").alias("dl"), F.count(F.lit(1)).cast("int").alias("tf"))
+    )
+    known = F.when(F.col("number").isNotNull(), F.struct("number", "tf"))
+    together = counted.groupBy("doc_id").agg(F.first("dl").alias("dl"), F.collect_list(known).alias("_p"))
+    return together.select("doc_id", "dl", F.col("_p.number").alias("terms"), F.col("_p.tf").alias("tfs"))
+
+
+def lexical_index(queries: DataFrame, corpus: DataFrame, query: str, query_text: str, doc: str, content: str) -> LexicalIndex:
+    """Index of a corpus for the terms of the queries; texts are read once, whatever is asked of it later."""
+    terms = queries.select(
+        F.col(query).alias("query_id"), F.explode(text.query_terms(F.col(query_text))).alias("term")
+    )
+    few = small_enough(terms)
+    if few:
+        # At most as many rows as may be broadcast.
+        numbers = cut_lineage(
+            terms.select("term").distinct().withColumn("number", F.row_number().over(Window.orderBy("term")))
+        )
+        rows = cut_lineage(document_terms(corpus, doc, content, numbers))
+        whole, df = rows, rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        terms = terms.join(F.broadcast(numbers), "term").select("query_id", F.col("number").alias("term"))
+    else:
+        rows = cut_lineage(term_counts(corpus, doc, content, terms))
+        whole = rows.where("term is null")
+        df = rows.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Two numbers about the corpus; everything per term or document stays distributed.
+    n, avg_dl = whole.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    raw_idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.when(raw_idf <= 0, F.lit(BM25_MIN_IDF)).otherwise(raw_idf)
+    weighted = cut_lineage(terms.join(df, "term").withColumn("idf", idf).drop("df"))
+    return LexicalIndex(rows, weighted, n, float(avg_dl or 0.0), few)
+
+
+def _part(index: LexicalIndex) -> Column:
+    """What a term adds to the score of a document."""
+    tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
+    return F.col("idf") * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl / F.lit(index.avg_dl)))
+
+
 def bm25_scores(
     queries: DataFrame, corpus: DataFrame, query: str, query_text: str, doc: str, content: str,
-    excluded: DataFrame | None = None, digits: int = 9, k: int | None = None,
+    excluded: DataFrame | None = None, digits: int = 9, k: int | None = None, index: LexicalIndex | None = None,
 ) -> DataFrame:
     """(query_id, doc_id, score) for every document that shares a term with a query.
 
-    Few query terms are broadcast to the documents where they lie. More are
-    joined by term, with the postings of a term spread over salts so that a
-    frequent term is not one task's work. Excluded pairs leave before ranking.
-    The postings are written once and read for the corpus size, the document
-    frequencies and the scores.
+    Few query terms are broadcast to the documents where they lie. The documents are
+    dealt to tasks by id, so a pair's terms are added up in one task: pairs are
+    neither shuffled nor written. More terms go to ``_joined_scores``, where ``k``
+    limits what is returned. Excluded pairs leave before ranking.
+    """
+    index = index or lexical_index(queries, corpus, query, query_text, doc, content)
+    if not index.documents or not index.few:
+        return _joined_scores(index, excluded, digits, k)
+    asked = index.weighted.select("query_id").distinct().count()
+    tasks = max(1, math.ceil(index.documents * asked / TASK_PAIRS))
+    dealt = index.rows.repartition(max(tasks, index.rows.sparkSession.sparkContext.defaultParallelism), "doc_id")
+    postings = dealt.select("doc_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("_p")).select(
+        "doc_id", "dl", F.col("_p.terms").alias("term"), F.col("_p.tfs").alias("tf")
+    )
+    hits = postings.join(F.broadcast(index.weighted), "term")
+    pairs = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(_part(index)), digits).alias("score"))
+    if excluded is None:
+        return pairs
+    return pairs.join(skew.broadcast_if_small(excluded.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_anti")
+
+
+def _joined_scores(index: LexicalIndex, excluded: DataFrame | None, digits: int, k: int | None) -> DataFrame:
+    """Scores for more query terms than may be broadcast.
+
+    Queries and postings are joined by term, with the postings of a term spread over
+    salts so that a frequent term is not one task's work.
 
     With ``k`` only what the ``k`` best of a query can be is returned. Terms of most
     documents have the least weight, yet would bring nearly the whole corpus to
@@ -57,23 +148,11 @@ def bm25_scores(
     its candidates in reach of the k-th get these terms added. The remaining
     queries are scored over all their terms.
     """
-    terms = queries.select(
-        F.col(query).alias("query_id"), F.explode(text.query_terms(F.col(query_text))).alias("term")
-    )
-    index = cut_lineage(term_counts(corpus, doc, content, terms))
-    n, avg_dl = index.where("term is null").agg(F.count(F.lit(1)), F.avg("dl")).first()
-    postings = index.where("term is not null")
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # Two numbers about the corpus; everything per term or document stays distributed.
-    if not n:
-        return terms.select("query_id", F.lit(None).cast("string").alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
-    raw_idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = cut_lineage(
-        terms.join(df, "term").withColumn("idf", F.when(raw_idf <= 0, F.lit(BM25_MIN_IDF)).otherwise(raw_idf)).drop("df")
-    )
-    few = small_enough(terms)
-    tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
-    part = F.col("idf") * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl / F.lit(float(avg_dl))))
+    weighted = index.weighted
+    if not index.documents:
+        return weighted.select("query_id", F.lit(None).cast("string").alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
+    postings = index.rows.where("term is not null")
+    part = _part(index)
 
     def barred(pairs: DataFrame) -> DataFrame:
         if excluded is None:
@@ -82,12 +161,9 @@ def bm25_scores(
 
     def summed(chosen: DataFrame) -> DataFrame:
         """Unrounded sums over the given query terms."""
-        if few:
-            hits = postings.join(F.broadcast(chosen), "term")
-        else:
-            salt = F.pmod(F.xxhash64("doc_id"), F.lit(TERM_SALTS)).cast("int")
-            spread = chosen.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
-            hits = postings.withColumn("_salt", salt).join(spread, ["term", "_salt"])
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(TERM_SALTS)).cast("int")
+        spread = chosen.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
+        hits = postings.withColumn("_salt", salt).join(spread, ["term", "_salt"])
         return barred(hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("_s")))
 
     if k is None:
@@ -115,16 +191,17 @@ def bm25_scores(
 
 def lexical_candidates(
     queries: DataFrame, corpus: DataFrame, query: str, query_text: str, doc: str, content: str, k: int,
-    excluded: DataFrame | None = None, top_up: bool = True,
+    excluded: DataFrame | None = None, top_up: bool = True, index: LexicalIndex | None = None,
 ) -> DataFrame:
     """Top ``k`` documents per query by BM25, ties by document id, short lists filled up by id.
 
-    Never looks at gold. Result: (query_id, doc_id, score, pos); filled-up rows
+    Never looks at gold. ``index`` may be given where the same is asked of it more than once. Result: (query_id, doc_id, score, pos); filled-up rows
     have no score.
     """
-    scores = bm25_scores(queries, corpus, query, query_text, doc, content, excluded, k=k)
+    scores = bm25_scores(queries, corpus, query, query_text, doc, content, excluded, k=k, index=index)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    hits = scores.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
+    # k rows a query, written so that all below them is done once.
+    hits = cut_lineage(scores.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k))
     if not top_up:
         return hits
     counted = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("_hits"))

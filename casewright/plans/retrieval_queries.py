@@ -38,10 +38,12 @@ def top_sql(name: str, k: int, scores: str = "sc", barred: str | None = None) ->
 BM25 = BM25 + ", " + top_sql("cand", 32)
 
 
-def candidates(spark, d, k=32):
-    return retrieval.lexical_candidates(
-        table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "text", "doc_id", "text", k
-    )
+def searched(spark, d):
+    return table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "text", "doc_id", "text"
+
+
+def candidates(spark, d, k=32, index=None):
+    return retrieval.lexical_candidates(*searched(spark, d), k, index=index)
 
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, pos::BIGINT AS pos, round(score, 6) AS score FROM cand")
@@ -55,10 +57,11 @@ sx AS (SELECT * FROM sc ANTI JOIN ex USING (query_id, doc_id)), {top_sql("c2", 8
 SELECT query_id, doc_id, pos FROM c2""")
 def bm25_with_exclusions(spark, d):
     """Each query bars its two best documents, then ranks anew."""
-    barred = candidates(spark, d).where("pos <= 2").select("query_id", "doc_id")
-    out = retrieval.lexical_candidates(
-        table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "text", "doc_id", "text", 8, barred
-    )
+    from casewright.session import cut_lineage
+
+    index = retrieval.lexical_index(*searched(spark, d))
+    barred = cut_lineage(candidates(spark, d, index=index).where("pos <= 2").select("query_id", "doc_id"))
+    out = retrieval.lexical_candidates(*searched(spark, d), 8, barred, index=index)
     return out.select("query_id", "doc_id", F.col("pos").cast("bigint").alias("pos"))
 
 
