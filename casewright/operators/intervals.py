@@ -102,36 +102,43 @@ def paired_notes(events: DataFrame, keys: list[str], order: list[str], is_start:
     )
 
 
+BOX = ("x0", "y0", "x1", "y1")
+
+
 def _near(
     left: DataFrame, right: DataFrame, form: str, x: Column, y: Column, rx: Column, ry: Column,
     dx: float, dy: float, hit: Column,
 ) -> DataFrame:
-    """Ids of left rows with a right row near enough; cells as wide as the search reach."""
+    """Left boxes with a right box near enough; cells as wide as the search reach."""
     around = F.sequence(F.lit(-1), F.lit(1))
     spread = left.withColumn("_cx0", F.floor(x / dx)).withColumn("_cy0", F.floor(y / dy))
     spread = spread.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around))
     spread = spread.withColumns({"_cx": F.col("_cx0") + F.col("_i"), "_cy": F.col("_cy0") + F.col("_j")})
     placed = right.withColumns({"_px": F.floor(rx / dx), "_py": F.floor(ry / dy)}).withColumnRenamed(form, "_form")
     same = (F.col(form) == F.col("_form")) & (F.col("_cx") == F.col("_px")) & (F.col("_cy") == F.col("_py"))
-    # A semi join: no pair is made, and a left row is there nine times at most.
-    return spread.join(placed, same & hit, "left_semi").select(form, "id").distinct()
+    # A semi join: no pair is made, and a left box is there nine times at most.
+    return spread.join(placed, same & hit, "left_semi").select(form, *BOX).distinct()
 
 
 def without_near_answer(questions: DataFrame, answers: DataFrame, form: str = "form") -> DataFrame:
     """Question boxes with no answer box right of them on the line or just below.
 
-    Both tables have (form, id, x0, y0, x1, y1).
+    Both tables have (form, id, x0, y0, x1, y1). Boxes that stand at the same place
+    of a form meet once, for all their rows, so the comparisons within a cell
+    depend on the places taken there and not on the rows.
     """
-    a = answers.select(form, *[F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")])
+    boxes = questions.select(form, *BOX).distinct()
+    a = answers.select(form, *[F.col(c).alias(f"a{c}") for c in BOX]).distinct()
     mid, amid = (F.col("y0") + F.col("y1")) / 2, (F.col("ay0") + F.col("ay1")) / 2
     gap = F.col("ax0") - F.col("x1")
     right = _near(
-        questions, a, form, F.col("x1"), mid, F.col("ax0"), amid, 250.0, 12.0,
+        boxes, a, form, F.col("x1"), mid, F.col("ax0"), amid, 250.0, 12.0,
         (F.abs(amid - mid) < 12) & (gap >= 0) & (gap < 250),
     )
     drop = F.col("ay0") - F.col("y1")
     below = _near(
-        questions, a, form, F.col("x0"), F.col("y1"), F.col("ax0"), F.col("ay0"), 60.0, 25.0,
+        boxes, a, form, F.col("x0"), F.col("y1"), F.col("ax0"), F.col("ay0"), 60.0, 25.0,
         (drop >= 0) & (drop < 25) & (F.abs(F.col("ax0") - F.col("x0")) < 60),
     )
-    return questions.join(right.unionByName(below).distinct(), [form, "id"], "left_anti")
+    near = right.unionByName(below).distinct()
+    return questions.join(near, [form, *BOX], "left_anti").select(questions.columns)
