@@ -127,10 +127,21 @@ def reference_on_same_cases(fact: DataFrame, reference: DataFrame, keys: list[st
     ``reference(catalog_id, group_id, hit, keys..)`` holds the reference model's
     answered fields.
     """
-    done = metrics.group_state(fact, ["catalog_id", "group_id"]).where("complete").select("catalog_id", "group_id")
-    by_group = list(dict.fromkeys([*keys, "catalog_id", "group_id"]))
-    sub = reference.groupBy(*by_group).agg(F.sum("hit").alias("_hits"), F.count("hit").alias("_n"))
-    same = sub.join(done, ["catalog_id", "group_id"], "left_semi")
+    group = ["catalog_id", "group_id"]
+    by_group = list(dict.fromkeys([*keys, *group]))
+    if set(keys) <= set(group):
+        # States and answers of a group come from one count over both tables; nothing is joined.
+        states = fact.select(*group, (F.col("status") == "ok").alias("_ok"), F.lit(None).cast("double").alias("hit"))
+        answers = reference.select(*group, F.lit(None).cast("boolean").alias("_ok"), F.col("hit").cast("double").alias("hit"))
+        both = states.unionByName(answers.withColumn("_answer", F.lit(True)), allowMissingColumns=True).where("catalog_id is not null and group_id is not null")
+        counted = both.groupBy(*group).agg(
+            F.bool_and("_ok").alias("_complete"), F.bool_or("_answer").alias("_answered"), F.sum("hit").alias("_hits"), F.count("hit").alias("_n")
+        )
+        same = counted.where("_complete AND _answered")
+    else:
+        done = metrics.group_state(fact, group).where("complete").select(*group)
+        sub = reference.groupBy(*by_group).agg(F.sum("hit").alias("_hits"), F.count("hit").alias("_n"))
+        same = sub.join(done, group, "left_semi")
     return same.groupBy(*keys).agg(metrics.mean_of("_hits", "_n").alias("reference_same_cases"))
 
 
