@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARES = 1000
@@ -29,6 +29,21 @@ def hot_keys(df: DataFrame, key: str, total: int, shares: int = HOT_SHARES) -> D
     return counted.where(F.col("_n") * shares > total).select(key)
 
 
+def hot_values(df: DataFrame, value: Column, shares: int = HOT_SHARES, plain_rows: int = PLAIN_JOIN_ROWS) -> list:
+    """Values of a column without nulls that more than 1/shares of the rows have; none below ``plain_rows``.
+
+    Only a summary of the column leaves the tasks: candidates come from frequent
+    items, at most ``shares`` of them, and are then counted.
+    """
+    named = df.select(value.alias("_k"))
+    total = named.count()
+    if total <= plain_rows:
+        return []
+    candidates = named.stat.freqItems(["_k"], 1 / shares).first()[0]
+    counted = named.where(F.col("_k").isin(candidates)).groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    return [r["_k"] for r in counted.where(F.col("_n") * shares > total).collect()]
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, plain_rows: int = PLAIN_JOIN_ROWS) -> DataFrame:
     """Inner join to a side with one row per key, safe for hot keys on the left.
 

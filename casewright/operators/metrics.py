@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.functions.skew import broadcast_if_small
+from casewright.functions.skew import PLAIN_JOIN_ROWS, broadcast_if_small, hot_values
 from casewright.session import cut_lineage
 
 
@@ -82,6 +82,33 @@ def group_subtotals(rows: DataFrame, keys: list[str], group: str, dims: list[str
     ).drop("_ok", "_pending")
 
 
+def row_subtotals(
+    rows: DataFrame, keys: list[str], group: str, dims: list[str], measures: dict[str, tuple[Callable[[Column], Column], Column]],
+    plain_rows: int = PLAIN_JOIN_ROWS,
+) -> DataFrame:
+    """``group_subtotals`` for groups of few rows: a row is a subtotal of its own, and goes to its group once.
+
+    Counting first would hold nearly every row in memory before the shuffle and
+    shuffle it twice. ``measures`` names an aggregate and its value in one row,
+    which the aggregate of that row has to equal; a combination of dims may come
+    in several rows. Groups with a large share of the rows are counted first.
+    """
+    code = F.xxhash64(*keys, group)
+    hot = hot_values(rows, code, plain_rows=plain_rows)
+    whole = Window.partitionBy(*keys, group)
+    alone = (rows.where(~code.isin(hot)) if hot else rows).select(
+        *keys, group, *dims, F.lit(1).cast("bigint").alias("n"), (F.col("status") == "ok").alias("_ok"),
+        F.col("status").isin("pending", "error").alias("_pending"), *[value.alias(c) for c, (_, value) in measures.items()],
+    )
+    marked = alone.withColumns(
+        {"complete": F.bool_and("_ok").over(whole), "pending": F.bool_or("_pending").over(whole)}
+    ).drop("_ok", "_pending")
+    if not hot:
+        return marked
+    aggs = [agg(value).alias(c) for c, (agg, value) in measures.items()]
+    return marked.unionByName(group_subtotals(rows.where(code.isin(hot)), keys, group, dims, *aggs))
+
+
 def complete_only(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of complete groups, where the rows themselves are wanted; scores use ``group_subtotals``."""
     done = group_state(rows, keys).where("complete").select(*keys)

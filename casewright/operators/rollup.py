@@ -33,17 +33,31 @@ TRACK_COLUMNS = {
 }
 
 
-def track_subtotals(rows: DataFrame) -> DataFrame:
+def track_subtotals(rows: DataFrame, also: tuple[str, ...] = (), small_groups: bool = False) -> DataFrame:
     """One table that all rules by track are taken from: rows by group, track, cluster and labels, with the group's state.
 
     Rows are read and shuffled once, however many rules follow; store it first.
+    ``also`` names further columns that rows are told apart by. ``small_groups``
+    is for groups of few rows, which counting does not make fewer.
     """
     full = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in TRACK_COLUMNS.items() if c not in rows.columns})
-    return metrics.group_subtotals(
-        full, ["catalog_id"], "group_id", ["track", "cluster", "gold_label", "pred_label"],
-        F.sum("hit").alias("_hits"), F.min("hit").alias("_all"), F.sum(F.col("n_accepted") / F.col("n_options")).alias("_share"),
-        F.product(1.0 / F.col("n_options")).alias("_guess"), F.sum(F.coalesce("quality", F.lit(0.0))).alias("_quality"), F.sum("mean_quality").alias("_mean"),
-    )
+    dims = ["track", "cluster", "gold_label", "pred_label", *also]
+    measures = {
+        "_hits": (F.sum, F.col("hit")), "_answered": (F.sum, F.col("hit").isNotNull().cast("bigint")), "_all": (F.min, F.col("hit")),
+        "_share": (F.sum, F.col("n_accepted") / F.col("n_options")), "_guess": (F.product, 1.0 / F.col("n_options")),
+        "_quality": (F.sum, F.coalesce("quality", F.lit(0.0))), "_mean": (F.sum, F.col("mean_quality")),
+    }
+    if small_groups:
+        return metrics.row_subtotals(full, ["catalog_id"], "group_id", dims, measures)
+    aggs = [agg(value).alias(c) for c, (agg, value) in measures.items()]
+    return metrics.group_subtotals(full, ["catalog_id"], "group_id", dims, *aggs)
+
+
+def without_groups(sub: DataFrame) -> DataFrame:
+    """``track_subtotals`` added up over groups and clusters: few rows, for the rules that ask for neither; store it too."""
+    sums = ["n", "_hits", "_answered", "_share", "_quality", "_mean"]
+    dims = [c for c in sub.columns if c not in (*sums, "group_id", "cluster", "_all", "_guess")]
+    return sub.groupBy(*dims).agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def accuracy_of(sub: DataFrame) -> DataFrame:

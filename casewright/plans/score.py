@@ -24,6 +24,14 @@ def summary(fact: DataFrame, wall: str) -> DataFrame:
         fact, ["catalog_id"], "group_id", ["track", "status", "gold", "pred"],
         F.sum("hit").alias("_hits"), F.count("hit").alias("_answered"),
     )
+    latency = metrics.exact_percentiles(
+        fact.where("status = 'ok'"), ["catalog_id"], wall, {"median_ms": metrics.middle()}
+    ).select("catalog_id", F.lit(ALL_TRACKS).alias("track"), "median_ms")
+    return summary_of(sub).join(latency, ["catalog_id", "track"], "left")
+
+
+def summary_of(sub: DataFrame) -> DataFrame:
+    """``summary`` without its latency, from subtotals by track, status, gold and pred, with or without their groups."""
     done = F.col("complete")
     g, p = done & (F.col("gold") == "yes"), done & (F.col("pred") == "yes")
     counted = sub.groupingSets([["catalog_id"], ["catalog_id", "track"]], "catalog_id", "track").agg(
@@ -35,11 +43,7 @@ def summary(fact: DataFrame, wall: str) -> DataFrame:
         F.try_divide(F.sum(F.when(done, F.col("_hits"))), F.sum(F.when(done, F.col("_answered")))).alias("score"),
         metrics.f1_of(metrics.weighed(g & p, "n"), metrics.weighed(g, "n"), metrics.weighed(p, "n")).alias("positive_f1"),
     )
-    counted = counted.drop("track").withColumnRenamed("_track", "track")
-    latency = metrics.exact_percentiles(
-        fact.where("status = 'ok'"), ["catalog_id"], wall, {"median_ms": metrics.middle()}
-    ).select("catalog_id", F.lit(ALL_TRACKS).alias("track"), "median_ms")
-    return counted.join(latency, ["catalog_id", "track"], "left")
+    return counted.drop("track").withColumnRenamed("_track", "track")
 
 
 def native_scores(fact: DataFrame, dim: DataFrame, positive: str = "yes") -> DataFrame:
@@ -147,11 +151,23 @@ def reference_on_same_cases(fact: DataFrame, reference: DataFrame, keys: list[st
 
 def completion(cases: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
     """Scoreable requests, requests with a result of any status, and whether a run is complete."""
-    done = results.select("run_id").distinct().withColumn("_has", F.lit(True))
-    joined = cases.join(done, "run_id", "left")
-    return joined.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("expected"), F.count("_has").alias("recorded")
-    ).withColumn("complete", F.col("recorded") >= F.col("expected"))
+    # Requests are counted where they lie; only the question whether there is a result needs a join.
+    found = cases.join(results.select("run_id"), "run_id", "left_semi")
+    both = cases.select(*keys, F.lit(1).alias("_expected"), F.lit(0).alias("_recorded")).unionByName(
+        found.select(*keys, F.lit(0).alias("_expected"), F.lit(1).alias("_recorded"))
+    )
+    counted = both.groupBy(*keys).agg(F.sum("_expected").alias("expected"), F.sum("_recorded").alias("recorded"))
+    return _completed(counted)
+
+
+def completion_of(sub: DataFrame, keys: list[str]) -> DataFrame:
+    """``completion`` from subtotals by status; a request without a result is pending."""
+    recorded = metrics.weighed(F.col("status") != "pending", "n")
+    return _completed(sub.groupBy(*keys).agg(F.sum("n").alias("expected"), recorded.alias("recorded")))
+
+
+def _completed(counted: DataFrame) -> DataFrame:
+    return counted.withColumn("complete", F.col("recorded") >= F.col("expected"))
 
 
 def index_of(values: DataFrame) -> DataFrame:
@@ -163,7 +179,7 @@ def score_bundle(summary_rows: DataFrame, values: DataFrame, done: DataFrame) ->
     """One row per benchmark: native summary, index value if it has one, and completion.
 
     ``values(catalog_id, raw, skill)`` are the benchmarks that count; ``done``
-    comes from ``completion`` by benchmark. ``run_complete`` is the same on
+    comes from ``completion`` or ``completion_of`` by benchmark. ``run_complete`` is the same on
     every row: each scoreable request of the run has a result of some status.
     """
     whole = done.agg(F.bool_and("complete").alias("run_complete")).withColumn("_one", F.lit(1))
