@@ -82,16 +82,23 @@ def group_subtotals(rows: DataFrame, keys: list[str], group: str, dims: list[str
     ).drop("_ok", "_pending")
 
 
+Measures = dict[str, tuple[Callable[[Column], Column], Column]]
+
+
+def counted_subtotals(rows: DataFrame, keys: list[str], group: str, dims: list[str], measures: Measures) -> DataFrame:
+    """``group_subtotals`` of measures that are given as an aggregate and its value in one row."""
+    return group_subtotals(rows, keys, group, dims, *[agg(value).alias(c) for c, (agg, value) in measures.items()])
+
+
 def row_subtotals(
-    rows: DataFrame, keys: list[str], group: str, dims: list[str], measures: dict[str, tuple[Callable[[Column], Column], Column]],
-    plain_rows: int = PLAIN_JOIN_ROWS,
+    rows: DataFrame, keys: list[str], group: str, dims: list[str], measures: Measures, plain_rows: int = PLAIN_JOIN_ROWS
 ) -> DataFrame:
-    """``group_subtotals`` for groups of few rows: a row is a subtotal of its own, and goes to its group once.
+    """``counted_subtotals`` for groups of few rows: a row is a subtotal of its own, and goes to its group once.
 
     Counting first would hold nearly every row in memory before the shuffle and
-    shuffle it twice. ``measures`` names an aggregate and its value in one row,
-    which the aggregate of that row has to equal; a combination of dims may come
-    in several rows. Groups with a large share of the rows are counted first.
+    shuffle it twice. The aggregate of one row has to equal its value in that
+    row; a combination of dims may come in several rows. Groups with a large
+    share of the rows are counted first.
     """
     code = F.xxhash64(*keys, group)
     hot = hot_values(rows, code, plain_rows=plain_rows)
@@ -105,8 +112,7 @@ def row_subtotals(
     ).drop("_ok", "_pending")
     if not hot:
         return marked
-    aggs = [agg(value).alias(c) for c, (agg, value) in measures.items()]
-    return marked.unionByName(group_subtotals(rows.where(code.isin(hot)), keys, group, dims, *aggs))
+    return marked.unionByName(counted_subtotals(rows.where(code.isin(hot)), keys, group, dims, measures))
 
 
 def complete_only(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -47,15 +47,13 @@ def track_subtotals(rows: DataFrame, also: tuple[str, ...] = (), small_groups: b
         "_share": (F.sum, F.col("n_accepted") / F.col("n_options")), "_guess": (F.product, 1.0 / F.col("n_options")),
         "_quality": (F.sum, F.coalesce("quality", F.lit(0.0))), "_mean": (F.sum, F.col("mean_quality")),
     }
-    if small_groups:
-        return metrics.row_subtotals(full, ["catalog_id"], "group_id", dims, measures)
-    aggs = [agg(value).alias(c) for c, (agg, value) in measures.items()]
-    return metrics.group_subtotals(full, ["catalog_id"], "group_id", dims, *aggs)
+    subtotals = metrics.row_subtotals if small_groups else metrics.counted_subtotals
+    return subtotals(full, ["catalog_id"], "group_id", dims, measures)
 
 
 def without_groups(sub: DataFrame) -> DataFrame:
-    """``track_subtotals`` added up over groups and clusters: few rows, for the rules that ask for neither; store it too."""
-    sums = ["n", "_hits", "_answered", "_share", "_quality", "_mean"]
+    """Subtotals added up over groups and clusters: few rows, for the rules that ask for neither; store them too."""
+    sums = [c for c in ("n", "_hits", "_answered", "_share", "_quality", "_mean") if c in sub.columns]
     dims = [c for c in sub.columns if c not in (*sums, "group_id", "cluster", "_all", "_guess")]
     return sub.groupBy(*dims).agg(*[F.sum(c).alias(c) for c in sums])
 

@@ -296,7 +296,7 @@ JOIN lat ON lat.catalog_id = cnt.catalog_id""")
 def benchmark_summary(spark, d):
     from casewright.plans.score import summary
 
-    out = summary(order_cases(spark, d), "wall_ms")
+    out = summary(order_cases(spark, d), "wall_ms", small_groups=True)
     return out.select(
         "catalog_id", "track", "requests", "answered", "pending", "scored_requests",
         r6("score").alias("score"), r6("positive_f1").alias("positive_f1"), F.round("median_ms", 4).alias("median_ms"),

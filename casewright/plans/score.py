@@ -13,21 +13,21 @@ from casewright.session import cut_lineage
 ALL_TRACKS = "*"
 
 
-def summary(fact: DataFrame, wall: str) -> DataFrame:
+def summary(fact: DataFrame, wall: str, small_groups: bool = False) -> DataFrame:
     """Per benchmark, and per track of it: statuses, native scores on complete groups, median latency.
 
     ``fact(catalog_id, group_id, track, status, gold, pred, hit, wall)``. The
     row for all tracks has track ``*``. Latency is over all ok rows, complete
-    group or not.
+    group or not. ``small_groups`` is for groups of few rows, which counting
+    does not make fewer.
     """
-    sub = metrics.group_subtotals(
-        fact, ["catalog_id"], "group_id", ["track", "status", "gold", "pred"],
-        F.sum("hit").alias("_hits"), F.count("hit").alias("_answered"),
-    )
+    measures = {"_hits": (F.sum, F.col("hit")), "_answered": (F.sum, F.col("hit").isNotNull().cast("bigint"))}
+    subtotals = metrics.row_subtotals if small_groups else metrics.counted_subtotals
+    sub = subtotals(fact, ["catalog_id"], "group_id", ["track", "status", "gold", "pred"], measures)
     latency = metrics.exact_percentiles(
         fact.where("status = 'ok'"), ["catalog_id"], wall, {"median_ms": metrics.middle()}
     ).select("catalog_id", F.lit(ALL_TRACKS).alias("track"), "median_ms")
-    return summary_of(sub).join(latency, ["catalog_id", "track"], "left")
+    return summary_of(rollup.without_groups(sub)).join(latency, ["catalog_id", "track"], "left")
 
 
 def summary_of(sub: DataFrame) -> DataFrame:

@@ -60,6 +60,8 @@ def test_summary_and_completion_from_subtotals(spark):
     want = score.summary(rows.withColumn("wall", F.lit(1.0)), "wall").drop("median_ms")
     got = score.summary_of(few).select(*want.columns)
     assert want.exceptAll(got).count() == got.exceptAll(want).count() == 0
+    small = score.summary(rows.withColumn("wall", F.lit(1.0)), "wall", small_groups=True).drop("median_ms")
+    assert want.exceptAll(small).count() == small.exceptAll(want).count() == 0
     numbered = rows.withColumn("run_id", F.concat_ws(":", F.monotonically_increasing_id(), F.col("group_id"))).localCheckpoint()
     plain = score.completion(numbered, numbered.where("status <> 'pending'"), ["catalog_id"])
     assert sorted(map(tuple, score.completion_of(few, ["catalog_id"]).collect())) == sorted(map(tuple, plain.collect()))
