@@ -9,6 +9,9 @@ HOT_SHARES = 1000
 PLAIN_JOIN_ROWS = 2_000_000
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
+# A small table's rounds: rows a task has, and the fewest partitions it is left in.
+ROWS_A_TASK = 10_000
+LEAST_TASKS = 8
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
@@ -23,6 +26,15 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more partitions than ``rows`` rows need, without a shuffle; zero rows: as it is.
+
+    For rounds over small tables: a shuffle's partitions follow the largest table of
+    a job, and a few rows in hundreds of them cost a task each, round after round.
+    """
+    return df.coalesce(max(LEAST_TASKS, -(-rows // ROWS_A_TASK))) if rows else df
+
+
 def hot_keys(df: DataFrame, key: str, total: int, shares: int = HOT_SHARES) -> DataFrame:
     """Keys that hold more than 1/shares of the rows; at most ``shares`` of them exist."""
     counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))

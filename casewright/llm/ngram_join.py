@@ -41,7 +41,7 @@ from casewright.functions.skew import broadcast_if_small
 from casewright.llm.registry import query, table
 from casewright.llm.rows import free_name, kept_in_worker, numbered
 from casewright.operators.graph import components
-from casewright.session import cut_lineage
+from casewright.session import cut_lineage, rows_at_once
 
 WORDS = 3
 PERCENT = 90
@@ -202,7 +202,8 @@ def facts(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, perce
 
     lean = numbered(docs.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).alias("text")), "row")
     answered = lean.mapInPandas(ask, ASK).groupBy("bucket").applyInPandas(_answer(False), ANSWER)
-    return cut_lineage(answered.groupBy("batch").applyInPandas(gather, "row long, key string, n long, digest string, active boolean"))
+    with rows_at_once(docs.sparkSession, PACK):
+        return cut_lineage(answered.groupBy("batch").applyInPandas(gather, "row long, key string, n long, digest string, active boolean"))
 
 
 def candidates(docs: DataFrame, known: DataFrame, text_col: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -242,7 +243,8 @@ def candidates(docs: DataFrame, known: DataFrame, text_col: str, words: int = WO
         return pd.DataFrame(out, columns=["digest", "n", "grams", "prefix"]).astype({"digest": object, "n": np.int64, "grams": object, "prefix": object})
 
     answered = texts.select("text").mapInPandas(ask, ASK).groupBy("bucket").applyInPandas(_answer(True), ANSWER)
-    return cut_lineage(answered.groupBy("batch").applyInPandas(gather, "digest string, n long, grams binary, prefix array<long>"))
+    with rows_at_once(spark, PACK):
+        return cut_lineage(answered.groupBy("batch").applyInPandas(gather, "digest string, n long, grams binary, prefix array<long>"))
 
 
 # --- the prefix tree -----------------------------------------------------------------------------------------------------

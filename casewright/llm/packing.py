@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from casewright.llm.registry import query, table
 from casewright.llm.rows import kept_in_worker
-from casewright.session import cut_lineage
+from casewright.session import cut_lineage, rows_at_once
 
 CAPACITY = 2048
 GROUP = 4096
@@ -37,7 +37,8 @@ END = "</w>"
 CLOSING = ".,;:!?)"
 SPECIAL = b"<|"
 LAST = re.compile(rb"([.,])(?<=[a-z][.,])(?=[ \n])")
-# Words of one generation that a Python worker remembers.
+# Documents a Python worker gets at once, and words of one generation that it remembers.
+BATCH = 1024
 MEMORY_WORDS = 500_000
 
 
@@ -183,7 +184,8 @@ def pack(
     path = path or public_tokenizers.path("word_bpe_49k.json")
     kind = docs.schema[id_col].dataType.simpleString()
     # Written once: the groups depend on the number of rows, and the row numbers that deal them have to be the same in retries.
-    coded = cut_lineage(token_rows(docs, path, id_col, text_col, capacity, memory))
+    with rows_at_once(docs.sparkSession, BATCH):
+        coded = cut_lineage(token_rows(docs, path, id_col, text_col, capacity, memory))
     groups = max(1, -(-coded.count() // group))
     dealt = coded.withColumn("part", F.pmod(F.xxhash64(F.lit(SEED), "id", F.monotonically_increasing_id()), F.lit(groups)))
 

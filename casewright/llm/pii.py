@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casewright.functions.skew import broadcast_if_small, salted_lookup
+from casewright.functions.skew import broadcast_if_small, packed, salted_lookup, small_enough
 from casewright.llm.registry import query, table
 from casewright.llm.rows import free_name, numbered
 from casewright.session import cut_lineage
@@ -52,6 +52,9 @@ RISE = 0.01
 SEEDS = 3
 ACCEPT = 0.9
 SMOOTHING = 2.0
+# A graph of so many edges and bytes is joined by broadcast, in a few partitions.
+FEW_EDGES = 100_000
+FEW_BYTES = 16 << 20
 # Type that scores are added in.
 EXACT = "decimal(28,14)"
 
@@ -158,17 +161,25 @@ def bootstrap(identifiers: DataFrame, rounds: int = ROUNDS, accept: float = ACCE
         .groupBy("pattern", "instance").agg(F.bool_or("base").alias("seed"))
     )
     edges = cut_lineage(edges)
+    few = max(1, edges.count()) if small_enough(edges, FEW_EDGES, FEW_BYTES) else 0
+    edges = packed(edges, few)
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(packed(df, few)) if few else df
+
     scores = edges.groupBy("instance").agg(F.bool_or("seed").alias("known")).select("instance", "known", F.col("known").cast("int").cast("double").alias("score"))
+    scores = packed(scores, few)
     accepted, done = -1, 0
     while True:
-        confidence = edges.join(scores, "instance").groupBy("pattern").agg(
+        confidence = edges.join(small(scores), "instance").groupBy("pattern").agg(
             (F.sum(F.col("score").cast(EXACT)).cast("double") / (F.count(F.lit(1)) + SMOOTHING)).alias("confidence"), F.count(F.when(F.col("known") | (F.col("score") >= accept), 1)).alias("seeds")
         ).where(F.col("seeds") >= SEEDS)
         # Sums as decimals, so that no order of rows decides what is accepted.
         doubt = F.sum(F.log(1 - F.col("confidence")).cast(EXACT)).cast("double")
         # A pattern may have a large share of all instances, so its rows are spread over several tasks.
-        spoken = salted_lookup(edges, confidence, "pattern", "instance").groupBy("instance").agg((1 - F.exp(doubt)).alias("heard"))
-        joined = scores.select("instance", "known", F.col("score").alias("was")).join(spoken, "instance", "left")
+        told = edges.join(small(confidence), "pattern") if few else salted_lookup(edges, confidence, "pattern", "instance")
+        spoken = told.groupBy("instance").agg((1 - F.exp(doubt)).alias("heard"))
+        joined = scores.select("instance", "known", F.col("score").alias("was")).join(small(spoken), "instance", "left")
         new = F.when(F.col("known"), 1.0).otherwise(F.coalesce("heard", F.lit(0.0)))
         scores = cut_lineage(joined.select("instance", "known", "was", new.alias("score")))
         state = scores.agg(F.count(F.when(F.col("score") >= accept, 1)).alias("n"), F.max(F.col("score") - F.col("was")).alias("rise")).first()

@@ -6,6 +6,7 @@ import re
 import sys
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +46,8 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
         return df.withColumn(name, F.monotonically_increasing_id())
     path, place, number = (free_name(df, base) for base in ("_file", "_place", "_number"))
     spelled = {name: i for i, file in enumerate(files) for name in _spellings(file)}
-    known = df.sparkSession.createDataFrame([(i, name) for name, i in spelled.items()], f"`{number}` long, `{path}` string")
+    # From Arrow, as a list of rows would take Python workers of a second kind on the executors, which stay beside the others.
+    known = df.sparkSession.createDataFrame(pa.table({number: pa.array(spelled.values(), pa.int64()), path: pa.array(spelled.keys(), pa.string())}))
     placed = df.withColumns({path: F.col("_metadata.file_path"), place: F.col("_metadata.row_index")})
     found = placed.join(broadcast_if_small(known), path, "left")
     lost = F.raise_error(F.concat(F.lit("not a file of the table: "), F.col(path)))

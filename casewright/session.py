@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,8 @@ SETTINGS = {
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def local_session(cores: str = "8", app: str = "casewright", **extra: str) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
@@ -58,6 +62,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+@contextmanager
+def rows_at_once(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run within give Python at most ``rows`` rows at a time, or what the session has, if that is less.
+
+    Rows with whole texts are large: a batch of them is held several times, by the
+    executor and by its Python worker.
+    """
+    before = spark.conf.get(ARROW_ROWS)
+    lower_rows_at_once(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
+def lower_rows_at_once(spark: SparkSession, rows: int) -> None:
+    """The same for the rest of the session, for results that are worked out later."""
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= rows:
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and read them from there."""
     checkpoint_dir(df.sparkSession)
