@@ -10,13 +10,19 @@ sets are not listed, and no link between different sets is lost.
    bucket task answers how many n-grams of each document others have too.
 2. *Who could link.* For one document of each distinct set that is left, n-grams
    are ordered by document frequency. Linked sets share an n-gram among their
-   first ``n - ceil(percent n / 100) + 1`` ones, so sets that are not connected
-   through such n-grams cannot link: connected groups are joined on their own.
-3. *The join.* A group's sets, in one global order of n-grams, form a prefix tree.
-   A set is matched against the whole tree at once: sets below a node share the
-   overlap counted on the way to it, and a subtree is left as soon as the overlap
-   so far and the n-grams that remain cannot reach the bound. Sets already in one
-   component are not compared again.
+   first ``n - ceil(percent n / 100) + 1`` ones; a set that shares none of these
+   is left out. The others are cut into more parts, by hash, than linked sets of
+   their sizes can differ in, so linked sets agree on a whole part. Sets that are
+   not connected through equal parts cannot link: connected groups are joined on
+   their own. One n-gram that texts share by chance connects nothing, so groups
+   do not grow together as the table grows.
+3. *The join.* A group's sets stand as what they differ in from the n-grams that
+   most of them have; two sets differ in as many n-grams as their differences do.
+   These differences, in one order of n-grams, form a prefix tree. A set is matched
+   against the whole tree at once: sets below a node share the overlap counted on
+   the way to it, and a subtree is left as soon as the overlap so far and the
+   n-grams that remain cannot reach the bound. Sets already in one component are
+   not compared again.
 4. Groups with more than ``LIMIT`` n-grams are dealt into blocks. Blocks are
    joined within, then one set of each component found; what is still apart from
    its group's largest component meets all blocks. That last step is exact.
@@ -29,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -92,6 +99,50 @@ def _offsets(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
+# --- equal parts ---------------------------------------------------------------------------------------------------------
+
+
+@lru_cache
+def _bands(percent: int) -> np.ndarray:
+    """Where bands of set sizes start; sets that link are of one band or of two that follow each other."""
+    starts = [1, 2]
+    while starts[-1] < 1 << 40:
+        starts.append(max(starts[-1] + 1, 100 * (starts[-1] - 1) // percent + 1))
+    return np.array(starts)
+
+
+def _marks(grams: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of which two different sets that link have one in common; ``shared``: the n-grams of step 2 a set shares.
+
+    Sets of two bands that link differ in ``apart`` n-grams at most. Cut into more
+    parts than that by hash, they agree on ``spare`` parts or more. Sets with as many
+    empty parts might agree on these alone: for them the shared n-grams stand, as
+    they do for sets too small to be cut.
+    """
+    if percent >= 100:
+        return np.zeros(0, np.uint64)  # only equal sets link
+    starts = _bands(percent)
+    band = int(np.searchsorted(starts, len(grams), "right")) - 1
+    marks = [np.zeros(0, np.uint64)]
+    for first in range(max(0, band - 1), band + 1):  # the set's partners are in bands first and first + 1
+        apart = int((100 - percent) * (starts[first + 1] + starts[first + 2] - 2) // (100 + percent))
+        if apart == 0:
+            continue
+        spare = 2 + apart // 8
+        parts = apart + spare
+        names = _mixed((np.uint64(first) << np.uint64(32)) + np.arange(parts + 1, dtype=np.uint64))
+        if 2 * parts > starts[first]:
+            marks.append(shared + names[parts])
+            continue
+        sizes = np.bincount((((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64), minlength=parts)
+        ends = _offsets(sizes)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(grams), dtype=np.uint64)])  # grams ascend, and parts with them
+        marks.append((total[ends[1:]] - total[ends[:-1]] + names[:parts])[sizes > 0])
+        if (sizes == 0).sum() >= spare:
+            marks.append((shared + names[:parts][sizes == 0][:, None]).ravel())
+    return _mixed(np.concatenate(marks))
+
+
 # --- counting in buckets -------------------------------------------------------------------------------------------------
 
 ASK = "bucket int, batch string, grams binary, sizes binary, own binary, keys array<string>, digests array<string>, rows binary"
@@ -207,7 +258,7 @@ def facts(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, perce
 
 
 def candidates(docs: DataFrame, known: DataFrame, text_col: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(digest, n, grams, prefix): one of each distinct set that can have a different partner, with its rare shared n-grams."""
+    """(digest, n, grams, marks): one of each distinct set that can have a different partner, with hashes it shares with any."""
     spark = docs.sparkSession
     buckets = _buckets(spark)
     chosen = cut_lineage(known.where("active").groupBy("digest").agg(F.min("row").alias("row")).select("row"))
@@ -238,13 +289,14 @@ def candidates(docs: DataFrame, known: DataFrame, text_col: str, words: int = WO
             grams, df = flat[at[i] : at[i + 1]], often[at[i] : at[i + 1]]
             first = np.lexsort((grams, df))[: n - _least(n, percent) + 1]
             shared = grams[first[df[first] > 1]]
-            if len(shared):
-                out.append((own["digests"][i], n, grams.tobytes(), shared.view(np.int64).tolist()))
-        return pd.DataFrame(out, columns=["digest", "n", "grams", "prefix"]).astype({"digest": object, "n": np.int64, "grams": object, "prefix": object})
+            marks = _marks(grams, shared, percent) if len(shared) else shared
+            if len(marks):
+                out.append((own["digests"][i], n, grams.tobytes(), marks.view(np.int64).tolist()))
+        return pd.DataFrame(out, columns=["digest", "n", "grams", "marks"]).astype({"digest": object, "n": np.int64, "grams": object, "marks": object})
 
     answered = texts.select("text").mapInPandas(ask, ASK).groupBy("bucket").applyInPandas(_answer(True), ANSWER)
     with rows_at_once(spark, PACK):
-        return cut_lineage(answered.groupBy("batch").applyInPandas(gather, "digest string, n long, grams binary, prefix array<long>"))
+        return cut_lineage(answered.groupBy("batch").applyInPandas(gather, "digest string, n long, grams binary, marks array<long>"))
 
 
 # --- the prefix tree -----------------------------------------------------------------------------------------------------
@@ -254,14 +306,16 @@ class PrefixTree:
     """Sets of ranks in ascending order, as a tree in which sets with equal beginnings share their nodes.
 
     A node covers the sets ``low`` to ``high`` of the sorted list, which agree on
-    their first ``depth`` ranks; its edge holds those beyond its parent's.
+    their first ``depth`` ranks; its edge holds those beyond its parent's. Two sets
+    link when ``share`` times their overlap reaches the sum of their weights.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], weights: np.ndarray, share: int):
         coded = [s.astype(">u4").tobytes() for s in sets]
         self.order = sorted(range(len(sets)), key=coded.__getitem__)
         self.sets = [sets[i] for i in self.order]
-        self.sizes = np.array([len(s) for s in self.sets], np.int64)
+        self.weights, self.share = weights[self.order], share
+        lengths = np.array([len(s) for s in self.sets], np.int64)
         n = len(sets)
         agree = np.zeros(n + 1, np.int64)  # with the set before
         for i in range(1, n):
@@ -293,11 +347,11 @@ class PrefixTree:
         self.edge = np.concatenate([*edges, np.zeros(0, np.uint32)]).astype(np.int64)
         self.last = np.where(self.edge_at[1:] > self.edge_at[:-1], self.edge[np.maximum(self.edge_at[1:] - 1, 0)] if len(self.edge) else 0, -1)
         starts = self.low
-        self.most = np.array([self.sizes[a:b].max() for a, b in zip(low, high, strict=True)])
-        self.fewest = np.array([self.sizes[a:b].min() for a, b in zip(low, high, strict=True)])
+        self.most = np.array([lengths[a:b].max() for a, b in zip(low, high, strict=True)])
+        self.least = np.array([self.weights[a:b].min() for a, b in zip(low, high, strict=True)])
         self.leaf = (self.high - starts) == 1
 
-    def partners(self, probe: np.ndarray, alive: np.ndarray, marked: np.ndarray, percent: int) -> list[int]:
+    def partners(self, probe: np.ndarray, weight: int, alive: np.ndarray, marked: np.ndarray) -> list[int]:
         """Places of the sets that are alive and link with the probe, whose ranks are set in ``marked``."""
         n = len(probe)
         living = np.concatenate([[0], np.cumsum(alive)])
@@ -313,14 +367,11 @@ class PrefixTree:
                 total = np.concatenate([[0], np.cumsum(hit)])
                 overlap = overlap + total[ends] - total[ends - sizes]
                 left = np.where(sizes > 0, n - np.searchsorted(probe, self.last[nodes], "right"), left)
-            least = -(-percent * (n + self.fewest[nodes]) // (100 + percent))
             reach = overlap + np.minimum(left, self.most[nodes] - self.depth[nodes])
-            keep = (reach >= least) & (living[self.high[nodes]] > living[self.low[nodes]])
+            keep = (self.share * reach >= weight + self.least[nodes]) & (living[self.high[nodes]] > living[self.low[nodes]])
             nodes, overlap, left = nodes[keep], overlap[keep], left[keep]
-            leaf = self.leaf[nodes]
-            size = self.fewest[nodes]
-            link = leaf & (100 * overlap >= percent * (n + size - overlap))
-            found += self.low[nodes[link]].tolist()
+            leaf = self.leaf[nodes]  # nothing is left to reach there
+            found += self.low[nodes[leaf & (self.share * overlap >= weight + self.least[nodes])]].tolist()
             nodes, overlap, left = nodes[~leaf], overlap[~leaf], left[~leaf]
             count = self.children[nodes]
             ends = np.cumsum(count)
@@ -329,42 +380,67 @@ class PrefixTree:
         return found
 
 
+def _differences(grams: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, int]:
+    """Ranks of what each set differs in from the grams most sets have, how many these are, and the number of ranks.
+
+    What only one set differs in has no rank, as it is in no overlap.
+    """
+    ranked, where = np.unique(np.concatenate(grams), return_inverse=True)
+    at = _offsets(np.array([len(g) for g in grams]))
+    usual = 2 * np.bincount(where, minlength=len(ranked)) > len(grams)
+    common = np.flatnonzero(usual)
+    parts = []
+    for i in range(len(grams)):
+        own = where[at[i] : at[i + 1]]
+        parts += [own[~usual[own]], np.setdiff1d(common, own, assume_unique=True)]
+    apart = [np.concatenate(parts[i : i + 2]) for i in range(0, len(parts), 2)]
+    often = np.bincount(np.concatenate(apart), minlength=len(ranked))
+    rank = np.empty(len(ranked), np.int64)
+    rank[np.lexsort((ranked, -often))] = np.arange(len(ranked))  # frequent first: equal beginnings are shared
+    return [np.sort(rank[d[often[d] > 1]]).astype(np.uint32) for d in apart], np.array([len(d) for d in apart]), int((often > 1).sum())
+
+
 def tree_links(grams: list[np.ndarray], labels: list, probes: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that join the components of a list of sets, at most one for each two components.
 
     Sets with equal labels count as joined from the start; ``probes`` says which
     sets are matched against all others.
     """
-    ranked, where = np.unique(np.concatenate(grams), return_inverse=True)
-    often = np.bincount(where, minlength=len(ranked))
-    rank = np.empty(len(ranked), np.int64)
-    rank[np.lexsort((ranked, -often))] = np.arange(len(ranked))  # frequent first: equal beginnings are shared
-    at = _offsets(np.array([len(g) for g in grams]))
-    sets = [np.sort(rank[where[at[i] : at[i + 1]]]).astype(np.uint32) for i in range(len(grams))]
-    tree = PrefixTree(sets)
+    sets, apart, ranks = _differences(grams)
+    # Of n and m grams, d of them in one set only, the sets link when d (100 + percent) <= (n + m) (100 - percent).
+    weights = (100 + percent) * apart - (100 - percent) * np.array([len(g) for g in grams])
+    tree = PrefixTree(sets, weights, 2 * (100 + percent))
     place = np.empty(len(sets), np.int64)
     place[tree.order] = np.arange(len(sets))
     _, group = np.unique(np.array(labels, dtype=object).astype(str), return_inverse=True)
     group = group[tree.order]
     members = {g: np.flatnonzero(group == g).tolist() for g in np.unique(group)} if len(set(group.tolist())) < len(group) else {g: [i] for i, g in enumerate(group.tolist())}
     open_ = np.ones(len(sets), bool)
-    marked = np.zeros(len(ranked), np.int64)
+    marked = np.zeros(ranks, np.int64)
     links = []
-    for i in np.flatnonzero(probes):
+
+    def match(i: int) -> None:
         p = place[i]
         open_[p] = False
         alive = open_ & (group != group[p])
         if not alive.any():
-            continue
+            return
         probe = tree.sets[p].astype(np.int64)
         marked[probe] = 1
-        for q in tree.partners(probe, alive, marked, percent):
+        for q in tree.partners(probe, weights[i], alive, marked):
             if alive[q] and group[q] != group[p]:
                 links.append((i, tree.order[q]))
                 small, large = sorted((group[q], group[p]), key=lambda g: len(members[g]))
                 group[members[small]] = large
                 members[large] += members.pop(small)
         marked[probe] = 0
+
+    todo = np.flatnonzero(probes)
+    todo = todo[np.argsort(weights[todo], kind="stable")].tolist()
+    for i in todo[:1]:  # the set in the middle links with most
+        match(i)
+    for i in sorted(todo[1:], key=lambda i: len(members[group[place[i]]])):  # then, sets of one large component mostly have none left to meet
+        match(i)
     return links
 
 
@@ -421,9 +497,9 @@ def _block_links(big: DataFrame, limit: int, percent: int) -> DataFrame:
 
 def link(sets: DataFrame, percent: int = PERCENT, limit: int = LIMIT) -> DataFrame:
     """(a, b): links between distinct sets that connect whatever all links connect."""
-    entries = sets.select("digest", F.explode("prefix").alias("gram"))
-    low = entries.groupBy("gram").agg(F.min("digest").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    near = cut_lineage(entries.join(low, "gram").where("digest <> low").select("digest", "low").distinct())
+    entries = sets.select("digest", F.explode("marks").alias("mark"))
+    low = entries.groupBy("mark").agg(F.min("digest").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    near = cut_lineage(entries.join(low, "mark").where("digest <> low").select("digest", "low").distinct())
     groups = components(near, "digest", "low").select(F.col("node").alias("digest"), F.col("component").alias("group"))
     grouped = sets.select("digest", "n", "grams").join(groups, "digest")
     weights = grouped.groupBy("group").agg(F.sum("n").alias("weight"))
