@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions.skew import broadcast_if_small
 from casewright.llm.registry import query, table
-from casewright.llm.rows import free_name, kept_in_worker, numbered
+from casewright.llm.rows import free_name, numbered
 from casewright.operators.graph import components
 from casewright.session import cut_lineage, rows_at_once
 
@@ -54,40 +54,32 @@ WORDS = 3
 PERCENT = 90
 # n-grams one join task may hold (8 bytes each, some 100 MB with its tree).
 LIMIT = 3_000_000
-# Documents packed together, and words a Python worker remembers the hashes of.
+# Documents packed together.
 PACK = 1500
-MEMORY_WORDS = 150_000
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMORY_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def gram_set(text: str | None, words: int, hashes: dict) -> np.ndarray:
+def gram_set(text: str | None, words: int) -> np.ndarray:
     """Sorted hashes of the distinct word n-grams; a shorter text is one gram as a whole, an empty one none."""
     tokens = (text or "").encode("utf-8").translate(LOWER).split()  # bytes split at ASCII white space only
     if not tokens:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))  # faster than to look them up
     size = min(words, len(h))
     n = len(h) - size + 1
     mixed = np.full(n, size, np.uint64)
     for i in range(size):
         mixed = _mixed(mixed * ODD + h[i : i + n])
-    return np.unique(mixed)
+    mixed.sort()
+    return mixed[np.concatenate([[True], mixed[1:] != mixed[:-1]])]
 
 
 def _least(n: int | np.ndarray, percent: int):
@@ -225,12 +217,11 @@ def facts(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, perce
     buckets = _buckets(docs.sparkSession)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = kept_in_worker("word hashes", _Hashes)
         task, number = TaskContext.get().partitionId(), 0
         for frame in batches:
             for at in range(0, len(frame), PACK):
                 part = frame.iloc[at : at + PACK]
-                sets = [gram_set(t, words, hashes) for t in part["text"]]
+                sets = [gram_set(t, words) for t in part["text"]]
                 yield _ask(
                     f"{task}-{number}", sets, buckets, False, keys=part["key"].tolist(),
                     digests=[hashlib.md5(s.tobytes(), usedforsecurity=False).hexdigest() for s in sets],
@@ -265,11 +256,10 @@ def candidates(docs: DataFrame, known: DataFrame, text_col: str, words: int = WO
     texts = numbered(docs.select(F.col(text_col).alias("text")), "row").join(broadcast_if_small(chosen), "row", "left_semi")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = kept_in_worker("word hashes", _Hashes)
         task, number = TaskContext.get().partitionId(), 0
         for frame in batches:
             for at in range(0, len(frame), PACK):
-                sets = [gram_set(t, words, hashes) for t in frame["text"].iloc[at : at + PACK]]
+                sets = [gram_set(t, words) for t in frame["text"].iloc[at : at + PACK]]
                 digests = [hashlib.md5(s.tobytes(), usedforsecurity=False).hexdigest() for s in sets]
                 yield _ask(f"{task}-{number}", sets, buckets, True, digests=digests)
                 number += 1
